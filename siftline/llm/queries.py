@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import canonical, components, incremental, oracle, representative
+from siftline.llm import canonical, components, credentials, incremental, oracle, representative
 from siftline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,15 @@ def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.collapse(table(spark, folder, "findings"), "finding_key", *canonical.finding_forms())
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, folder, "findings"), table(spark, folder, "source_files"))
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    findings, files = table(spark, folder, "findings"), table(spark, folder, "source_files")
+    return credentials.redact(credentials.texts(findings, files), credentials.credentials(findings, files))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -45,6 +54,8 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p5_found": p5_found,
         "p5_copies": p5_copies,
+        "p6_found": p6_found,
+        "p6_redacted": p6_redacted,
     }
 
 
