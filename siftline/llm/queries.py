@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import canonical, components, credentials, incremental, oracle, representative
+from siftline.llm import canonical, components, credentials, incremental, mixture, oracle, packing, representative, tokens
+from siftline.session import written
 from siftline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,27 @@ def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.redact(credentials.texts(findings, files), credentials.credentials(findings, files))
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(tokens.sized(table(spark, folder, "documents")), table(spark, folder, "pack_limits"))
+
+
+def p7_fills(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fills(p7_packed(spark, folder), table(spark, folder, "pack_limits"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = tokens.sized(table(spark, folder, "documents"), keep=("source",)).withColumn("source", mixture.clean_source("source"))
+    return mixture.blend(written(sizes, "sizes"), table(spark, folder, "mix_targets"))
+
+
+def p8_blend(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -56,6 +78,10 @@ def queries() -> dict[str, Query]:
         "p5_copies": p5_copies,
         "p6_found": p6_found,
         "p6_redacted": p6_redacted,
+        "p7_packed": p7_packed,
+        "p7_fills": p7_fills,
+        "p8_blend": p8_blend,
+        "p8_shares": p8_shares,
     }
 
 
