@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import canonical, components, credentials, incremental, mixture, oracle, packing, representative, tokens
+from siftline.llm import canonical, components, credentials, incremental, mixture, oracle, packing, representative, stuffing, tokens
 from siftline.session import written
 from siftline.sources.tables import table
 
@@ -68,6 +68,14 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_curves(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.page_curves(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -82,6 +90,8 @@ def queries() -> dict[str, Query]:
         "p7_fills": p7_fills,
         "p8_blend": p8_blend,
         "p8_shares": p8_shares,
+        "p9_found": p9_found,
+        "p9_curves": p9_curves,
     }
 
 
