@@ -5,21 +5,203 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.operators import nested
+from siftline.functions.text import mask
+from siftline.operators import configs, containers, findings, lexical, nested, rules, sca
 from siftline.plans import sql
+from siftline.sources import corpus
 from siftline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+AS_OF = "2026-10-01"
+FILE = ["project", "rel_path"]
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.version_bounds(table(spark, folder, "advisory_raw"))
 
 
+def _level(name: str, *cols: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return nested.flat_tables(table(spark, folder, "advisory_raw"))[name].select(*nested.KEYS[name], *cols)
+
+    return query
+
+
+def p4_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each state of the automaton occurs on each level."""
+    t = nested.flat_tables(table(spark, folder, "advisory_raw"))
+    out = [t[level].groupBy("state").agg(F.count(F.lit(1)).alias("n")).select(F.lit(level).alias("level"), "state", "n") for level in nested.KEYS]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def src_files(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.gated(table(spark, folder, "source_files"), exclude=("*.xml", "services/schema-10014")).select("file_key", "verdict")
+
+
+def src_lines(spark: SparkSession, folder: str) -> DataFrame:
+    x = corpus.lines(table(spark, folder, "source_files"), ["file_key"])
+    return x.groupBy("file_key").agg(F.count(F.lit(1)).alias("n_lines"), F.max(F.length("line")).alias("longest"))
+
+
+def _file_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.lines(table(spark, folder, "source_files"), ["file_key"])
+
+
+def lex_code_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rule_hits(_file_lines(spark, folder), ["file_key"], rules.CODE_RULES).select("file_key", "line_no", "rule_id", "severity")
+
+
+def lex_secret_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rule_hits(_file_lines(spark, folder), ["file_key"], rules.SECRET_RULES).select("file_key", "line_no", "rule_id", "evidence")
+
+
+def lex_document_hits(spark: SparkSession, folder: str) -> DataFrame:
+    x = lexical.rule_hits(corpus.lines(table(spark, folder, "documents"), ["doc_id"], "text"), ["doc_id"])
+    return x.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def lex_evidence_hits(spark: SparkSession, folder: str) -> DataFrame:
+    x = lexical.rule_hits(corpus.lines(table(spark, folder, "findings"), ["finding_key"], "evidence"), ["finding_key"])
+    return x.select("finding_key", "line_no", "rule_id", "severity")
+
+
+def lex_webhooks(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.missing_webhook_signature(corpus.lines(table(spark, folder, "documents"), ["doc_id"], "text"), ["doc_id"])
+
+
+def flt_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "findings").select("finding_key", mask("evidence").alias("masked"))
+
+
+def fnd_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.tagged(table(spark, folder, "findings")).select("finding_key", "canon", "cwe", "fp")
+
+
+def ddp_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.first_by_fingerprint(table(spark, folder, "findings"))
+
+
+def ddp_merged(spark: SparkSession, folder: str) -> DataFrame:
+    m = findings.merged(table(spark, folder, "findings"))
+    lists = [F.array_join(c, "|").alias(c) for c in ("detector_ids", "evidences", "related_findings")]
+    return m.select("project", "base_key", "file_lc", "line", "n", "title", "canonical_rule", "category", "severity", "cwe", "confidence", "source", "sink", "evidence", *lists)
+
+
+def cnf_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.scored(table(spark, folder, "findings")).select("finding_key", "score", "label")
+
+
+def cor_chains(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.chains(table(spark, folder, "findings"))
+
+
+def cor_scope(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.scope(table(spark, folder, "findings"))
+
+
+def sup_active(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.unsuppressed(table(spark, folder, "findings"), table(spark, folder, "suppressions"), AS_OF).select("finding_key", "project")
+
+
+def rsk_projects(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.project_scores(table(spark, folder, "findings"))
+
+
+def cat_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.by_category(table(spark, folder, "findings"))
+
+
+def sca_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return sca.matches(table(spark, folder, "deps"), table(spark, folder, "advisories")).select("eco", "pkg", "version", "adv_key")
+
+
+def sca_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    return sca.distinct_deps(table(spark, folder, "deps"))
+
+
+def sca_severity(spark: SparkSession, folder: str) -> DataFrame:
+    return sca.derived_severity(table(spark, folder, "advisories"))
+
+
+def sca_best_fix(spark: SparkSession, folder: str) -> DataFrame:
+    return sca.best_fixes(table(spark, folder, "advisories"))
+
+
+def sca_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    a = table(spark, folder, "advisories")
+    late = F.col("loaded_at") >= F.lit(AS_OF).cast("timestamp")
+    return sca.upserted(a.where(~late), a.where(late)).select("adv_key", "id")
+
+
+def sca_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return sca.stats(table(spark, folder, "advisories"))
+
+
+def sca_top(spark: SparkSession, folder: str) -> DataFrame:
+    return sca.top_advisories(sca.matches(table(spark, folder, "deps"), table(spark, folder, "advisories")))
+
+
+def sca_findings(spark: SparkSession, folder: str) -> DataFrame:
+    a = table(spark, folder, "advisories")
+    return sca.dep_findings(sca.matches(table(spark, folder, "deps"), a), a)
+
+
+def sca_cache(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "deps")
+    rows = sca.distinct_deps(d).select("eco", "pkg", "version")
+    eco, pkg = sca.package_key("ecosystem", "name")
+    cache = d.where("version IS NOT NULL").select(eco.alias("eco"), pkg.alias("pkg"), F.trim("version").alias("version"), F.col("seen_at").alias("cached_at"))
+    return sca.cache_lookup(rows, cache, AS_OF, hours=24 * 60)
+
+
+def cfg_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return configs.flat_entries(table(spark, folder, "source_files")).select(*FILE, "line_no", "format", "section", "key", "value")
+
+
+def cfg_nested(spark: SparkSession, folder: str) -> DataFrame:
+    return configs.nested_entries(table(spark, folder, "source_files")).select(*FILE, "line_no", "format", "key", "value")
+
+
+def cfg_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return configs.config_hits(configs.entries(table(spark, folder, "source_files")))
+
+
+def cfg_flat_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return configs.config_hits(configs.flat_entries(table(spark, folder, "source_files"))).select(*FILE, "line_no", "rule_id", "severity", "key")
+
+
+def cfg_env_ignored(spark: SparkSession, folder: str) -> DataFrame:
+    return configs.env_not_ignored(table(spark, folder, "source_files"))
+
+
+def dck_instructions(spark: SparkSession, folder: str) -> DataFrame:
+    return containers.instructions(table(spark, folder, "source_files"))
+
+
+def dck_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return containers.dockerfile_hits(table(spark, folder, "source_files"))
+
+
+def dck_context(spark: SparkSession, folder: str) -> DataFrame:
+    return containers.exposed_context(table(spark, folder, "source_files"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found}
+    own = [
+        p4_found, p4_shapes, src_files, src_lines, lex_code_hits, lex_secret_hits, lex_document_hits, lex_evidence_hits, lex_webhooks, flt_masked,
+        fnd_canonical, ddp_exact, ddp_merged, cnf_scores, cor_chains, cor_scope, sup_active, rsk_projects, cat_rollup,
+        sca_matches, sca_distinct, sca_severity, sca_best_fix, sca_upsert, sca_stats, sca_top, sca_findings, sca_cache,
+        cfg_entries, cfg_nested, cfg_hits, cfg_flat_hits, cfg_env_ignored, dck_instructions, dck_hits, dck_context,
+    ]
+    levels = {
+        "p4_vulnerabilities": _level("vulnerabilities", "envelope", "vuln_id", "summary"),
+        "p4_affected": _level("affected", "package", "ecosystem"),
+        "p4_ranges": _level("ranges", "range_type"),
+    }
+    return {q.__name__: q for q in own} | levels
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": sql.P4_FOUND}
+    return sql.statements()
