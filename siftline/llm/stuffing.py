@@ -107,10 +107,9 @@ def extremes(fits: DataFrame, sentences: DataFrame, extreme: float = EXTREME) ->
     lang = ref.groupBy("lang").agg(n, *stats).where("n >= 8").drop("n")
     names = [c for c in near.columns if c[:2] in ("m_", "s_")]
     lang = lang.select("lang", *(F.col(c).alias("l" + c) for c in names))
-    every = ref.agg(*stats).select(F.lit(1).alias("one"), *(F.col(c).alias("a" + c) for c in names))
     # the statistics have one row for each language and length class at most
-    j = f.withColumn("one", F.lit(1)).join(F.broadcast(near), ["lang", "size_class"], "left").join(F.broadcast(lang), "lang", "left").join(F.broadcast(every), "one", "left")
-    z = {m: (F.col(m) - F.coalesce(f"m_{m}", f"lm_{m}", f"am_{m}", F.lit(0.0))) / F.greatest(F.lit(1e-3), F.coalesce(f"s_{m}", f"ls_{m}", f"as_{m}", F.lit(1.0))) for m in measures}
+    j = f.join(F.broadcast(near), ["lang", "size_class"], "left").join(F.broadcast(lang), "lang", "left")
+    z = {m: (F.col(m) - F.coalesce(f"m_{m}", f"lm_{m}", F.lit(0.0))) / F.greatest(F.lit(1e-3), F.coalesce(f"s_{m}", f"ls_{m}", F.lit(1.0))) for m in measures}
     out = j.select("doc_id", "lang", "n_words", "n_types", *measures, *(v.alias(f"z_{m}") for m, v in z.items()))
     return out.withColumn("extreme", F.greatest(*(F.abs(f"z_{m}") for m in measures)) > extreme)
 
