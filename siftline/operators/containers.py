@@ -73,7 +73,7 @@ def dockerfile_hits(files: DataFrame) -> DataFrame:
     return single.unionByName(missing).withColumn("severity", F.element_at(severity, F.col("rule_id")))
 
 
-_SERVICE = "project string, rel_path string, service string, line_no int, image string, user string, privileged boolean, network_mode string, pid string, ipc string, ports array<string>, volumes array<string>, cap_add array<string>, env map<string,string>"
+_SERVICE = "project string, rel_path string, service string, line_no int, image string, user string, privileged boolean, network_mode string, pid string, ipc string, ports array<string>, volumes array<string>, cap_add array<string>, env array<string>"
 
 
 def compose_services(text: str) -> list[dict]:
@@ -95,7 +95,7 @@ def compose_services(text: str) -> list[dict]:
         if base == 0:
             base = depth
         if depth == base and m and not m[2]:
-            out.append({"service": m[1], "line_no": no, "ports": [], "volumes": [], "cap_add": [], "env": {}})
+            out.append({"service": m[1], "line_no": no, "ports": [], "volumes": [], "cap_add": [], "env": []})
             item, block = 0, ""
         elif out:
             x = out[-1]
@@ -113,7 +113,7 @@ def compose_services(text: str) -> list[dict]:
                 x[block].append(s[2:].strip().strip("\"'"))
             elif block == "environment":
                 k, _, v = s[2:].partition("=") if s.startswith("- ") else s.partition(":")
-                x["env"][k.strip()] = v.strip().strip("\"'")
+                x["env"].append(k.strip() + "=" + v.strip().strip("\"'"))
     return out
 
 
@@ -121,11 +121,10 @@ def services(files: DataFrame) -> DataFrame:
     """One row for each service of the compose files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in re.split(r", (?=\w+ )", _SERVICE)]
+        names = [c.split(" ")[0] for c in _SERVICE.split(", ")]
         for b in batches:
-            rows = [{"project": p, "rel_path": r} | x for p, r, t in zip(b["project"], b["rel_path"], b["content"], strict=True) for x in compose_services(t)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.assign(privileged=out["privileged"].map(lambda v: v is True).astype(bool))
+            found = [{"project": p, "rel_path": r, "privileged": False} | x for p, r, t in zip(b["project"], b["rel_path"], b["content"], strict=True) for x in compose_services(t)]
+            yield pd.DataFrame({n: pd.Series([x.get(n) for x in found], dtype=object) for n in names})
 
     f = files.where(F.lower(basename(F.col("rel_path"))).rlike(r"compose.*\.ya?ml$") & F.col("content").isNotNull())
     return f.select("project", "rel_path", "content").mapInPandas(run, _SERVICE)
@@ -150,7 +149,8 @@ def compose_hits(svc: DataFrame) -> DataFrame:
     database = svc.where(F.coalesce("image", "service").rlike(DATABASE_IMAGES) & (F.size("ports") > 0))
     web = svc.where(F.col("service").rlike(WEB_NAMES)).select(*keys).distinct()
     beside = database.join(web, keys, "left_semi").select(*keys, "line_no", "service", F.lit("VG-DCK-018").alias("rule_id"))
-    env = svc.select(*keys, "line_no", "service", F.explode("env").alias("k", "v")).where("v <> ''")
+    env = svc.select(*keys, "line_no", "service", F.explode("env").alias("e"))
+    env = env.select(*keys, "line_no", "service", F.regexp_extract("e", "^([^=]*)=", 1).alias("k"), F.regexp_extract("e", "^[^=]*=(.*)$", 1).alias("v")).where("v <> ''")
     weak = env.where(F.col("k").rlike("(?i)pass") & F.lower("v").isin(*DEFAULT_PASSWORDS)).select(*keys, "line_no", "service", F.lower("v").alias("secret")).distinct()
     other = env.select(*keys, F.col("service").alias("user_of"), F.lower("v").alias("used"))
     shared = weak.join(other, keys).where((F.col("user_of") != F.col("service")) & F.contains("used", "secret")).select(*keys, "line_no", "service", F.lit("VG-DCK-020").alias("rule_id")).distinct()

@@ -28,7 +28,7 @@ def rule_hits(lines: DataFrame, keys: Sequence[str], rules: Sequence[R.Rule] = R
 
     Every pattern is a literal of the projection, so that it is compiled once for each task and there is no
     join of lines with rules. Deserialisation is LOW on a literal, CRITICAL on request data, else HIGH.
-    Evidence of secrets is masked. A rule hits a line once. Null lines hit nothing.
+    Evidence of secrets is masked. Comments and descriptions of rules break no code rule. A rule hits a line once. Null lines hit nothing.
     """
     line, low = F.col("line"), F.lower("line")
     hits = []
@@ -43,8 +43,9 @@ def rule_hits(lines: DataFrame, keys: Sequence[str], rules: Sequence[R.Rule] = R
             severity = F.when(literal, "LOW").when(reached, "CRITICAL").otherwise("HIGH")
             confidence = F.when(literal, "LOW").otherwise("HIGH")
         meta = F.struct(F.lit(r.rule_id).alias("rule_id"), severity.alias("severity"), confidence.alias("confidence"), F.lit(r.cwe).alias("cwe"), F.lit(r.title).alias("title"), F.lit(r.category).alias("category"))
-        hits.append(F.when(line.rlike(r.pattern) & ~_harmless(r.rule_id, low), meta))
-    found = lines.where(is_code_line(line)).select(*keys, "line_no", "line", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+        hit = line.rlike(r.pattern) & ~_harmless(r.rule_id, low)
+        hits.append(F.when(hit & F.col("is_code") if r in R.CODE_RULES else hit, meta))
+    found = lines.withColumn("is_code", is_code_line(line)).select(*keys, "line_no", "line", F.explode(F.array_compact(F.array(*hits))).alias("h"))
     evidence = F.when(F.col("h.category") == "secret", mask(blank("line"))).otherwise(blank("line"))
     return found.select(*keys, "line_no", "h.*", evidence.alias("evidence"))
 

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import mask
-from siftline.operators import configs, containers, findings, lexical, nested, rules, sca
+from siftline.operators import code, configs, containers, findings, graph, lexical, nested, rules, sca, taint
 from siftline.plans import sql
-from siftline.sources import corpus
+from siftline.session import written
+from siftline.sinks import reports
+from siftline.sources import baseline, corpus, manifests
 from siftline.sources.tables import table
+from siftline.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2026-10-01"
@@ -188,12 +191,92 @@ def dck_context(spark: SparkSession, folder: str) -> DataFrame:
     return containers.exposed_context(table(spark, folder, "source_files"))
 
 
+def _facts(spark: SparkSession, folder: str) -> DataFrame:
+    return written(code.facts(table(spark, folder, "source_files")), "facts")
+
+
+def ast_functions(spark: SparkSession, folder: str) -> DataFrame:
+    f = code.facts(table(spark, folder, "source_files")).where("kind = 'function'")
+    return f.select(*FILE, "func", "line", "end_line", "name", F.array_join("args", ",").alias("params"))
+
+
+def ast_facts(spark: SparkSession, folder: str) -> DataFrame:
+    return code.facts(table(spark, folder, "source_files")).groupBy(*FILE, "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"))
+
+
+def sem_imports(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.resolved_imports(_facts(spark, folder))
+
+
+def sem_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.call_edges(_facts(spark, folder))
+
+
+def sem_paths(spark: SparkSession, folder: str) -> DataFrame:
+    facts = _facts(spark, folder)
+    at = lambda a, b: F.concat_ws(":", a, b)
+    edges = graph.call_edges(facts).select("project", at("caller_file", "caller").alias("a"), at("callee_file", "callee").alias("b"))
+    sinks = facts.where("kind = 'call' AND func <> ''").where(taint.sink_kind(F.col("name")).isNotNull()).select("project", at("rel_path", "func").alias("node"))
+    p = graph.paths_to(edges, sinks.unionByName(edges.select("project", F.col("b").alias("node"))).distinct())
+    return p.select("project", "start", "sink", F.array_join("path", " > ").alias("path"))
+
+
+def grf_levels(spark: SparkSession, folder: str) -> DataFrame:
+    e = written(graph.flow_edges(table(spark, folder, "findings")), "flow-edges")
+    roots = e.where(F.startswith("a", F.lit("request."))).select("project", F.col("a").alias("node"))
+    return graph.levels(e, roots)
+
+
+def tnt_flows(spark: SparkSession, folder: str) -> DataFrame:
+    return taint.flows(_facts(spark, folder))
+
+
+def tnt_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return taint.flow_kinds(table(spark, folder, "findings"))
+
+
+def fwk_routes(spark: SparkSession, folder: str) -> DataFrame:
+    return code.routes(corpus.lines(table(spark, folder, "source_files"), FILE))
+
+
+def fwk_detected(spark: SparkSession, folder: str) -> DataFrame:
+    return code.frameworks(table(spark, folder, "source_files"))
+
+
+def dep_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """The dependencies read back from manifests that are written from the table of dependencies."""
+    return manifests.dependencies(manifests.rendered(table(spark, folder, "deps"))).distinct()
+
+
+def osv_records(spark: SparkSession, folder: str) -> DataFrame:
+    r = baseline.advisory_records(table(spark, folder, "advisory_raw"))
+    return r.select("raw_id", "vuln_pos", "affected_pos", "id", "package", "ecosystem", F.array_join("fixed_versions", ",").alias("fixed_versions"), "n_ranges")
+
+
+def rep_results(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.sarif_results(table(spark, folder, "findings"))
+
+
+def rep_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.sarif_rules(table(spark, folder, "findings"))
+
+
+def rep_html(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.html_rows(table(spark, folder, "findings"))
+
+
+def str_days(spark: SparkSession, folder: str) -> DataFrame:
+    return streams.severity_days(spark, folder)
+
+
 def queries() -> dict[str, Query]:
     own = [
         p4_found, p4_shapes, src_files, src_lines, lex_code_hits, lex_secret_hits, lex_document_hits, lex_evidence_hits, lex_webhooks, flt_masked,
         fnd_canonical, ddp_exact, ddp_merged, cnf_scores, cor_chains, cor_scope, sup_active, rsk_projects, cat_rollup,
         sca_matches, sca_distinct, sca_severity, sca_best_fix, sca_upsert, sca_stats, sca_top, sca_findings, sca_cache,
         cfg_entries, cfg_nested, cfg_hits, cfg_flat_hits, cfg_env_ignored, dck_instructions, dck_hits, dck_context,
+        ast_functions, ast_facts, sem_imports, sem_calls, sem_paths, grf_levels, tnt_flows, tnt_kinds, fwk_routes, fwk_detected,
+        dep_manifests, osv_records, rep_results, rep_rules, rep_html, str_days,
     ]
     levels = {
         "p4_vulnerabilities": _level("vulnerabilities", "envelope", "vuln_id", "summary"),

@@ -89,9 +89,9 @@ def rule_hits(source: str, keys: str, which: tuple, columns: str) -> str:
             severity = f"CASE WHEN regexp_matches({arg}, {literal}) THEN 'LOW' WHEN {reached} THEN 'CRITICAL' ELSE 'HIGH' END"
         clean = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')".replace("\\", "\\"[:1])
         evidence = f"CASE WHEN length({clean}) > 8 THEN left({clean}, 8) || '****' ELSE '****' END" if r.category == "secret" else clean
-        parts.append(f"SELECT {keys}, line_no, {quoted(r.rule_id)} AS rule_id, {severity} AS severity, {evidence} AS evidence FROM code WHERE regexp_matches(line, {quoted(r.pattern)}){unharmed}")
+        parts.append(f"SELECT {keys}, line_no, {quoted(r.rule_id)} AS rule_id, {severity} AS severity, {evidence} AS evidence FROM {'code' if r in rules.CODE_RULES else 'l'} WHERE regexp_matches(line, {quoted(r.pattern)}){unharmed}")
     body = " UNION ALL ".join(parts)
-    return f"WITH code AS (SELECT * FROM {source} WHERE NOT regexp_matches(line, {quoted(rules.COMMENT)}) AND NOT regexp_matches(line, {quoted(rules.METADATA)})), hits AS ({body}) SELECT {columns} FROM hits"
+    return f"WITH l AS (SELECT * FROM {source}), code AS (SELECT * FROM l WHERE NOT regexp_matches(line, {quoted(rules.COMMENT)}) AND NOT regexp_matches(line, {quoted(rules.METADATA)})), hits AS ({body}) SELECT {columns} FROM hits"
 
 
 _FILE_LINES, _DOC_LINES, _EVIDENCE_LINES = lines("source_files", "file_key", "content"), lines("documents", "doc_id", "text"), lines("findings", "finding_key", "evidence")
@@ -268,9 +268,9 @@ SELECT eco, pkg, version, left(sha256(eco || ':' || pkg || ':' || version), 24)
 
 
 def statements() -> dict[str, str]:
-    from siftline.plans import sql_files
+    from siftline.plans import sql_code, sql_files
 
-    return sql_files.statements() | {
+    return sql_files.statements() | sql_code.statements() | {
         "p4_found": P4_FOUND, "p4_vulnerabilities": P4_VULNERABILITIES, "p4_affected": P4_AFFECTED, "p4_ranges": P4_RANGES,
         "src_files": SRC_FILES, "src_lines": SRC_LINES,
         "lex_code_hits": LEX_CODE, "lex_secret_hits": LEX_SECRET, "lex_document_hits": LEX_DOCUMENTS, "lex_evidence_hits": LEX_EVIDENCE, "lex_webhooks": LEX_WEBHOOKS, "flt_masked": FLT_MASKED,
