@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import counted_vector, digest, run_key, runs
-from siftline.session import new_table_path
+from siftline.session import new_table_path, written
 
 CELL_VECTORS = 64
 #: The least share of the larger multiset, as a fraction of whole numbers.
@@ -81,7 +81,9 @@ class CellIndex:
 
         A block keeps the form it got when it was built, so that old and new rows meet in the same cells.
         """
-        distinct = rows.groupBy("block", "n", "vec", "source", "batch").agg(F.min("key").alias("key"))
+        return self._append(written(classes(rows), "classes"))
+
+    def _append(self, distinct: DataFrame) -> CellIndex:
         cells_of(distinct, self.order).sortWithinPartitions("block", "cell").write.mode("append").parquet(f"{self.path}/cells")
         return self
 
@@ -101,14 +103,20 @@ class CellIndex:
         return near.groupBy("q_key", "source").agg(F.min("key").alias("accepted_key")).select("accepted_key", F.col("q_key").alias("key"), "source")
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """One row for each distinct vector of a block, source and batch, with the smallest key."""
+    return rows.groupBy("block", "n", "vec", "source", "batch").agg(F.min("key").alias("key")).select("block", "n", "vec", "source", "batch", "key")
+
+
 def build_index(rows: DataFrame, path: str | None = None, cell_vectors: int = CELL_VECTORS) -> CellIndex:
     """The index over `rows` (of entries()), written to `path` or a new folder of the shared one."""
     index = CellIndex(rows.sparkSession, path or new_table_path(rows.sparkSession, "cells"))
-    vectors = rows.select("block", "vec").distinct()
+    distinct = written(classes(rows), "classes")  # the vectors are made once
+    vectors = distinct.select("block", "vec").distinct()
     large = vectors.groupBy("block").agg(F.count(F.lit(1)).alias("vectors")).where(F.col("vectors") > cell_vectors)
     said = vectors.join(large, "block", "left_semi").select("block", F.explode("vec").alias("run"))
     said.groupBy("block", "run").agg(F.count(F.lit(1)).alias("rows")).write.parquet(f"{index.path}/order")
-    return index.append(rows)
+    return index._append(distinct)
 
 
 def suppressed(incoming: DataFrame, suppressions: DataFrame) -> DataFrame:
@@ -144,7 +152,7 @@ def repeats(findings: DataFrame, incoming: DataFrame, suppressions: DataFrame) -
     findings and all batches are put into one index; a batch sees findings and the batches below its own
     number, which is the same as probing and appending batch after batch. Empty tables give no rows.
     """
-    asked = entries(incoming, "inc_key", "incoming_findings", "batch_no")
+    asked = written(entries(incoming, "inc_key", "incoming_findings", "batch_no"), "asked")
     index = build_index(entries(findings, "finding_key", "findings").unionAll(asked.where("batch IS NOT NULL")))
     hits = index.probe(asked).select("accepted_key", F.col("key").alias("inc_key"), F.col("source").alias("accepted_in"))
     return hits.unionByName(suppressed(incoming, suppressions).withColumn("accepted_in", F.lit("suppressions")))
