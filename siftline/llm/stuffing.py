@@ -186,15 +186,17 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
     A page without a word other than its links' parts has no curve to compare with, but those parts are words.
     """
     rows = pages(documents)
-    sentences = prose_sentences(rows)
-    model = written(prose_model(sentences), "prose")
-    found = extremes(curves(rows, model), sentences).where("extreme")
-    return checked(rows, found, model)
+    fits, model = _measured(rows)
+    return checked(rows, fits.where("extreme"), model)
 
 
 def page_curves(documents: DataFrame) -> DataFrame:
     """extremes() of all pages."""
-    rows = pages(documents)
-    sentences = prose_sentences(rows)
+    return _measured(pages(documents))[0]
+
+
+def _measured(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """extremes() and the prose model. Sentences and curves are written, since both are read several times."""
+    sentences = written(prose_sentences(rows), "sentences")
     model = written(prose_model(sentences), "prose")
-    return extremes(curves(rows, model), sentences)
+    return extremes(written(curves(rows, model), "curves"), sentences), model
