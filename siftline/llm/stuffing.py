@@ -30,7 +30,6 @@ SENTENCE_WORDS = 7
 PROSE_SHARE = 0.8
 
 _WORDS = r"\p{L}+(?:['’]\p{L}+)?"
-_SENTENCES = r"(?<![^\s\-*.)\]:])\p{Lu}[^.?!\n]*(?:\.\d[^.?!\n]*)*[.?!](?=\s|$)"
 _LINKS = r"https?://|www\."
 
 
@@ -45,7 +44,8 @@ def pages(documents: DataFrame) -> DataFrame:
 
 def prose_sentences(rows: DataFrame) -> DataFrame:
     """(doc_id, lang, words): the sentences of at least SENTENCE_WORDS words without a link, as arrays of words."""
-    s = rows.select("doc_id", "lang", F.explode(F.regexp_extract_all("text", F.lit(_SENTENCES), 0)).alias("s")).where(~F.col("s").rlike(_LINKS))
+    s = rows.select("doc_id", "lang", F.explode(F.split("text", r"\n|(?<=[.?!])\s+")).alias("s"))
+    s = s.select("doc_id", "lang", F.trim(F.regexp_replace("s", r"^[\s\-*#>0-9.()\[\]:]+", "")).alias("s")).where(F.col("s").rlike(r"^\p{Lu}") & F.col("s").rlike(r"[.?!]$") & ~F.col("s").rlike(_LINKS))
     return s.select("doc_id", "lang", _words(F.col("s")).alias("words")).where(F.size("words") >= SENTENCE_WORDS)
 
 
@@ -124,7 +124,7 @@ _SENTENCE_END = re.compile(r"[.?!:]\W*(?:\(#\d+\))?\s*$")
 def is_sentence(text: str, common: frozenset[str]) -> bool:
     """At least six words, two fifths of them common ones, and an end."""
     w = _WORD.findall(text.lower())
-    return len(w) >= 6 and 5 * sum(x in common for x in w) >= 2 * len(w) and bool(_SENTENCE_END.search(text))
+    return len(w) >= 6 and 5 * sum(x in common for x in w) >= 2 * len(w) and bool(_SENTENCE_END.search(text[-200:]))
 
 
 def _kind(line: str, common: frozenset[str]) -> str:
