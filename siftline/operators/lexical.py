@@ -18,6 +18,13 @@ def _harmless(rule_id: str, low: Column) -> Column:
     return out
 
 
+def _holds_one(low: Column, texts: Sequence[str]) -> Column:
+    out = F.lit(not texts)
+    for t in texts:
+        out = out | F.contains(low, F.lit(t))
+    return out
+
+
 def is_code_line(line: Column) -> Column:
     """Neither a comment nor a line of a rule's own description."""
     return ~line.rlike(R.COMMENT) & ~line.rlike(R.METADATA)
@@ -30,7 +37,7 @@ def rule_hits(lines: DataFrame, keys: Sequence[str], rules: Sequence[R.Rule] = R
     join of lines with rules. Deserialisation is LOW on a literal, CRITICAL on request data, else HIGH.
     Evidence of secrets is masked. Comments and descriptions of rules break no code rule. A rule hits a line once. Null lines hit nothing.
     """
-    line, low = F.col("line"), F.lower("line")
+    line, low = F.col("line"), F.col("low")
     hits = []
     for r in rules:
         severity, confidence = F.lit(r.severity), F.lit("MEDIUM")
@@ -43,9 +50,9 @@ def rule_hits(lines: DataFrame, keys: Sequence[str], rules: Sequence[R.Rule] = R
             severity = F.when(literal, "LOW").when(reached, "CRITICAL").otherwise("HIGH")
             confidence = F.when(literal, "LOW").otherwise("HIGH")
         meta = F.struct(F.lit(r.rule_id).alias("rule_id"), severity.alias("severity"), confidence.alias("confidence"), F.lit(r.cwe).alias("cwe"), F.lit(r.title).alias("title"), F.lit(r.category).alias("category"))
-        hit = line.rlike(r.pattern) & ~_harmless(r.rule_id, low)
+        hit = _holds_one(low, R.NEEDS.get(r.rule_id, ())) & line.rlike(r.pattern) & ~_harmless(r.rule_id, low)
         hits.append(F.when(hit & F.col("is_code") if r in R.CODE_RULES else hit, meta))
-    found = lines.withColumn("is_code", is_code_line(line)).select(*keys, "line_no", "line", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    found = lines.withColumns({"is_code": is_code_line(line), "low": F.lower("line")}).select(*keys, "line_no", "line", F.explode(F.array_compact(F.array(*hits))).alias("h"))
     evidence = F.when(F.col("h.category") == "secret", mask(blank("line"))).otherwise(blank("line"))
     return found.select(*keys, "line_no", "h.*", evidence.alias("evidence"))
 

@@ -62,6 +62,32 @@ SECRET_RULES = (
     Rule("VG-SEC-008", "Generic Credential", "secret", "CRITICAL", "CWE-798", r"""(?i)(?:secret|credential)\s*[:=]\s*['"][^'"]{8,}['"]"""),
 )
 RULES = CODE_RULES + SECRET_RULES
+#: Texts of which a line in lower case has to hold one before a rule's pattern is tried; each pattern implies one of its texts.
+NEEDS = {
+    "VG-SAST-001": ("select", "insert", "update", "delete", "drop", "query", "execute("),
+    "VG-SAST-002": ("exec.command(", "os.system(", "os.popen(", "subprocess.", "child_process.", "runtime.getruntime"),
+    "VG-SAST-003": ("eval(", "function(", "exec("),
+    "VG-SAST-004": ("insecureskipverify", "verify", "rejectunauthorized", "node_tls_reject"),
+    "VG-SAST-005": ("md5", "sha1", "des", "rc4", "math.random"),
+    "VG-PY-001": ("random.",),
+    "VG-SAST-006": ("http://",),
+    "VG-SAST-007": ("password",),
+    "VG-SAST-008": ("shell",),
+    "VG-CMD-LIST": ("subprocess.", "os.execv"),
+    "VG-SAST-009": ("pickle", "yaml.", "marshal.", "shelve."),
+    "VG-SAST-010": ("debug",),
+    "VG-AUTH-001": ("md5(", "sha1("),
+    "VG-AUTH-002": ("base64.", "encode()", "token"),
+    "VG-AUTH-003": ("authorization:", "_token", "jwt_secret"),
+    "VG-SEC-001": ("akia",),
+    "VG-SEC-002": ("api",),
+    "VG-SEC-003": ("ghp_",),
+    "VG-SEC-004": ("xox",),
+    "VG-SEC-005": ("-----begin",),
+    "VG-SEC-006": ("passw", "pwd"),
+    "VG-SEC-007": ("token", "secret"),
+    "VG-SEC-008": ("secret", "credential"),
+}
 
 # Weaknesses of the rules that have no pattern of their own.
 OTHER_CWE = {
