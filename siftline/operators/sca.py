@@ -137,3 +137,12 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, as_of: str, hours: int = 2
     age = F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(hours=F.lit(hours))
     state = F.when(F.col("cached_at").isNull(), "missing").when(F.col("cached_at") > age, "fresh").otherwise("stale")
     return j.select("eco", "pkg", "version", F.substring(F.sha2(ident, 256), 1, 24).alias("cache_key"), state.alias("state"))
+
+
+def write_store(advisories: DataFrame, path: str) -> None:
+    """The advisory table as Parquet by ecosystem, with its package list and its counts beside it."""
+    eco, pkg = package_key("ecosystem", "package")
+    keyed = advisories.withColumn("eco", eco)
+    keyed.write.mode("overwrite").partitionBy("eco").parquet(f"{path}/advisories")
+    advisories.select(eco.alias("eco"), pkg.alias("pkg")).distinct().write.mode("overwrite").parquet(f"{path}/packages")
+    stats(advisories).write.mode("overwrite").json(f"{path}/metadata")

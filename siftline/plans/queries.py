@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import mask
-from siftline.operators import code, configs, containers, findings, graph, lexical, nested, rules, sca, taint
+from siftline.operators import code, configs, containers, findings, graph, lexical, nested, rules, sca, semantic, taint
 from siftline.plans import sql
 from siftline.session import written
 from siftline.sinks import reports
@@ -235,6 +235,40 @@ def tnt_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return taint.flow_kinds(table(spark, folder, "findings"))
 
 
+def tnt_tiers(spark: SparkSession, folder: str) -> DataFrame:
+    return semantic.verified(table(spark, folder, "findings"))
+
+
+def rul_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return semantic.semantic_hits(_facts(spark, folder))
+
+
+def rul_markup(spark: SparkSession, folder: str) -> DataFrame:
+    return semantic.raw_html_hits(corpus.lines(table(spark, folder, "findings"), ["finding_key"], "evidence"), ["finding_key"])
+
+
+def sec_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return semantic.secret_scores(corpus.lines(table(spark, folder, "source_files"), ["file_key", "rel_path"]), ["file_key", "rel_path"])
+
+
+def ben_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return semantic.label_percentages(findings.scored(table(spark, folder, "findings")))
+
+
+def rsk_levels(spark: SparkSession, folder: str) -> DataFrame:
+    p = findings.project_scores(table(spark, folder, "findings"))
+    return p.select("project", "score", semantic.risk_level(F.col("score")).alias("level"))
+
+
+def ldf_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    return semantic.enclosing_functions(_facts(spark, folder))
+
+
+def str_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    s = streams.stream_table(spark, folder, "incoming_findings").select("received_at", "project")
+    return streams.drained(streams.session_counts(s, "received_at", "project"), "sessions")
+
+
 def fwk_routes(spark: SparkSession, folder: str) -> DataFrame:
     return code.routes(corpus.lines(table(spark, folder, "source_files"), FILE))
 
@@ -276,7 +310,8 @@ def queries() -> dict[str, Query]:
         sca_matches, sca_distinct, sca_severity, sca_best_fix, sca_upsert, sca_stats, sca_top, sca_findings, sca_cache,
         cfg_entries, cfg_nested, cfg_hits, cfg_flat_hits, cfg_env_ignored, dck_instructions, dck_hits, dck_context,
         ast_functions, ast_facts, sem_imports, sem_calls, sem_paths, grf_levels, tnt_flows, tnt_kinds, fwk_routes, fwk_detected,
-        dep_manifests, osv_records, rep_results, rep_rules, rep_html, str_days,
+        dep_manifests, osv_records, rep_results, rep_rules, rep_html, str_days, str_sessions,
+        tnt_tiers, rul_hits, rul_markup, sec_scores, ben_labels, rsk_levels, ldf_scopes,
     ]
     levels = {
         "p4_vulnerabilities": _level("vulnerabilities", "envelope", "vuln_id", "summary"),

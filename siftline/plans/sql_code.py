@@ -1,7 +1,7 @@
 """DuckDB statements for the queries on graphs, taint, manifests, reports and streams."""
 
-from siftline.operators import code, graph, taint
-from siftline.plans.sql import _SEVERITY, P4_AFFECTED, P4_FOUND, P4_RANGES, P4_VULNERABILITIES, quoted
+from siftline.operators import code, graph, semantic, taint
+from siftline.plans.sql import _LABEL, _SCORED, _SEVERITY, P4_AFFECTED, P4_FOUND, P4_RANGES, P4_VULNERABILITIES, RSK_PROJECTS, lines, quoted
 from siftline.sinks import reports
 
 GRF_LEVELS = f"""
@@ -70,5 +70,34 @@ _FW = " UNION ALL ".join(
 )
 
 
+_CALL_ARG, _LITERAL = quoted(r"\(([^()]*)\)"), quoted(r"""^(?:"[^"{]*"|'[^'{]*'|[0-9]+)$""")
+_BIT = "CASE kind " + " ".join(f"WHEN {quoted(k)} THEN {1 << i}" for i, k in enumerate(taint.KINDS)) + " ELSE 0 END"
+TNT_TIERS = f"""
+WITH x AS (SELECT f.*, k.kind, k.clears FROM findings f JOIN ({TNT_KINDS}) k USING (finding_key)),
+t AS (SELECT finding_key, CASE WHEN coalesce(regexp_matches(regexp_extract(evidence, {_CALL_ARG}, 1), {_LITERAL}), false) OR (clears & ({_BIT})) > 0 THEN 'informational'
+  WHEN source IS NOT NULL AND (kind IS NOT NULL OR sink IS NOT NULL) AND coalesce(len(data_flow), 0) >= 2 THEN 'confirmed' WHEN kind IS NOT NULL OR sink IS NOT NULL THEN 'potential' ELSE 'informational' END AS tier FROM x)
+SELECT finding_key, tier, CASE tier WHEN 'confirmed' THEN 'HIGH' WHEN 'potential' THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM t
+"""
+BEN_LABELS = f"SELECT project, count(*) AS n, " + ", ".join(f"(100 * sum((label = '{x}')::INT) // count(*))::INT AS {x.lower()}" for x in ("HIGH", "MEDIUM", "LOW")) + f" FROM (SELECT project, {_LABEL.format('score')} AS label FROM ({_SCORED})) GROUP BY 1"
+RSK_LEVELS = f"SELECT project, score, CASE WHEN score < 60 THEN 'CRITICAL' WHEN score < 75 THEN 'HIGH' WHEN score < 90 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM ({RSK_PROJECTS})"
+_S_KEY = quoted(semantic.SECRET_KEY.replace("(?![=])", "(?:[^=]|$)"))
+_S = {k: quoted(v) for k, v in {"cmp": semantic.COMPARISON, "val": semantic.QUOTED_VALUE, "ph": semantic.PLACEHOLDERS, "doc": semantic.DOCUMENT_FILE, "test": semantic.TEST_FILE, "file": semantic.SECRET_FILE}.items()}
+_PATHS = lines("source_files", "file_key, rel_path", "content")
+_REMARK = quoted(r"^\s*(?:#|//|/\*|\*|--)")
+SEC_SCORES = f"""
+WITH l AS (SELECT *, coalesce(rel_path, '') AS p, regexp_extract(line, {_S["val"]}, 1) AS v FROM {_PATHS} WHERE regexp_matches(line, {_S_KEY}) AND NOT regexp_matches(line, {_S["cmp"]})),
+s AS (SELECT file_key, rel_path, line_no, greatest(0, least(100, 45 + CASE WHEN regexp_matches(p, {_S["file"]}) THEN 30 ELSE 0 END + CASE WHEN v <> '' THEN 15 ELSE 0 END
+  + CASE WHEN lower(v) NOT IN ('', 'password', 'admin', 'secret', 'token') AND NOT regexp_matches(v, {_S["ph"]}) THEN 15 ELSE 0 END
+  + CASE WHEN regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AND (regexp_matches(v, '[^A-Za-z0-9]') OR length(v) >= 16) THEN 10 ELSE 0 END + CASE WHEN regexp_matches(p, {_S["doc"]}) THEN -30 ELSE 10 END
+  + CASE WHEN regexp_matches(line, {_S["ph"]}) THEN -25 ELSE 0 END + CASE WHEN regexp_matches(line, {_REMARK}) THEN -20 ELSE 0 END + CASE WHEN regexp_matches(p, {_S["test"]}) THEN -40 ELSE 0 END)) AS score FROM l)
+SELECT *, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS label FROM s WHERE score >= 20
+"""
+STR_SESSIONS = """
+WITH r AS (SELECT project, received_at AS t, coalesce(received_at - lag(received_at) OVER w >= INTERVAL 6 HOUR, true) AS new FROM incoming_findings WHERE received_at IS NOT NULL WINDOW w AS (PARTITION BY project ORDER BY received_at)),
+s AS (SELECT project, t, sum(new::INT) OVER (PARTITION BY project ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM r)
+SELECT project, min(t) AS session_start, max(t) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY project, k
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"grf_levels": GRF_LEVELS, "tnt_kinds": TNT_KINDS, "dep_manifests": DEP_MANIFESTS, "osv_records": OSV_RECORDS, "rep_rules": REP_RULES, "rep_html": REP_HTML, "str_days": STR_DAYS, "fwk_detected": _FW}
+    return {"grf_levels": GRF_LEVELS, "tnt_kinds": TNT_KINDS, "dep_manifests": DEP_MANIFESTS, "osv_records": OSV_RECORDS, "rep_rules": REP_RULES, "rep_html": REP_HTML, "str_days": STR_DAYS, "fwk_detected": _FW, "tnt_tiers": TNT_TIERS, "ben_labels": BEN_LABELS, "rsk_levels": RSK_LEVELS, "sec_scores": SEC_SCORES, "str_sessions": STR_SESSIONS}

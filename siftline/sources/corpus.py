@@ -87,3 +87,12 @@ def diff_added(diff_lines: DataFrame, by: str, order: str = "line_no", line: str
     named = F.when(F.col(line).rlike(r"^\+\+\+ "), F.regexp_replace(F.regexp_extract(line, r"^\+\+\+ (\S+)", 1), r"^b/", ""))
     d = diff_lines.withColumn("file", F.last(named, ignorenulls=True).over(w))
     return d.where(F.col(line).rlike(r"^\+(?!\+\+ )")).select(by, order, "file", F.substring(line, 2, 1 << 30).alias("text"))
+
+
+def push_refs(lines_: DataFrame, line: str = "line") -> DataFrame:
+    """(local_ref, local_sha, remote_ref, remote_sha, action) of pre-push lines with four fields or more: delete, create, noop or update."""
+    p = F.split(F.trim(F.regexp_replace(F.col(line), r"\s+", " ")), " ")
+    x = lines_.where(F.size(p) >= 4).select(*(F.get(p, i).alias(n) for i, n in enumerate(("local_ref", "local_sha", "remote_ref", "remote_sha"))))
+    zero = "^0+$"
+    action = F.when(F.col("local_sha").rlike(zero), "delete").when(F.col("local_sha") == F.col("remote_sha"), "noop").when(F.col("remote_sha").rlike(zero), "create").otherwise("update")
+    return x.withColumn("action", action)
