@@ -50,6 +50,11 @@ def as_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
+def as_array(v: Column) -> Column:
+    """A variant array as an array; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
 def as_list(v: Column) -> Column:
     """A variant array as an array; an object as an array of it alone; otherwise empty."""
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(as_object(v).isNotNull(), F.array(v)), F.array().cast("array<variant>"))

@@ -9,10 +9,12 @@ supertype (the positions on the way down), which are the links to the parent.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.documents import as_list, as_object, member, plain_json, text_of
+from siftline.functions.documents import as_array, as_object, member, plain_json, text_of
 from siftline.functions.text import let
 
 #: The bounds an event may give. Fixed values.
@@ -26,62 +28,72 @@ KEYS = {
 }
 
 
-def _list_state(v: Column, states: Column) -> Column:
+def _listing(v: Column) -> Column:
+    """(form, items): `array` or `object` and the elements; null and no element for anything else. Each cast is evaluated once."""
+    none = F.struct(F.lit(None).cast("string").alias("form"), F.array().cast("array<variant>").alias("items"))
+    one = F.struct(F.lit("object").alias("form"), F.array(v).alias("items"))
+    return let(as_array(v), lambda a: F.when(a.isNotNull(), F.struct(F.lit("array").alias("form"), a.alias("items"))).when(as_object(v).isNotNull(), one).otherwise(none))
+
+
+def _list_state(form: Column, states: Column) -> Column:
     """The state of a list (or of an object in its place) from those of its elements."""
     inner = F.array_join(F.array_sort(F.array_distinct(states)), ",")
-    return F.when(as_object(v).isNotNull(), inner).when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.concat(F.lit("["), inner, F.lit("]"))).otherwise("null")
+    return F.when(form == "object", inner).when(form == "array", F.concat(F.lit("["), inner, F.lit("]"))).otherwise("null")
 
 
 def _state(level: str, v: Column, parts: list[Column]) -> Column:
     """δ(level, states of the parts); a thing that is no object has the state `null` or `alien`."""
     named = F.concat(F.lit(level + "("), F.array_join(F.array(*parts), ","), F.lit(")"))
-    return F.when(as_object(v).isNotNull(), named).when(text_of(v).isNull() & F.try_variant_get(v, "$", "array<variant>").isNull(), F.lit("null")).otherwise("alien")
+    return F.when(as_object(v).isNotNull(), named).when(text_of(v).isNull() & as_array(v).isNull(), F.lit("null")).otherwise("alien")
 
 
 def _event(v: Column) -> Column:
-    texts = [text_of(member(v, b)) for b in BOUNDS]
-    given = [F.when(t != "", F.lit(b)) for t, b in zip(texts, BOUNDS, strict=True)]
-    return F.struct(_state("event", v, given).alias("state"), *(t.alias(b) for t, b in zip(texts, BOUNDS, strict=True)))
+    def typed(texts: Column) -> Column:
+        each = [(b, texts[i]) for i, b in enumerate(BOUNDS)]
+        return F.struct(_state("event", v, [F.when(t != "", F.lit(b)) for b, t in each]).alias("state"), *(t.alias(b) for b, t in each))
 
+    return let(F.array(*(text_of(member(v, b)) for b in BOUNDS)), typed)
 
-def _range(v: Column) -> Column:
-    of = member(v, "events")
 
-    def typed(events: Column) -> Column:
-        kind = text_of(member(v, "type"))
-        return F.struct(_state("range", v, [F.when(kind.isNotNull(), F.lit("type")), F.concat(F.lit("events="), _list_state(of, F.transform(events, lambda e: e["state"])))]).alias("state"), kind.alias("range_type"), events.alias("events"))
+def _parent(v: Column, key: str, child: Callable[[Column], Column], typed: Callable[[Column, Column], Column]) -> Column:
+    """`typed(state of the list under key, its typed elements)`, both computed once."""
+    return let(_listing(member(v, key)), lambda x: let(F.transform(x["items"], child), lambda c: typed(_list_state(x["form"], F.transform(c, lambda e: e["state"])), c)))
 
-    return let(F.transform(as_list(of), _event), typed)
 
+def _range(v: Column) -> Column:
+    def typed(state: Column, events: Column) -> Column:
+        kind = lambda k: F.struct(_state("range", v, [F.when(k.isNotNull(), F.lit("type")), F.concat(F.lit("events="), state)]).alias("state"), k.alias("range_type"), events.alias("events"))
+        return let(text_of(member(v, "type")), kind)
+
+    return _parent(v, "events", _event, typed)
 
-def _affected(v: Column) -> Column:
-    of, package = member(v, "ranges"), member(v, "package")
 
-    def typed(ranges: Column) -> Column:
+def _affected(v: Column) -> Column:
+    def typed(state: Column, ranges: Column) -> Column:
+        package = member(v, "package")
         return F.struct(
-            _state("affected", v, [F.when(as_object(package).isNotNull(), F.lit("package")), F.concat(F.lit("ranges="), _list_state(of, F.transform(ranges, lambda r: r["state"])))]).alias("state"),
+            _state("affected", v, [F.when(as_object(package).isNotNull(), F.lit("package")), F.concat(F.lit("ranges="), state)]).alias("state"),
             text_of(member(package, "name")).alias("package"),
             text_of(member(package, "ecosystem")).alias("ecosystem"),
-            F.transform(as_list(member(v, "versions")), text_of).alias("versions"),
+            F.transform(_listing(member(v, "versions"))["items"], text_of).alias("versions"),
             ranges.alias("ranges"),
         )
 
-    return let(F.transform(as_list(of), _range), typed)
+    return _parent(v, "ranges", _range, typed)
 
 
 def _vulnerability(v: Column) -> Column:
-    of = member(v, "affected")
-
-    def typed(affected: Column) -> Column:
+    def typed(state: Column, affected: Column) -> Column:
+        ident = text_of(member(v, "id"))
         return F.struct(
-            _state("vuln", v, [F.when(text_of(member(v, "id")).isNotNull(), F.lit("id")), F.concat(F.lit("affected="), _list_state(of, F.transform(affected, lambda a: a["state"])))]).alias("state"),
-            text_of(member(v, "id")).alias("vuln_id"),
+            _state("vuln", v, [F.when(ident.isNotNull(), F.lit("id")), F.concat(F.lit("affected="), state)]).alias("state"),
+            ident.alias("vuln_id"),
             text_of(member(v, "summary")).alias("summary"),
-            F.transform(as_list(member(v, "aliases")), text_of).alias("aliases"),
+            F.transform(_listing(member(v, "aliases"))["items"], text_of).alias("aliases"),
             affected.alias("affected"),
         )
 
-    return let(F.transform(as_list(of), _affected), typed)
+    return _parent(v, "affected", _affected, typed)
 
 
 def classified(raw: DataFrame) -> DataFrame:
@@ -92,11 +104,11 @@ def classified(raw: DataFrame) -> DataFrame:
     as they are; other columns of `raw` don't matter.
     """
     v = raw.select("raw_id", F.try_parse_json(plain_json("payload")).alias("v"))
-    inner = F.col("inner")
-    wrapped = F.when(as_object(member(F.col("v"), "vulns")).isNotNull() | F.try_variant_get(member(F.col("v"), "vulns"), "$", "array<variant>").isNotNull(), member(F.col("v"), "vulns"))
-    envelope = F.when(wrapped.isNotNull(), "vulns").when(as_object(F.col("v")).isNotNull(), "one").when(F.try_variant_get("v", "$", "array<variant>").isNotNull(), "list").otherwise("none")
-    v = v.select("raw_id", envelope.alias("envelope"), F.coalesce(wrapped, F.col("v")).alias("inner"))
-    return v.select("raw_id", "envelope", F.transform(as_list(inner), _vulnerability).alias("vulns"))
+    v = v.select("raw_id", _listing(member(F.col("v"), "vulns")).alias("w"), _listing(F.col("v")).alias("l"))
+    wrapped = F.col("w.form").isNotNull()
+    envelope = F.when(wrapped, "vulns").when(F.col("l.form") == "object", "one").when(F.col("l.form") == "array", "list").otherwise("none")
+    v = v.select("raw_id", envelope.alias("envelope"), F.when(wrapped, F.col("w.items")).otherwise(F.col("l.items")).alias("items"))
+    return v.select("raw_id", "envelope", F.transform("items", _vulnerability).alias("vulns"))
 
 
 def flat_tables(raw: DataFrame) -> dict[str, DataFrame]:
