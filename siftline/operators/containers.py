@@ -16,12 +16,13 @@ DATABASE_PORTS, CACHE_PORT = (5432, 3306, 27017), 6379
 SECRET_NAME = r"(?i)password|passwd|secret|token|api_?key|private_?key|credential"
 DEFAULT_PASSWORDS = ("postgres", "root", "password", "password123", "admin", "secret")
 CAPABILITIES = ("ALL", "SYS_ADMIN", "NET_ADMIN", "SYS_PTRACE")
-MOUNTS = r"docker\.sock|^/etc|^/root|^/proc"
+MOUNTS, HOST_MOUNT = r"/var/run/docker\.sock|/etc:|/root:|/proc:", r"^(?:\.:|\./[^:]+:|/[^:]+:)"
+DUMMY = r"^(?:password|secret|admin)$|redispassword"
 DATABASE_IMAGES, WEB_NAMES = r"(?i)postgres|mysql|mariadb|mongo|redis", r"(?i)web|app|api|frontend|backend|server"
 DOCKER_SEVERITY = {
     "VG-DCK-001": "HIGH", "VG-DCK-002": "CRITICAL", "VG-DCK-003": "MEDIUM", "VG-DCK-004": "LOW", "VG-DCK-005": "MEDIUM", "VG-DCK-006": "HIGH", "VG-DCK-007": "HIGH",
-    "VG-DCK-008": "HIGH", "VG-DCK-009": "HIGH", "VG-DCK-011": "HIGH", "VG-DCK-012": "HIGH", "VG-DCK-013": "HIGH", "VG-DCK-014": "HIGH", "VG-DCK-015": "MEDIUM", "VG-DCK-017": "HIGH",
-    "VG-DCK-018": "HIGH", "VG-DCK-019": "CRITICAL", "VG-DCK-020": "CRITICAL",
+    "VG-DCK-008": "HIGH", "VG-DCK-009": "MEDIUM", "VG-DCK-010": "HIGH", "VG-DCK-011": "HIGH", "VG-DCK-012": "HIGH", "VG-DCK-013": "CRITICAL", "VG-DCK-014": "HIGH", "VG-DCK-015": "HIGH", "VG-DCK-016": "HIGH", "VG-DCK-017": "HIGH",
+    "VG-DCK-018": "HIGH", "VG-DCK-019": "HIGH", "VG-DCK-020": "HIGH",
 }
 
 
@@ -132,17 +133,22 @@ def services(files: DataFrame) -> DataFrame:
 
 def compose_hits(svc: DataFrame) -> DataFrame:
     """(project, rel_path, line_no, service, rule_id, severity): what services break alone and with the others of their file."""
-    host = F.exists("volumes", lambda v: F.split_part(v, F.lit(":"), F.lit(1)).rlike(MOUNTS))
-    published = F.transform("ports", lambda p: F.element_at(F.split(F.regexp_replace(p, "/.*$", ""), ":"), -1).try_cast("int"))
+    sensitive = F.exists("volumes", lambda v: v.rlike(MOUNTS))
+    mounted = F.exists("volumes", lambda v: v.rlike(HOST_MOUNT))
+    maps = lambda *ports: F.exists("ports", lambda p: F.regexp_replace(p, "/.*$", "").isin(*(f"{n}:{n}" for n in ports)))
+    weak = F.exists("env", lambda e: e.rlike(r"(?i)^(?:\w*PASS(?:WORD)?|SECRET|KEY)\s*=\s*\S") & (F.lower(F.substring_index(e, "=", -1)).rlike(DUMMY) | (F.length(F.substring_index(e, "=", -1)) < 8)))
     rules = {
-        "VG-DCK-006": F.exists(published, lambda p: p.isin(*DATABASE_PORTS)),
-        "VG-DCK-007": F.exists(published, lambda p: p == CACHE_PORT),
-        "VG-DCK-008": F.col("user").isin("root", "0"),
-        "VG-DCK-009": host,
+        "VG-DCK-006": maps(*DATABASE_PORTS),
+        "VG-DCK-007": maps(CACHE_PORT),
+        "VG-DCK-008": F.lower("user").isin("root", "0"),
+        "VG-DCK-009": mounted & ~sensitive,
+        "VG-DCK-010": weak,
         "VG-DCK-011": F.col("privileged"),
-        "VG-DCK-012": (F.col("network_mode") == "host") | (F.col("pid") == "host") | (F.col("ipc") == "host"),
-        "VG-DCK-013": F.exists("cap_add", lambda c: F.upper(c).isin(*CAPABILITIES)),
-        "VG-DCK-019": F.coalesce(F.col("user"), F.lit("root")).isin("root", "0") & host,
+        "VG-DCK-012": F.exists("cap_add", lambda c: F.upper(c).isin(*CAPABILITIES)),
+        "VG-DCK-013": sensitive,
+        "VG-DCK-015": F.col("network_mode") == "host",
+        "VG-DCK-016": (F.col("pid") == "host") | (F.col("ipc") == "host"),
+        "VG-DCK-019": F.coalesce(F.lower("user"), F.lit("root")).isin("root", "0") & F.exists("volumes", lambda v: F.split_part(v, F.lit(":"), F.lit(1)).rlike(r"^(?:\.$|\./|/)")),
     }
     keys = ["project", "rel_path"]
     alone = svc.select(*keys, "line_no", "service", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())))).alias("rule_id"))

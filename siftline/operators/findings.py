@@ -73,6 +73,17 @@ CHAIN_CLASSES = (
     ClassRow("Security Misconfiguration", "CWE-16", (), (), ("debug", "config")),
     ClassRow("Other Security Issue", "CWE-693"),
 )
+# The families of the second pass over findings of all sources; the first that holds counts, else the canonical class.
+WIDE_FAMILIES = (
+    ClassRow("CREDENTIAL", "CWE-798", ("SEC-", "CFG-008"), (), ("secret", "credential", "key", "token"), ("secret",)),
+    ClassRow("SQL_INJECTION", "CWE-89", ("SQL",), (), ("sql",)),
+    ClassRow("COMMAND_INJECTION", "CWE-78", ("CMD", "SAST-002"), (), ("command",)),
+    ClassRow("SSRF", "CWE-918", ("SSRF",), (), ("ssrf",)),
+    ClassRow("PATH_TRAVERSAL", "CWE-22", ("PATH",), (), ("path",)),
+    ClassRow("XSS", "CWE-79", ("XSS",), (), ("xss",)),
+    ClassRow("DESERIALIZATION", "CWE-502", ("DESER",), (), ("deserializ",)),
+    ClassRow("", ""),
+)
 # How specific a detector is, from rule, title and evidence in lower case; the first that holds counts, else 1.
 SPECIFICITY = (
     (10, ("sec-001",), ("aws",), ("aws_access_key", "akia")),
@@ -179,9 +190,18 @@ def specificity(rule: Column, title: Column, evidence: Column) -> Column:
     return out.otherwise(1)
 
 
-def merged(findings: DataFrame) -> DataFrame:
+def wide_family(rule: Column, title: Column, category: Column, canon: Column) -> Column:
+    """The family of a finding in the second pass, over the findings of scanner, diffs and dependencies together."""
+    e = F.lit("")
+    found = _first(WIDE_FAMILIES, "name", F.upper(F.coalesce(rule, e)), F.lower(F.coalesce(title, e)), F.lower(F.coalesce(category, e)))
+    return F.when(found != "", found).otherwise(F.coalesce(canon, rule))
+
+
+def merged(findings: DataFrame, wide: bool = False) -> DataFrame:
     """One row for each place and family: what several detectors say of one line becomes one finding.
 
+    `wide` groups by wide_family(), the second pass; else by the canonical class.
+
     Exact duplicates (by fingerprint) go first. Rows with a line are grouped by project, lower-case file, line
     and family (all credentials are one family, else the canonical class); rows without a line stay alone. The
     base is the row with the highest severity, then specificity, then longest data flow, then smallest key. It
@@ -195,7 +215,7 @@ def merged(findings: DataFrame) -> DataFrame:
     has_line = F.col("line") > 0
     t = t.withColumns({
         "file_lc": F.lower(F.regexp_replace(F.coalesce("file", F.lit("")), r"\\", "/")),
-        "family": F.when(credential, "CREDENTIAL").otherwise(F.col("canon")),
+        "family": wide_family(F.coalesce("rule_id", "id"), F.col("title"), F.col("category"), F.coalesce("canonical_rule", "canon") if "canonical_rule" in t.columns else F.col("canon")) if wide else F.when(credential, "CREDENTIAL").otherwise(F.col("canon")),
         "alone": F.when(has_line, F.lit(None)).otherwise(F.col("finding_key")),
         "sev": clean_severity("severity"),
         "flow": F.coalesce(F.array_size("data_flow"), F.lit(0)),

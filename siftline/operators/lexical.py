@@ -70,6 +70,30 @@ def missing_webhook_signature(lines: DataFrame, keys: Sequence[str]) -> DataFram
     return x.where(F.col("line").rlike(R.WEBHOOK_ROUTE) & F.col("reads").isNotNull() & ~F.col("signed")).select(*keys, F.col("line_no").alias("route_line"), F.col("reads").alias("line_no"))
 
 
+def diff_secrets(added: DataFrame, keys: Sequence[str], file: str = "file", text: str = "text") -> DataFrame:
+    """(keys, file, title, evidence) of added lines that hold a secret; the first pattern that holds counts, evidence is masked.
+
+    `added` is corpus.diff_added(). Passwords in documents, or with a value that says nothing, don't count.
+    """
+    # Titles, patterns, document extensions and harmless values.
+    t, low = F.col(text), F.lower(text)
+    document = F.lower(F.coalesce(F.col(file), F.lit(""))).rlike(r"\.(?:md|markdown|rst|txt|html?|adoc)$")
+    harmless = low.rlike(r'''"admin"|"password"|""|"\.\.\."|read-host|param\(''')
+    title = (
+        F.when(t.rlike("AKIA[0-9A-Z]{16}"), "AWS Access Key in Pushed Commit")
+        .when(t.rlike(r"""(?i)(?:api[_-]?key|apikey)\s*[:=]\s*['"][^'"]{8,}"""), "Generic API Key in Pushed Commit")
+        .when(t.rlike("-----BEGIN (?:RSA|DSA|EC|OPENSSH)? PRIVATE KEY-----"), "Private Key in Pushed Commit")
+        .when(t.rlike(r"""(?i)password\s*=\s*"[^"]+\"""") & ~document & ~harmless, "Password Assignment in Pushed Commit")
+    )
+    shown = F.when(F.length(blank(text)) > 8, F.concat(F.substring(blank(text), 1, 8), F.lit("****"))).otherwise(blank(text))
+    return added.withColumn("title", title).where("title IS NOT NULL").select(*keys, file, "title", shown.alias("evidence"))
+
+
+def tracked_sensitive(files: DataFrame, keys: Sequence[str], name: str = "name") -> DataFrame:
+    """(keys, name): key and credential files that a repository tracks."""
+    return files.where(F.col(name).rlike(r"^(?:id_rsa|id_dsa|\.htpasswd|credentials\..*|.*\.pem)$")).select(*keys, name)
+
+
 def sensitive_names(files: DataFrame, keys: Sequence[str], name: str = "name") -> DataFrame:
     """(keys, name): files whose name says that they hold credentials."""
     pattern = r"(?i)^(?:\.env(?:\..+)?|.*\.env|id_rsa|id_dsa|id_ecdsa|id_ed25519|.*\.(?:pem|key|p12|pfx|jks|keystore)|\.netrc|\.npmrc|\.pypirc|credentials(?:\.json)?|secrets?\.(?:json|ya?ml|toml))$"

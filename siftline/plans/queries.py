@@ -92,6 +92,22 @@ def ddp_merged(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("project", "base_key", "file_lc", "line", "n", "title", "canonical_rule", "category", "severity", "cwe", "confidence", "source", "sink", "evidence", *lists)
 
 
+def ddp_wide(spark: SparkSession, folder: str) -> DataFrame:
+    m = findings.merged(table(spark, folder, "findings"), wide=True)
+    return m.select("project", "base_key", "file_lc", "line", "n", "severity", F.array_join("detector_ids", "|").alias("detector_ids"))
+
+
+def dif_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every source file as the diff that adds it."""
+    text = F.concat(F.lit("diff --git a/"), "rel_path", F.lit(" b/"), "rel_path", F.lit("\n+++ b/"), "rel_path", F.lit("\n+"), F.regexp_replace("content", "\n", "\n+"))
+    d = corpus.lines(table(spark, folder, "source_files").select("file_key", text.alias("diff")), ["file_key"], "diff")
+    return lexical.diff_secrets(corpus.diff_added(d, "file_key"), ["file_key", "line_no"])
+
+
+def git_tracked(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.tracked_sensitive(table(spark, folder, "source_files"), ["file_key"])
+
+
 def cnf_scores(spark: SparkSession, folder: str) -> DataFrame:
     return findings.scored(table(spark, folder, "findings")).select("finding_key", "score", "label")
 
@@ -306,7 +322,7 @@ def str_days(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = [
         p4_found, p4_shapes, src_files, src_lines, lex_code_hits, lex_secret_hits, lex_document_hits, lex_evidence_hits, lex_webhooks, flt_masked,
-        fnd_canonical, ddp_exact, ddp_merged, cnf_scores, cor_chains, cor_scope, sup_active, rsk_projects, cat_rollup,
+        fnd_canonical, ddp_exact, ddp_merged, ddp_wide, dif_secrets, git_tracked, cnf_scores, cor_chains, cor_scope, sup_active, rsk_projects, cat_rollup,
         sca_matches, sca_distinct, sca_severity, sca_best_fix, sca_upsert, sca_stats, sca_top, sca_findings, sca_cache,
         cfg_entries, cfg_nested, cfg_hits, cfg_flat_hits, cfg_env_ignored, dck_instructions, dck_hits, dck_context,
         ast_functions, ast_facts, sem_imports, sem_calls, sem_paths, grf_levels, tnt_flows, tnt_kinds, fwk_routes, fwk_detected,

@@ -156,6 +156,25 @@ SELECT project, b.finding_key AS base_key, file_lc, line, n, coalesce({_pick(0)}
   CASE WHEN n > 1 AND NOT contains(coalesce(b.evidence, ''), '=') THEN coalesce(list_filter(el, lambda x: contains(x, '='))[1], b.evidence) ELSE b.evidence END AS evidence,
   array_to_string(dl, '|') AS detector_ids, array_to_string(el, '|') AS evidences, array_to_string(list_sort(list_distinct(list_transform(list_filter(members, lambda m: m.k <> b.finding_key), lambda m: m.id))), '|') AS related_findings FROM k
 """
+_WIDE = f"coalesce(nullif({class_of(findings.WIDE_FAMILIES, 'name', _R, _T, _C)}, ''), canonical_rule, canon)"
+DDP_WIDE = f"""
+WITH t AS (SELECT *, {_SEVERITY} AS sev FROM ({_TAGGED}) WHERE finding_key IN (SELECT min(finding_key) FROM ({_TAGGED}) GROUP BY project, fp)),
+u AS (SELECT *, lower(replace(coalesce(file, ''), chr(92), '/')) AS file_lc, {_WIDE} AS family, CASE WHEN line > 0 THEN NULL ELSE finding_key END AS alone, {_ORD} AS ord, coalesce(detector_ids, [coalesce(rule_id, id)]) AS ds0, coalesce(evidences, CASE WHEN evidence IS NOT NULL THEN [evidence] ELSE [] END) AS es0 FROM t),
+g AS (SELECT project, file_lc, line, family, alone, count(*) AS n, arg_max(u, ord) AS b, list_sort(list_distinct(flatten(list(ds0)))) AS dl, list_sort(list_distinct(flatten(list(es0)))) AS el FROM u GROUP BY 1, 2, 3, 4, 5),
+k AS (SELECT *, {_renamed()} AS renamed FROM (SELECT *, b.title AS title, array_to_string(dl, chr(0)) AS ds, array_to_string(el, ' ') AS es FROM g))
+SELECT project, b.finding_key AS base_key, file_lc, line, n, CASE WHEN renamed IS NOT NULL THEN 'CRITICAL' ELSE b.sev END AS severity, array_to_string(dl, '|') AS detector_ids FROM k
+"""
+_DOCS, _IDLE = quoted(r"[.](?:md|markdown|rst|txt|html?|adoc)$"), quoted(r'''"admin"|"password"|""|"[.][.][.]"|read-host|param[(]''')
+_KEYED, _PASSWORD = quoted(r"""(?i)(?:api[_-]?key|apikey)\s*[:=]\s*['"][^'"]{8,}"""), quoted(r'''(?i)password\s*=\s*"[^"]+"''')
+_ADDED = lines("source_files", "file_key, rel_path", "content")
+_SHOWN = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
+DIF_SECRETS = f"""
+SELECT file_key, line_no + 2 AS line_no, rel_path AS file, title, CASE WHEN length({_SHOWN}) > 8 THEN left({_SHOWN}, 8) || '****' ELSE {_SHOWN} END AS evidence FROM (SELECT *, CASE
+  WHEN regexp_matches(line, 'AKIA[0-9A-Z]{{16}}') THEN 'AWS Access Key in Pushed Commit' WHEN regexp_matches(line, {_KEYED}) THEN 'Generic API Key in Pushed Commit'
+  WHEN regexp_matches(line, '-----BEGIN (RSA|DSA|EC|OPENSSH)? PRIVATE KEY-----') THEN 'Private Key in Pushed Commit'
+  WHEN regexp_matches(line, {_PASSWORD}) AND NOT regexp_matches(lower(rel_path), {_DOCS}) AND NOT regexp_matches(lower(line), {_IDLE}) THEN 'Password Assignment in Pushed Commit' END AS title FROM {_ADDED} WHERE NOT starts_with(line, '++ ')) WHERE title IS NOT NULL
+"""
+GIT_TRACKED = "SELECT file_key, name FROM source_files WHERE regexp_matches(name, '^(id_rsa|id_dsa|[.]htpasswd|credentials[.].*|.*[.]pem)$')"
 _HEAD = "split_part({0}, ':', 1)"
 _SCORE = f"""greatest(5, least(100, CASE confidence WHEN 'HIGH' THEN 75 WHEN 'MEDIUM' THEN 45 ELSE 15 END + CASE WHEN coalesce(len(data_flow), 0) >= 2 THEN 15 ELSE 0 END
   + CASE WHEN source IS NOT NULL AND sink IS NOT NULL THEN CASE WHEN {_HEAD.format("source")} <> {_HEAD.format("sink")} THEN 10 ELSE 5 END ELSE 0 END + CASE sev WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 2 ELSE 0 END
@@ -274,6 +293,6 @@ def statements() -> dict[str, str]:
         "p4_found": P4_FOUND, "p4_vulnerabilities": P4_VULNERABILITIES, "p4_affected": P4_AFFECTED, "p4_ranges": P4_RANGES,
         "src_files": SRC_FILES, "src_lines": SRC_LINES,
         "lex_code_hits": LEX_CODE, "lex_secret_hits": LEX_SECRET, "lex_document_hits": LEX_DOCUMENTS, "lex_evidence_hits": LEX_EVIDENCE, "lex_webhooks": LEX_WEBHOOKS, "flt_masked": FLT_MASKED,
-        "fnd_canonical": FND_CANONICAL, "ddp_exact": DDP_EXACT, "ddp_merged": DDP_MERGED, "cnf_scores": CNF_SCORES, "cor_chains": COR_CHAINS, "cor_scope": COR_SCOPE, "sup_active": SUP_ACTIVE, "rsk_projects": RSK_PROJECTS, "cat_rollup": CAT_ROLLUP,
+        "fnd_canonical": FND_CANONICAL, "ddp_exact": DDP_EXACT, "ddp_merged": DDP_MERGED, "ddp_wide": DDP_WIDE, "dif_secrets": DIF_SECRETS, "git_tracked": GIT_TRACKED, "cnf_scores": CNF_SCORES, "cor_chains": COR_CHAINS, "cor_scope": COR_SCOPE, "sup_active": SUP_ACTIVE, "rsk_projects": RSK_PROJECTS, "cat_rollup": CAT_ROLLUP,
         "sca_matches": SCA_MATCHES, "sca_distinct": SCA_DISTINCT, "sca_severity": SCA_SEVERITY, "sca_best_fix": SCA_BEST_FIX, "sca_upsert": SCA_UPSERT, "sca_stats": SCA_STATS, "sca_top": SCA_TOP, "sca_findings": SCA_FINDINGS, "sca_cache": SCA_CACHE,
     }

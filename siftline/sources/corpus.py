@@ -80,11 +80,11 @@ def lines(files: DataFrame, keys: Sequence[str], text: str = "content") -> DataF
 
 
 def diff_added(diff_lines: DataFrame, by: str, order: str = "line_no", line: str = "line") -> DataFrame:
-    """(by, order, file, text) of the added lines of unified diffs; the current file is carried down from its +++ line."""
+    """(by, order, file, text) of the added lines of unified diffs; the current file is carried down from its `diff --git` or +++ line."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.col(line).rlike(r"^\+\+\+ "), F.regexp_replace(F.regexp_extract(line, r"^\+\+\+ (\S+)", 1), r"^b/", ""))
+    named = F.when(F.col(line).rlike(r"^diff --git a/"), F.regexp_extract(line, r"^diff --git a/.* b/(.*)$", 1)).when(F.col(line).rlike(r"^\+\+\+ "), F.regexp_replace(F.regexp_extract(line, r"^\+\+\+ (\S+)", 1), r"^b/", ""))
     d = diff_lines.withColumn("file", F.last(named, ignorenulls=True).over(w))
     return d.where(F.col(line).rlike(r"^\+(?!\+\+ )")).select(by, order, "file", F.substring(line, 2, 1 << 30).alias("text"))
 

@@ -108,3 +108,26 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 30 and len(seen) > 1
     empty = streams.drained(streams.first_seen(s().where("k > 5"), "k", "at"), "none", "append")
     assert empty.count() == 0
+
+
+def test_snapshot_and_diff(spark, tmp_path):
+    import subprocess
+
+    from siftline.operators.lexical import diff_secrets
+    from siftline.sources import repository
+
+    repo = tmp_path / "r"
+    repo.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q")
+    (repo / "a.py").write_text("x = 1\n")
+    git("add", "."), git("commit", "-qm", "1")
+    first = git("rev-parse", "HEAD")
+    (repo / "b.py").write_text('password = "hunter22"\nkey = "' + "AKIA" + "A" * 16 + '"\n')
+    git("add", "."), git("commit", "-qm", "2")
+    second = git("rev-parse", "HEAD")
+    assert [r.rel_path for r in repository.snapshot(spark, str(repo), first, str(tmp_path / "s")).collect()] == ["a.py"]
+    assert repository.pushed_files(str(repo), second, first) == ["b.py"] and repository.pushed_files(str(repo), first, repository.ZERO) == ["a.py"]
+    d = corpus.lines(spark.createDataFrame([(1, repository.pushed_diff(str(repo), second, first))], "ref int, content string"), ["ref"])
+    got = {(r.file, r.title, r.evidence) for r in diff_secrets(corpus.diff_added(d, "ref"), ["ref"]).collect()}
+    assert got == {("b.py", "Password Assignment in Pushed Commit", "password****"), ("b.py", "AWS Access Key in Pushed Commit", 'key = "A****')}
