@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siftline.session import written
 
-#: Standard deviations from prose of comparable length beyond which a page is extreme.
+#: Standard deviations, of the three measures together, from prose of comparable length beyond which a page is extreme.
 EXTREME = 2.0
 #: A word of the prose model occurs in at least this share of a language's sentences: at most 1 / share words for each word of a mean sentence.
 MODEL_SHARE = 0.001
@@ -111,7 +111,8 @@ def extremes(fits: DataFrame, sentences: DataFrame, extreme: float = EXTREME) ->
     j = f.join(F.broadcast(near), ["lang", "size_class"], "left").join(F.broadcast(lang), "lang", "left")
     z = {m: (F.col(m) - F.coalesce(f"m_{m}", f"lm_{m}", F.lit(0.0))) / F.greatest(F.lit(1e-3), F.coalesce(f"s_{m}", f"ls_{m}", F.lit(1.0))) for m in measures}
     out = j.select("doc_id", "lang", "n_words", "n_types", *measures, *(v.alias(f"z_{m}") for m, v in z.items()))
-    return out.withColumn("extreme", F.greatest(*(F.abs(f"z_{m}") for m in measures)) > extreme)
+    apart = sum((F.col(f"z_{m}") * F.col(f"z_{m}") for m in measures), F.lit(0.0))
+    return out.withColumn("extreme", apart > extreme * extreme)
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
