@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from siftline.functions.text import mask
+from siftline.session import written
 from siftline.sources.corpus import basename, lines
 
 _KEY = re.compile(r"^(\s*)(?:-\s+)?[\"']?([\w.\-/ ]+?)[\"']?\s*:(?:\s+(.*))?$")
@@ -33,12 +34,12 @@ def _unquoted(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"""^(["'])(.*)\1$""", "$2")
 
 
-def flat_entries(files: DataFrame) -> DataFrame:
+def flat_entries(files: DataFrame, format: str | None = None) -> DataFrame:  # noqa: A002
     """Entries of the line formats env, ini and toml: (project, rel_path, format, section, key, value, raw_line, line_no).
 
-    The section is carried down from its [header]. ini takes '=' before ':'.
+    The section is carried down from its [header]. ini takes '=' before ':'. `format` reads all files as that one.
     """
-    f = files.withColumn("format", config_format(F.col("rel_path"))).where(F.col("format").isin("env", "ini", "toml"))
+    f = files.withColumn("format", F.lit(format) if format else config_format(F.col("rel_path"))).where(F.col("format").isin("env", "ini", "toml"))
     x = lines(f, ["project", "rel_path", "format"])
     w = Window.partitionBy("project", "rel_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     header = F.regexp_extract("line", r"^\s*\[+\s*([^\]]+?)\s*\]+", 1)
@@ -114,8 +115,12 @@ def nested_entries(files: DataFrame) -> DataFrame:
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """The entries of all configuration files."""
-    return flat_entries(files).unionByName(nested_entries(files))
+    """The entries of all configuration files: those of a known format and those called config.*. A file without any is read as ini."""
+    named = F.lower(basename(F.col("rel_path"))).rlike(r"^config\.")
+    files = files.where((config_format(F.col("rel_path")) != "other") | named)
+    known = written(flat_entries(files).unionByName(nested_entries(files)), "entries")
+    without = files.join(known.select("project", "rel_path").distinct(), ["project", "rel_path"], "left_anti")
+    return known.unionByName(flat_entries(without, "ini"))
 
 
 # The words, values and patterns of the rules.

@@ -378,3 +378,16 @@ def project_scores(findings: DataFrame, block_on: Sequence[str] = ("CRITICAL", "
 def by_category(findings: DataFrame) -> DataFrame:
     """(category, severity, n) with totals: null stands for all of a column."""
     return findings.select(F.lower("category").alias("category"), clean_severity("severity").alias("severity")).rollup("category", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def chain_members(findings: DataFrame) -> DataFrame:
+    """(project, vuln_class, file, finding_key): which findings each chain of chains() holds."""
+    f = findings.select("project", chain_class(F.coalesce("rule_id", "id"), F.col("title")).alias("vuln_class"), basename(F.col("file")).alias("name"), "finding_key", (F.col("source").isNotNull() & F.col("sink").isNotNull()).alias("traced"))
+    pairs = f.where("traced").groupBy("project", "vuln_class").agg(F.count(F.lit(1)).alias("traced_n")).where("traced_n > 1")
+    f = f.join(pairs, ["project", "vuln_class"], "left")
+    return f.select("project", "vuln_class", F.when(~(F.col("traced") & F.col("traced_n").isNotNull()), F.col("name")).alias("file"), "finding_key")
+
+
+def changed_only(findings: DataFrame, changed: DataFrame) -> DataFrame:
+    """The findings in the files (project, rel_path) that a push changes."""
+    return findings.withColumn("rel_path", clean_path("file")).join(changed.select("project", "rel_path").distinct(), ["project", "rel_path"], "left_semi").drop("rel_path")

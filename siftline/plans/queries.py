@@ -116,6 +116,21 @@ def cor_chains(spark: SparkSession, folder: str) -> DataFrame:
     return findings.chains(table(spark, folder, "findings"))
 
 
+def cor_members(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.chain_members(table(spark, folder, "findings"))
+
+
+def flt_ignored(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that the suppressed paths of their project would ignore."""
+    s = table(spark, folder, "suppressions").where("project IS NOT NULL AND file IS NOT NULL").select("project", F.col("file").alias("pattern")).distinct()
+    return corpus.ignored(table(spark, folder, "source_files"), s).select("file_key")
+
+
+def flt_changed(spark: SparkSession, folder: str) -> DataFrame:
+    f = table(spark, folder, "findings")
+    return findings.changed_only(f, table(spark, folder, "source_files")).select("finding_key")
+
+
 def cor_scope(spark: SparkSession, folder: str) -> DataFrame:
     return findings.scope(table(spark, folder, "findings"))
 
@@ -322,7 +337,7 @@ def str_days(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = [
         p4_found, p4_shapes, src_files, src_lines, lex_code_hits, lex_secret_hits, lex_document_hits, lex_evidence_hits, lex_webhooks, flt_masked,
-        fnd_canonical, ddp_exact, ddp_merged, ddp_wide, dif_secrets, git_tracked, cnf_scores, cor_chains, cor_scope, sup_active, rsk_projects, cat_rollup,
+        fnd_canonical, ddp_exact, ddp_merged, ddp_wide, dif_secrets, git_tracked, cnf_scores, cor_chains, cor_members, cor_scope, flt_ignored, flt_changed, sup_active, rsk_projects, cat_rollup,
         sca_matches, sca_distinct, sca_severity, sca_best_fix, sca_upsert, sca_stats, sca_top, sca_findings, sca_cache,
         cfg_entries, cfg_nested, cfg_hits, cfg_flat_hits, cfg_env_ignored, dck_instructions, dck_hits, dck_context,
         ast_functions, ast_facts, sem_imports, sem_calls, sem_paths, grf_levels, tnt_flows, tnt_kinds, fwk_routes, fwk_detected,

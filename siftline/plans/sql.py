@@ -191,6 +191,14 @@ g AS (SELECT project, vuln_class, cwe, first_kind, CASE WHEN NOT first_kind THEN
 SELECT project, vuln_class, file, cwe, n, first_key, CASE rank {" ".join(f"WHEN {v} THEN {quoted(k)}" for k, v in findings.SEVERITY_RANK.items())} END AS severity, score, {_LABEL.format("score")} AS label, cross_file, cross_function
 FROM (SELECT *, first_kind AND many AS cross_file, least(100, mean + CASE WHEN first_kind AND many THEN 10 ELSE 0 END) AS score FROM g)
 """
+COR_MEMBERS = f"""
+WITH f AS (SELECT project, {class_of(findings.CHAIN_CLASSES, "name", _CR, _T, "''")} AS vuln_class, regexp_extract(file, '[^/]*$') AS name, finding_key, source IS NOT NULL AND sink IS NOT NULL AS traced FROM findings)
+SELECT project, vuln_class, CASE WHEN NOT (traced AND sum(traced::INT) OVER (PARTITION BY project, vuln_class) > 1) THEN name END AS file, finding_key FROM f
+"""
+FLT_IGNORED = """
+SELECT file_key FROM source_files f WHERE EXISTS (SELECT 1 FROM suppressions s WHERE s.project = f.project AND
+  (s.file = f.rel_path OR starts_with(f.rel_path, s.file || '/') OR s.file = regexp_extract(f.rel_path, '[^/]*$') OR s.file = '*' || regexp_extract(regexp_extract(f.rel_path, '[^/]*$'), '[.][^.]+$')))
+"""
 COR_SCOPE = f"""
 WITH f AS (SELECT project, coalesce({_HEAD.format("source")} <> {_HEAD.format("sink")} AND {_HEAD.format("source")} <> '' AND {_HEAD.format("sink")} <> '', false) AS cf, coalesce(len(data_flow), 0) >= 3 AS cx,
   contains(coalesce(rule_id, ''), 'FW-') OR contains({_T}, 'framework') OR regexp_matches(lower(coalesce(description, '')), 'flask|django|fastapi|express|spring') AS fw,
@@ -198,6 +206,9 @@ WITH f AS (SELECT project, coalesce({_HEAD.format("source")} <> {_HEAD.format("s
 SELECT project, sum((NOT cf AND NOT cx)::INT)::BIGINT AS intra_function, sum(cx::INT)::BIGINT AS cross_function, sum(cf::INT)::BIGINT AS cross_file, sum(fw::INT)::BIGINT AS framework_aware, sum(cfg::INT)::BIGINT AS config_aware FROM f GROUP BY 1
 """
 _PATH = "regexp_replace(regexp_replace(replace({0}, chr(92), '/'), '/+', '/', 'g'), '^([.]/)+', '')"
+FLT_CHANGED = f"""
+SELECT finding_key FROM findings f WHERE EXISTS (SELECT 1 FROM source_files s WHERE s.project = f.project AND s.rel_path = {_PATH.format("coalesce(f.file, '')")})
+"""
 SUP_ACTIVE = f"""
 SELECT finding_key, project FROM findings f WHERE NOT EXISTS (SELECT 1 FROM suppressions s WHERE s.project = f.project
   AND (coalesce(s.rule_id, '') = '' OR s.rule_id = f.id OR s.rule_id = f.title) AND (coalesce(s.file, '') = '' OR ends_with({_PATH.format("coalesce(f.file, '')")}, {_PATH.format("s.file")}))
@@ -293,6 +304,6 @@ def statements() -> dict[str, str]:
         "p4_found": P4_FOUND, "p4_vulnerabilities": P4_VULNERABILITIES, "p4_affected": P4_AFFECTED, "p4_ranges": P4_RANGES,
         "src_files": SRC_FILES, "src_lines": SRC_LINES,
         "lex_code_hits": LEX_CODE, "lex_secret_hits": LEX_SECRET, "lex_document_hits": LEX_DOCUMENTS, "lex_evidence_hits": LEX_EVIDENCE, "lex_webhooks": LEX_WEBHOOKS, "flt_masked": FLT_MASKED,
-        "fnd_canonical": FND_CANONICAL, "ddp_exact": DDP_EXACT, "ddp_merged": DDP_MERGED, "ddp_wide": DDP_WIDE, "dif_secrets": DIF_SECRETS, "git_tracked": GIT_TRACKED, "cnf_scores": CNF_SCORES, "cor_chains": COR_CHAINS, "cor_scope": COR_SCOPE, "sup_active": SUP_ACTIVE, "rsk_projects": RSK_PROJECTS, "cat_rollup": CAT_ROLLUP,
+        "fnd_canonical": FND_CANONICAL, "ddp_exact": DDP_EXACT, "ddp_merged": DDP_MERGED, "ddp_wide": DDP_WIDE, "dif_secrets": DIF_SECRETS, "git_tracked": GIT_TRACKED, "cnf_scores": CNF_SCORES, "cor_chains": COR_CHAINS, "cor_members": COR_MEMBERS, "flt_ignored": FLT_IGNORED, "flt_changed": FLT_CHANGED, "cor_scope": COR_SCOPE, "sup_active": SUP_ACTIVE, "rsk_projects": RSK_PROJECTS, "cat_rollup": CAT_ROLLUP,
         "sca_matches": SCA_MATCHES, "sca_distinct": SCA_DISTINCT, "sca_severity": SCA_SEVERITY, "sca_best_fix": SCA_BEST_FIX, "sca_upsert": SCA_UPSERT, "sca_stats": SCA_STATS, "sca_top": SCA_TOP, "sca_findings": SCA_FINDINGS, "sca_cache": SCA_CACHE,
     }

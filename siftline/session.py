@@ -49,9 +49,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_PATHS: list[str] = []
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written table."""
-    return f"{shared_dir(spark)}/siftline-{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/siftline-{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written to the shared folder; results that still read them are then void."""
+    jvm = spark.sparkContext._jvm
+    for p in _PATHS:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _PATHS.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -96,3 +96,32 @@ def push_refs(lines_: DataFrame, line: str = "line") -> DataFrame:
     zero = "^0+$"
     action = F.when(F.col("local_sha").rlike(zero), "delete").when(F.col("local_sha") == F.col("remote_sha"), "noop").when(F.col("remote_sha").rlike(zero), "create").otherwise("update")
     return x.withColumn("action", action)
+
+
+def ignore_patterns(files: DataFrame) -> DataFrame:
+    """(project, pattern) of the .gitignore files: trimmed, without outer slashes; blank lines, remarks and negations are left out."""
+    x = lines(files.where(basename(F.col("rel_path")) == ".gitignore"), ["project"]).select("project", F.regexp_replace(F.trim(F.regexp_replace("line", r"\\\\", "/")), "^/+|/+$", "").alias("pattern"))
+    return x.where((F.col("pattern") != "") & ~F.col("pattern").rlike("^[#!]")).distinct()
+
+
+def ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The rows of `files` that a pattern of their project names: the whole path, a folder above, the base name, or *.ext.
+
+    Each file asks for the few texts that could name it, so that the join is by equality.
+    """
+    parts = F.split("rel_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    ext = F.regexp_extract(basename(F.col("rel_path")), r"(\.[^.]+)$", 1)
+    asked = F.array_distinct(F.concat(above, F.array(basename(F.col("rel_path"))), F.when(ext != "", F.array(F.concat(F.lit("*"), ext))).otherwise(F.array().cast("array<string>"))))
+    hit = files.where("rel_path IS NOT NULL").select("project", "rel_path", F.explode(asked).alias("pattern")).join(patterns, ["project", "pattern"]).select("project", "rel_path").distinct()
+    return files.join(hit, ["project", "rel_path"], "left_semi")
+
+
+def effective_excludes(patterns: Sequence[str], include_tests: bool = False, include_docs: bool = False) -> list[str]:
+    """The exclusions without those on tests or documents, where these are asked for."""
+    def kept(p: str) -> bool:
+        low = p.lower().replace("\\", "/")
+        document = "doc" in low or "report" in low or low.endswith((".md", ".markdown", ".rst", ".adoc"))
+        return not (include_tests and "test" in low) and not (include_docs and document)
+
+    return [p for p in patterns if kept(p)]

@@ -131,3 +131,32 @@ def test_snapshot_and_diff(spark, tmp_path):
     d = corpus.lines(spark.createDataFrame([(1, repository.pushed_diff(str(repo), second, first))], "ref int, content string"), ["ref"])
     got = {(r.file, r.title, r.evidence) for r in diff_secrets(corpus.diff_added(d, "ref"), ["ref"]).collect()}
     assert got == {("b.py", "Password Assignment in Pushed Commit", "password****"), ("b.py", "AWS Access Key in Pushed Commit", 'key = "A****')}
+
+
+def test_ignored_files_and_excludes(spark):
+    rows = [("p", ".gitignore", "# x\n/build/\n*.log\nsecret.txt\n!keep\n\n"), ("p", "build/a/b.py", ""), ("p", "x/run.log", ""), ("p", "d/secret.txt", ""), ("p", "d/keep.py", ""), ("q", "build/a.py", ""), ("p", None, "")]
+    f = spark.createDataFrame(rows, "project string, rel_path string, content string")
+    assert {r.rel_path for r in corpus.ignored(f, corpus.ignore_patterns(f)).collect()} == {"build/a/b.py", "x/run.log", "d/secret.txt"}
+    assert corpus.effective_excludes(["tests", "docs", "*.md", "x"], include_tests=True) == ["docs", "*.md", "x"]
+    assert corpus.effective_excludes(["tests", "docs", "*.md", "x"], include_docs=True) == ["tests", "x"]
+
+
+def test_config_fallback_to_ini(spark):
+    from siftline.operators import configs
+
+    f = spark.createDataFrame([("p", "a.yaml", "debug=true\n"), ("p", "config.rb", "host = 0.0.0.0\n"), ("p", "other.rb", "debug = true\n")], "project string, rel_path string, content string")
+    assert {(r.rel_path, r.rule_id) for r in configs.config_hits(configs.entries(f)).collect()} == {("a.yaml", "VG-CFG-001"), ("config.rb", "VG-CFG-003")}
+
+
+def test_written_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from siftline import session
+
+    df = session.written(spark.range(3), "t")
+    path = session._PATHS[-1].removeprefix("file:").replace("//", "/")
+    assert df.count() == 3 and Path(path).exists()
+    keep, session._PATHS[:] = session._PATHS[:-1], session._PATHS[-1:]
+    session.drop_tables(spark)
+    session._PATHS[:] = keep
+    assert not Path(path).exists()
