@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftline.functions.text import mask
 from siftline.operators import code, configs, containers, findings, graph, lexical, nested, rules, sca, semantic, taint
 from siftline.plans import sql
+from siftline.plans.scan import Scan
 from siftline.session import written
 from siftline.sinks import reports
 from siftline.sources import baseline, corpus, manifests
@@ -334,6 +335,19 @@ def str_days(spark: SparkSession, folder: str) -> DataFrame:
     return streams.severity_days(spark, folder)
 
 
+def _scanned(spark: SparkSession, folder: str) -> Scan:
+    return Scan(table(spark, folder, "source_files"), deps=table(spark, folder, "deps"), advisories=table(spark, folder, "advisories"), suppressions=table(spark, folder, "suppressions"))
+
+
+def scn_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings of a whole scan of the source files and dependencies."""
+    return _scanned(spark, folder).run().findings.select("project", "file", "line", "canonical_rule", "severity", "score", "label", F.array_join("detector_ids", ",").alias("detectors"))
+
+
+def scn_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scanned(spark, folder).run().scores
+
+
 def queries() -> dict[str, Query]:
     own = [
         p4_found, p4_shapes, src_files, src_lines, lex_code_hits, lex_secret_hits, lex_document_hits, lex_evidence_hits, lex_webhooks, flt_masked,
@@ -342,7 +356,7 @@ def queries() -> dict[str, Query]:
         cfg_entries, cfg_nested, cfg_hits, cfg_flat_hits, cfg_env_ignored, dck_instructions, dck_hits, dck_context,
         ast_functions, ast_facts, sem_imports, sem_calls, sem_paths, grf_levels, tnt_flows, tnt_kinds, fwk_routes, fwk_detected,
         dep_manifests, osv_records, rep_results, rep_rules, rep_html, str_days, str_sessions,
-        tnt_tiers, rul_hits, rul_markup, sec_scores, ben_labels, rsk_levels, ldf_scopes,
+        tnt_tiers, rul_hits, rul_markup, sec_scores, ben_labels, rsk_levels, ldf_scopes, scn_findings, scn_scores,
     ]
     levels = {
         "p4_vulnerabilities": _level("vulnerabilities", "envelope", "vuln_id", "summary"),
