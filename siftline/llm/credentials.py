@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -93,30 +94,96 @@ def _key(prefix: str, before: str) -> str:
     return before
 
 
+#: Within a key block: header fields, what parts its pieces, and the pieces themselves; what of a block follows its header on the same line.
+_FIELD = re.compile(r"(?:Proc-Type|DEK-Info|Content-Domain|Key-Info|MIC-Info|Originator-[\w-]+|Recipient-[\w-]+|Version|Comment|Hash|Charset|MessageID)\s*:")
+_PARTS = re.compile(r"(?:\\+[nrt]|[\s\"'`“”,;()\\|>#&])+")
+_PIECE = re.compile(r"(?:[A-Za-z0-9+/=*•…-]|\.{3})+|\[[A-Za-z ]*\]|<[A-Za-z ]*>?")
+_INLINE = re.compile(r"(?:(?:\\+[nrt]|\s)*(?:[A-Za-z0-9+/=*•…]{16,}|[*•.…]{3,}))*(?:(?:\\+[nrt]|\s)*[A-Za-z0-9+/]*=+)?")
+_END = re.compile(r"-----END [A-Z0-9 ]*-----")
+_CLOSED = re.compile(r"(?:\\+[nrt])*[\"'`]*")
+
+
+def _material(line: str) -> int:
+    """2 if a line can only be a part of a key block, 1 if it may be one (blank, glue, a short piece), 0 if not."""
+    pieces = [w for w in _PARTS.split(line.replace(" + ", "+")) if w.strip("+-*/.") or MASK.search(w)]
+    if pieces and _FIELD.match(line.lstrip(" \t\"'`+#*")):
+        return 2
+    if not all(map(_PIECE.fullmatch, pieces)) or TOKEN.search(line):
+        return 0
+    long = [w for w in pieces if len(w) >= 16 or MASK.search(w)]
+    return 2 if long and len(pieces) - len(long) <= pieces[-1].endswith("=") else 1 if len(pieces) < 2 else 0
+
+
+def _block_end(lines: list[str], at: int, label: str) -> tuple[int, int, set[int]]:
+    """(last line, column after it, lines within that aren't key material) of the block whose header is on line `at`.
+
+    A block ends at its END if most of its lines are material, else with the last line that is surely material;
+    without any it is its header's line alone, and the column is -1.
+    """
+    sure, last, run, odd = 0, at, True, set()
+    for i in range(at + 1, len(lines)):
+        line = lines[i]
+        end, begin = line.find("-----END"), line.find("-----BEGIN")
+        if end >= 0 and not 0 <= begin < end:
+            if len(odd) <= sure and (not odd or line.startswith(label, end + 8)):
+                tail = line.find("-----", end + 8)
+                return i, tail + 5 if tail >= 0 else len(line), odd
+            break
+        if begin >= 0:
+            break
+        kind = _material(line)
+        if not kind:
+            odd.add(i)
+        sure += kind == 2
+        # without an END, the block goes on to the first line that isn't material; a short piece may follow the last long one
+        run = run and kind > 0
+        if run and (kind == 2 or last == i - 1 > at and line.strip()):
+            last = i
+    return last, len(lines[last]) if last > at else -1, set()
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
     """(line_no, start, end, key, value, kind) for the literal values of a text; offsets in its characters.
 
     Values in several quoted pieces, on one line or on the lines after an opening bracket, are one value at
-    their first piece. A key block is one value from its first to its last line.
+    their first piece. A key block is one value from its first to its last line; what stands beside it on those
+    lines is searched like any other text.
     """
     out: list[tuple[int, int, int, str, str, str]] = []
-    at, before, opened, pending, closing = 0, "", "", None, None
-    for no, line in enumerate(text.split("\n"), 1):
+    at, before, opened, pending = 0, "", "", None
+    lines = text.split("\n")
+    starts = list(accumulate((len(x) + 1 for x in lines), initial=0)) if "-----BEGIN" in text else []
+    until, after, odd = -1, 0, set()  # the key block that is open: its last line, the column after it, lines to be searched all the same
+    for no, line in enumerate(lines, 1):
         here, at = at, at + len(line) + 1
-        if closing is not None:  # inside a key block
-            end = line.find("-----END")
-            tail = line.find("-----", end + 8) if end >= 0 else -1
-            row = out[closing]
-            out[closing] = (row[0], row[1], here + (tail + 5 if tail >= 0 else len(line)), row[3], row[4] + "\n" + line.strip()[:80], row[5])
-            if end >= 0:
-                closing = None
-            continue
-        if m := BLOCK.search(line):
-            end = line.find("-----END", m.end())
-            tail = line.find("-----", end + 8) if end >= 0 else -1
-            out.append((no, here + m.start(), here + (tail + 5 if tail >= 0 else len(line)), _key(line[: m.start()], before), line[m.start() : m.start() + 120], "block"))
-            closing = len(out) - 1 if end < 0 else None
+        if no - 1 < until and no - 1 not in odd:  # inside a key block
             continue
+        whole, pos = True, 0
+        if no - 1 == until:
+            pos = _CLOSED.match(line, after).end()
+            line, whole = " " * pos + line[pos:], False
+        while starts and (m := BLOCK.search(line, pos)):
+            end, begin = line.find("-----END", m.end()), line.find("-----BEGIN", m.end())
+            key = _key(line[: m.start()], before)
+            if end >= 0 and not 0 <= begin < end:
+                tail = line.find("-----", end + 8)
+                pos = tail + 5 if tail >= 0 else len(line)
+                out.append((no, here + m.start(), here + pos, key, line[m.start() : pos][:120], "block"))
+                if not _material(line[m.end() : end]):  # the two ends may be two literals: what is between is searched
+                    line, whole = line[: m.start()] + " " * (m.end() - m.start()) + line[m.end() : end] + " " * (pos - end) + line[pos:], False
+                    continue
+            else:
+                until, after, odd = _block_end(lines, no - 1, m[1] and " " + m[1]) if begin < 0 else (no - 1, -1, set())
+                if after < 0:  # a header without a block
+                    pos = _INLINE.match(line, m.end()).end()
+                    out.append((no, here + m.start(), here + pos, key, line[m.start() : pos][:120], "block"))
+                else:
+                    pos = len(line)
+                    rest = [x.strip()[:80] for x in lines[no : until + 1]]
+                    out.append((no, here + m.start(), starts[until] + after, key, "\n".join([line[m.start() : m.start() + 120], *rest]), "block"))
+            line, whole = line[: m.start()] + " " * (pos - m.start()) + line[pos:], False
+        if starts and "-----END" in line:  # an end without a block
+            line, whole = _END.sub(lambda m: " " * len(m[0]), line), False
         bare_line = line.strip().rstrip(",;)")
         lone = bool(pending is not None or opened) and len(bare_line) > 2 and bare_line[0] in _Q and bare_line[-1] in _Q and not _QUOTED.sub("", bare_line).strip(" +\\")
         last = None
@@ -133,7 +200,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
                 row = out[pending]
                 out[pending] = (row[0], row[1], here + m.end() - 1, row[3], row[4] + v, row[5])
                 continue
-            if len(v) >= 3:
+            if len(v) >= 3 and (whole or v.strip()):
                 out.append((no, here + m.start() + 1, here + m.end() - 1, opened if lone else _key(line[: m.start()], before), v, "quoted"))
                 last = (len(out) - 1, m.start(), m.end())
                 if lone:
@@ -147,6 +214,8 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
             if not any(h in low for h in hints):
                 continue
             for m in form.finditer(line):
+                if not whole and not m[1].strip():
+                    continue
                 named = line[: m.start(0 if kind == "header" else 1)]  # the scheme isn't the name
                 out.append((no, here + m.start(1), here + m.end(1), _key(named, before), m[1], kind))
         if m := _BARE.match(line) or _SPACED.match(line):
@@ -155,13 +224,14 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
             inner = re.match(r"([A-Za-z_]\w*)\s*=\s*(?=\S)", v)
             if inner and SECRET_WORDS.isdisjoint(words_of(key)):  # a remark before an assignment
                 key, v = inner[1], v[inner.end() :]
-            if len(v) >= 3 and v[0] not in _Q:
+            if len(v) >= 3 and v[0] not in _Q and (whole or " " * 16 not in v):
                 at_ = here + line.index(v, m.start(2))
                 out.append((no, at_, at_ + len(v), before if key == "value" and before else key, v, "bare"))
         for m in _PAIR.finditer(line):
             out.append((no, here + m.start(2), here + m.end(2), m[1], m[2], "pair"))
         for m in _ELEMENT.finditer(line):
-            out.append((no, here + m.start(2), here + m.end(2), m[1], m[2], "element"))
+            if whole or m[2].strip():
+                out.append((no, here + m.start(2), here + m.end(2), m[1], m[2], "element"))
         for m in TOKEN.finditer(line):
             out.append((no, here + m.start(), here + m.end(), _key(line[: m.start()], before), m[0], "token"))
         m = re.match(r"\s*-?\s*name:\s*[\"']?([\w.-]+)[\"']?\s*$", line)

@@ -66,6 +66,29 @@ def test_spots(spark, model, text, lines):
     assert sorted({x[0] for x, s in zip(c, p, strict=True) if s >= credentials.CUT}) == lines
 
 
+KEY = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEA"
+CRT, CRT_END = "-----BEGIN " + "CERTIFICATE-----", "-----END " + "CERTIFICATE-----"
+NAMED = "DB_PASSWORD = 'hunter2x!9'"
+
+
+@pytest.mark.parametrize(
+    ("text", "lines"),
+    [
+        (f"if x.startswith('{CRT}'):\n    check(x)\n{NAMED}\n", [3]),  # a header that no block follows
+        (f"{PEM}\n{KEY}\n{KEY}\nab=\n{NAMED}\n", [1, 5]),  # a key without its end
+        (f" * {PEM}\n * {KEY}\n * ab=\n{NAMED}\n", [1, 4]),
+        (f"a = '{CRT}{KEY}{CRT_END}'; {NAMED}", [1]),  # a value beside a public block
+        (f"a = `{CRT}\n{KEY}\n{CRT_END}`; {NAMED}", [3]),
+        (f"if x.startswith('{CRT}'):\n    {NAMED}\n    check(x, '{CRT_END}')", [2]),  # both ends in code
+    ],
+)
+def test_what_stands_beside_a_block_is_found(spark, model, text, lines):
+    test_spots(spark, model, text, lines)
+    spans = [(x[1], x[2]) for x in credentials.candidates(text) if credentials.weak_label(*x[3:]).startswith("+")]
+    out = credentials.redacted_text(text, spans)
+    assert "DB_PASSWORD = '[REDACTED]'" in out and out.count("\n") == text.count("\n") and KEY not in out.replace(CRT + KEY, "").replace(f"{CRT}\n{KEY}", "")
+
+
 def test_held_out_accuracy(spark, model):
     _, cands = model
     odd, even = cands.where("row_key div 16 % 2 = 1"), cands.where("row_key div 16 % 2 = 0 AND stratum <> ''")
