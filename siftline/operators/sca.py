@@ -13,12 +13,22 @@ def package_key(ecosystem: str, name: str) -> tuple[Column, Column]:
     return F.lower(F.trim(ecosystem)), F.lower(F.trim(name))
 
 
-def distinct_deps(deps: DataFrame) -> DataFrame:
-    """(eco, pkg, name, version, ecosystem, source_file): one row for each package, version and ecosystem, the first source file and spelling by order."""
+def _versioned(deps: DataFrame, *more: str) -> DataFrame:
+    """Dependencies as they are compared: (eco, pkg, name, version, ecosystem, source_file) and `more` columns."""
     eco, pkg = package_key("ecosystem", "name")
     v = F.when(clean_version("version") != "", F.trim("version"))
-    d = deps.where("name IS NOT NULL AND ecosystem IS NOT NULL").select(eco.alias("eco"), pkg.alias("pkg"), "name", F.coalesce(v, F.lit("unknown")).alias("version"), "ecosystem", "source_file")
-    return d.groupBy("eco", "pkg", "version").agg(F.min(F.struct("source_file", "name", "ecosystem")).alias("x")).select("eco", "pkg", "version", "x.name", "x.ecosystem", "x.source_file")
+    return deps.where("name IS NOT NULL AND ecosystem IS NOT NULL").select(eco.alias("eco"), pkg.alias("pkg"), "name", F.coalesce(v, F.lit("unknown")).alias("version"), "ecosystem", "source_file", *more)
+
+
+def distinct_deps(deps: DataFrame) -> DataFrame:
+    """(eco, pkg, name, version, ecosystem, source_file): one row for each package, version and ecosystem, the first source file and spelling by order."""
+    return _versioned(deps).groupBy("eco", "pkg", "version").agg(F.min(F.struct("source_file", "name", "ecosystem")).alias("x")).select("eco", "pkg", "version", "x.name", "x.ecosystem", "x.source_file")
+
+
+def places(deps: DataFrame) -> DataFrame:
+    """(project, eco, pkg, version, source_file): where each package version is used; unknown files are 'dependencies'."""
+    d = _versioned(deps, "project")
+    return d.select(F.coalesce("project", F.lit("")).alias("project"), "eco", "pkg", "version", F.coalesce("source_file", F.lit("dependencies")).alias("source_file")).distinct()
 
 
 def matches(deps: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -108,8 +118,8 @@ def top_advisories(found: DataFrame, k: int = 2) -> DataFrame:
     return x.where(F.col("place") <= k).select("eco", "pkg", "place", "id", "severity", "n")
 
 
-def dep_findings(found: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Matches as findings: title, description of 200 characters at most, last fixed version, evidence with aliases."""
+def dep_findings(found: DataFrame, advisories: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Matches as findings: title, description of 200 characters at most, last fixed version, evidence with aliases, and the columns of `found` that are to be kept."""
     a = advisories.select("adv_key", "summary", "description", "fixed_versions", "aliases")
     text = F.coalesce("description", "summary", F.lit(""))
     last = F.try_element_at(F.filter("fixed_versions", lambda x: x != ""), F.lit(-1))
@@ -123,6 +133,7 @@ def dep_findings(found: DataFrame, advisories: DataFrame) -> DataFrame:
         F.lit(0).alias("line"),
         F.concat("pkg", F.lit("@"), "version", F.when(F.size(F.coalesce("aliases", F.array().cast("array<string>"))) > 0, F.concat(F.lit(" ("), F.array_join("aliases", ", "), F.lit(")"))).otherwise("")).alias("evidence"),
         F.when(last.isNotNull(), F.concat(F.lit("Upgrade to >= "), last)).otherwise("Update package").alias("recommendation"),
+        *keep,
     )
 
 

@@ -68,7 +68,8 @@ class Scan:
             found.append(_finding(lexical.tracked_sensitive(files, keys), rule="VG-GIT-001", severity="CRITICAL", category="git", line=F.lit(1), evidence=F.col("name")))
         if self.settings.dependency_scan and self.deps is not None and self.advisories is not None:
             m = sca.matches(self.deps, self.advisories)
-            d = sca.dep_findings(m, self.advisories).join(m.select("adv_key", F.col("severity").alias("given")).distinct(), "adv_key").withColumns({"project": F.lit(""), "rel_path": F.lit("dependencies")})
+            at = ["eco", "pkg", "version"]
+            d = sca.dep_findings(m.withColumnRenamed("severity", "given"), self.advisories, (*at, "given")).join(sca.places(self.deps), at).withColumnRenamed("source_file", "rel_path")
             found.append(_finding(d, severity_column=F.coalesce("given", F.lit("MEDIUM")), category="dependency", confidence="HIGH", line=F.lit(0), evidence=F.col("evidence"), title=F.col("title")))
         if not found:
             return self.files.sparkSession.createDataFrame([], ", ".join(f"{k} {v}" for k, v in FINDING.items()))

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from siftline.plans.scan import Scan
 from siftline.sources.baseline import ScanSettings
 
@@ -49,3 +51,13 @@ def test_switches_and_suppressions(spark, files):
     s = spark.createDataFrame([("p", None, ".env", None, None)], "project string, rule_id string, file string, line int, expires string")
     left = Scan(files, ScanSettings(source_scan=False), suppressions=s).run().findings
     assert ".env" not in {x.file for x in left.collect()} and left.count() > 0
+
+
+def test_dependencies_belong_to_their_projects(spark, files):
+    deps = [("p", "npm", "Lib", "1.0.0", "web/package.json"), ("q", "npm", "lib", "1.0.0", "package.json"), ("q", "npm", "lib", "1.0.0", "api/package.json"), ("r", "npm", "lib", "2.0.0", "package.json")]
+    d = spark.createDataFrame(deps, "project string, ecosystem string, name string, version string, source_file string")
+    a = spark.createDataFrame([(1, "CVE-1", "npm", "lib", "CRITICAL", None, ["1.0.0"], [], "s", "d", [])], "adv_key long, id string, ecosystem string, package string, severity string, ranges array<struct<range_type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>, affected_versions array<string>, fixed_versions array<string>, summary string, description string, aliases array<string>")
+    s = spark.createDataFrame([("q", "Vulnerable dependency lib 1.0.0", "api/package.json", None, None)], "project string, rule_id string, file string, line int, expires string")
+    r = Scan(files.limit(0), deps=d, advisories=a, suppressions=s).run()
+    assert {(x.project, x.file) for x in r.findings.collect()} == {("p", "web/package.json"), ("q", "package.json")}
+    assert {x.project: x.gate for x in r.scores.where(F.col("critical") > 0).collect()} == {"p": "BLOCKED", "q": "BLOCKED"}
