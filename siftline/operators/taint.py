@@ -8,6 +8,7 @@ to what the call is assigned to. An edge carries the kinds that a sanitizer on i
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,17 +127,18 @@ def flow_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return edges, direct.unionByName(named).distinct(), ends
 
 
-def flows(facts: DataFrame, most: int = 8) -> DataFrame:
+def flows(facts: DataFrame) -> DataFrame:
     """(project, rule_id, cwe, kind, severity, source, source_file, source_line, sink, sink_file, sink_line, steps): the shortest flow of each source to each sink.
 
     Kinds that every edge on the way leaves tainted arrive. A round sends on only what it reached anew, by
-    origin, node and remaining kinds; `most` edges at most. CRITICAL across files, else HIGH.
+    origin, node and remaining kinds; these are finite, so the rounds end by themselves. CRITICAL across files,
+    else HIGH.
     """
     edges, starts, ends = flow_graph(facts)
     edges = written(edges, "edges")
     seen = cut(starts.select("project", F.concat_ws(":", "file", "line", "source").alias("origin"), "node", F.lit(ALL).alias("kinds"), F.lit(0).alias("steps")).distinct())
     front = seen
-    for k in range(1, most + 1):
+    for k in count(1):
         step = front.join(edges.withColumnRenamed("a", "node"), ["project", "node"]).select("project", "origin", F.col("b").alias("node"), F.col("kinds").bitwiseAND(F.lit(ALL) - F.col("clears")).alias("kinds"), F.lit(k).alias("steps"))
         front = cut(step.where("kinds > 0").distinct().join(seen, ["project", "origin", "node", "kinds"], "left_anti"))
         if front.isEmpty():

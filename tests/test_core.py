@@ -221,6 +221,12 @@ def test_call_paths(spark):
     assert lv == {"a": 0, "b": 1, "c": 2}
 
 
+def test_taint_goes_on_over_many_variables(spark):
+    body = "".join(f"    v{i + 1} = v{i} + '!'\n" for i in range(20))
+    facts = code.facts(files(spark, ("a.py", 'def f():\n    v0 = request.args.get("x")\n' + body + "    os.system(v20)\n")))
+    assert [(r.rule_id, r.sink_line, r.steps) for r in taint.flows(facts).collect()] == [("VG-TAINT-CMD", 23, 20)]
+
+
 @pytest.mark.parametrize(
     ("expr", "kinds"),
     [("int(x)", {"sql", "command", "xss"}), ("shlex.quote(x)", {"command"}), ("os.path.basename(x)", {"path"}), ("html.escape(x)", {"xss"}), ("uuid.parse(x)", {"sql", "command", "path"}), ("x", set()), ("render_template('a')", {"template"})],
