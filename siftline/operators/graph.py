@@ -54,24 +54,30 @@ def call_edges(facts: DataFrame) -> DataFrame:
     return best.select("project", F.col("rel_path").alias("caller_file"), "caller", "line", "callee_file", "callee")
 
 
-def paths_to(edges: DataFrame, sinks: DataFrame, most: int = MAX_PATH) -> DataFrame:
-    """(project, start, sink, path): every way of at most `most` edges that ends in a sink and can't be begun earlier.
+def paths_to(edges: DataFrame, sinks: DataFrame, most: int = MAX_PATH, sources: DataFrame | None = None) -> DataFrame:
+    """(project, start, sink, path): every way of at most `most` edges that ends in a sink and begins at a source or can't be begun earlier.
 
-    `edges` has (project, a, b), `sinks` (project, node). Ways are grown backwards; a node occurs once in a
-    way; parallel edges count once. A way comes out when no caller is left to put in front of it.
+    `edges` has (project, a, b), `sinks` and `sources` (project, node). Ways are grown backwards; a node occurs
+    once in a way; parallel edges count once. A way comes out when it begins at a source or no caller is left
+    to put in front of it; one that begins at a source is grown further too.
     """
     e = edges.select("project", F.col("a").alias("from"), F.col("b").alias("head")).where("a <> b").distinct()
     ways = cut(sinks.select("project", F.col("node").alias("sink"), F.col("node").alias("head"), F.array("node").alias("path")).distinct())
-    called = e.select("project", "head").distinct()
-    done = None
-    for k in range(most):
-        ended = ways.join(called, ["project", "head"], "left_anti").where(F.size("path") > 1)
-        done = ended if done is None else done.unionByName(ended)
+    x = e.withColumnsRenamed({"project": "p", "head": "h"})
+    more = (F.col("project") == F.col("p")) & (F.col("head") == F.col("h")) & ~F.array_contains("path", F.col("from"))
+
+    def begun(ways: DataFrame) -> DataFrame:
+        longer = ways.where(F.size("path") > 1)
+        ended = longer.join(x, more, "left_anti")
+        return ended if sources is None else ended.unionByName(longer.join(sources.select("project", F.col("node").alias("head")), ["project", "head"], "left_semi").select(ended.columns))
+
+    done = begun(ways)
+    for _ in range(most):
         ways = ways.join(e, ["project", "head"]).where(~F.array_contains("path", F.col("from")))
         ways = cut(ways.select("project", "sink", F.col("from").alias("head"), F.concat(F.array("from"), "path").alias("path")))
         if ways.isEmpty():
             break
-    done = done.unionByName(ways)
+        done = done.unionByName(begun(ways))
     return done.select("project", F.col("head").alias("start"), "sink", "path").distinct()
 
 

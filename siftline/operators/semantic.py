@@ -13,6 +13,9 @@ HOST_GUARD = r"(?i)ALLOWED_|allowlist|whitelist|is_safe_host"
 PATH_GUARD = r"(?i)basename|secure_filename|realpath|resolve\(|abspath|startswith|commonpath|filepath\.clean|filepath\.base"
 INTERNAL_PATH = r"(?i)config|settings|template|static|log|__file__"
 METADATA_HOST = r"169\.254\.169\.254"
+ENTRY_NAME = r"^(?:(?:handle|get|post|put|delete|api|route)_|main$|handler$)"
+ENTRY_PATH = r"routes|controllers|views|api|endpoints"
+ENTRY_PARAMETER = r"req|input|query|param|payload|user|args"
 BIND_MARK = r"%s|\?|:\w+|\$\d"
 RAW_HTML = r"(?:\.(?:innerHTML|outerHTML)\s*\+?=(?!=)\s*(.+?);?\s*$)|(?:(?:document\.write(?:ln)?|insertAdjacentHTML|\$\([^)]*\)\.html)\((.+)\))"
 
@@ -33,6 +36,16 @@ def build_of(arg: Column) -> Column:
     )
 
 
+def entries(facts: DataFrame) -> DataFrame:
+    """(project, rel_path, func): functions that look like a handler by name, path, parameter or what they read, and the top of a file that calls something."""
+    f = facts.where("kind = 'function'").select("project", "rel_path", F.col("name").alias("func"), "args")
+    named = F.lower("func").rlike(ENTRY_NAME) | F.lower("rel_path").rlike(ENTRY_PATH) | F.exists("args", lambda a: F.lower(a).rlike(ENTRY_PARAMETER))
+    reads = facts.where("kind = 'assign' AND func <> ''").where(taint.is_source(F.col("text")))
+    top = facts.where("kind = 'call' AND func = ''")
+    cols = ["project", "rel_path", "func"]
+    return f.where(named).select(cols).unionByName(reads.select(cols)).unionByName(top.select(cols)).distinct()
+
+
 def constants(facts: DataFrame) -> DataFrame:
     """(project, rel_path, name): the names of a file to which nothing but literals, and sums of literals, are assigned."""
     literal = F.col("text").rlike(r"""^\s*(?:[rbu]?"[^"]*"|[rbu]?'[^']*'|-?[0-9.]+)(?:\s*\+\s*(?:"[^"]*"|'[^']*'))*\s*$""")

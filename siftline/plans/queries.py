@@ -249,7 +249,8 @@ def sem_paths(spark: SparkSession, folder: str) -> DataFrame:
     at = lambda a, b: F.concat_ws(":", a, b)
     edges = graph.call_edges(facts).select("project", at("caller_file", "caller").alias("a"), at("callee_file", "callee").alias("b"))
     sinks = facts.where("kind = 'call' AND func <> ''").where(taint.sink_kind(F.col("name")).isNotNull()).select("project", at("rel_path", "func").alias("node"))
-    p = graph.paths_to(edges, sinks.unionByName(edges.select("project", F.col("b").alias("node"))).distinct())
+    sources = semantic.entries(facts).select("project", at("rel_path", "func").alias("node"))
+    p = graph.paths_to(edges, sinks.unionByName(edges.select("project", F.col("b").alias("node"))).distinct(), sources=sources)
     return p.select("project", "start", "sink", F.array_join("path", " > ").alias("path"))
 
 

@@ -221,6 +221,16 @@ def test_call_paths(spark):
     assert lv == {"a": 0, "b": 1, "c": 2}
 
 
+def test_call_paths_begin_at_sources_and_in_rings(spark):
+    of = lambda *rows: spark.createDataFrame([("p", *r) for r in rows], "project string, a string, b string")
+    node = lambda *names: spark.createDataFrame([("p", n) for n in names], "project string, node string")
+    paths = lambda *x, **k: {">".join(r.path) for r in graph.paths_to(*x, **k).collect()}
+    assert paths(of(("a", "b"), ("b", "a"), ("b", "s")), node("s")) == {"a>b>s"}
+    assert paths(of(("m", "h"), ("h", "s")), node("s"), sources=node("h")) == {"h>s", "m>h>s"}
+    line = of(*((f"n{i}", f"n{i + 1}") for i in range(10)))
+    assert paths(line, node("n10")) == set() and paths(line, node("n8")) == {">".join(f"n{i}" for i in range(9))}
+
+
 def test_taint_goes_on_over_many_variables(spark):
     body = "".join(f"    v{i + 1} = v{i} + '!'\n" for i in range(20))
     facts = code.facts(files(spark, ("a.py", 'def f():\n    v0 = request.args.get("x")\n' + body + "    os.system(v20)\n")))
