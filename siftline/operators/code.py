@@ -67,6 +67,114 @@ def _parameters(text: str | None) -> list[str]:
     return names
 
 
+_OPEN = {"(": ")", "[": "]", "{": "}"}
+_TOKEN = re.compile(r"""\"\"\"|\'\'\'|["'`#()\[\]{}]|//|/\*""")
+_REMARKS = {"py": ("#",), "rb": ("#",), "php": ("#", "//", "/*")}
+
+
+def _is_literal(lang: str, before: str) -> bool:
+    """Whether the brace after `before` opens a value rather than a body."""
+    b = before.rstrip()
+    return lang == "py" or b.endswith(tuple("=([,:?&|]")) or b.endswith("return") or lang == "go" and b == before and re.search(r"[\w\]}]$", b) is not None
+
+
+def joined_lines(rows: list[str], lang: str) -> tuple[dict[int, str], set[int]]:
+    """The statements of several lines by their first line, counted from 1, and the lines that only go on with one.
+
+    A statement goes on while a bracket or a long literal is open. The body of a function within it has its own
+    statements and isn't a part of its text. A bracket that nothing closes doesn't count.
+    """
+    out: dict[int, str] = {}
+    inside: set[int] = set()
+    wrong: set[tuple[int, int]] = set()
+    stack: list[tuple] = []  # (bracket, its place, is a body, first line of its statement, brackets open there, the statement that a body interrupts)
+    quotes = ('"""', "'''") if lang == "py" else ("`",) if lang in ("js", "go") else ()
+    remarks = _REMARKS.get(lang, ("//", "/*"))
+    i, start, base, parts, quote, began = 0, 0, 0, [], "", (0, 0)
+    while i <= len(rows):
+        bad = []
+        if i == len(rows):
+            bad = [s for s in stack if not s[2]]
+            if quote and not bad:
+                bad = [("", began, False, start, base, None)]
+            if not bad:
+                break
+        else:
+            line, at, from_ = rows[i], 0, 0
+            goes_on = bool(quote) or bool(parts)
+            if not goes_on:
+                start, base = i, len(stack)
+            resumed = False
+            while not bad:
+                if quote:
+                    end = line.find(quote, at)
+                    while end > 0 and line[end - 1] == "\\":
+                        end = line.find(quote, end + 1)
+                    if end < 0:
+                        break
+                    at, quote = end + len(quote), ""
+                    continue
+                m = _TOKEN.search(line, at)
+                if not m:
+                    break
+                c, at = m[0], m.end()
+                place = (i, m.start())
+                if c in ("#", "//", "/*"):
+                    if c in remarks:
+                        end = line.find("*/", at) if c == "/*" else -1
+                        line = line[: m.start()] + (" " * (end + 2 - m.start()) + line[end + 2 :] if end >= 0 else "")
+                elif place in wrong:
+                    continue
+                elif c in quotes:
+                    quote, began = c, place
+                elif c[0] in "\"'`":
+                    if len(c) == 3:
+                        at = m.start() + 1
+                    end = line.find(c[0], at)
+                    while end > 0 and line[end - 1] == "\\":
+                        end = line.find(c[0], end + 1)
+                    at = end + 1 if end >= 0 else at
+                elif c in _OPEN:
+                    body = c == "{" and not _is_literal(lang, line[: m.start()])
+                    if body and stack and not stack[-1][2]:  # a body within a statement
+                        stack.append((c, place, True, start, base, [*parts, line[from_:at]]))
+                        parts, start, base, from_ = [], i, len(stack), len(line)
+                    else:
+                        stack.append((c, place, body, start, base, None))
+                elif any(_OPEN[s[0]] == c for s in stack):
+                    while _OPEN[stack[-1][0]] != c:
+                        bad.append(stack.pop())
+                    if bad:
+                        bad = [s for s in bad if not s[2]]
+                        if not bad:
+                            stack.pop()
+                        continue
+                    s = stack.pop()
+                    if s[5] is not None:
+                        resumed = not line[: m.start()].strip()
+                        parts, start, base, from_ = s[5], s[3], s[4], m.start()
+                        goes_on = True
+        if bad:  # once more from the statement of the lowest, without them
+            wrong |= {s[1] for s in bad}
+            low = min(bad, key=lambda s: s[1])
+            i, stack, parts, quote = low[3], stack[: low[4]], [], ""
+            out = {k: v for k, v in out.items() if k <= i}
+            inside = {k for k in inside if k <= i}
+            continue
+        if goes_on and (resumed or i > start and not any(s[5] is not None and s[1][0] == i for s in stack) and (from_ == 0)):
+            inside.add(i + 1)
+        text = line[from_:]
+        open_ = bool(quote) or bool(stack) and not stack[-1][2] or lang == "py" and line.endswith("\\")
+        if open_ or parts:
+            parts.append(text.rstrip("\\") if lang == "py" else text)
+        if not open_ and parts:
+            if i > start:
+                out[start + 1] = " ".join([parts[0].rstrip(), *(p.strip() for p in parts[1:] if p.strip())])
+            parts = []
+        i += 1
+    return out, inside
+
+
 def facts_of(text: str, lang: str) -> list[tuple[str, str, int, int, str, list[str], str]]:
     """(kind, func, line, end_line, name, args, text) of a file. func is the enclosing function, '' at the top.
 
@@ -76,8 +184,16 @@ def facts_of(text: str, lang: str) -> list[tuple[str, str, int, int, str, list[s
     rows = [x.rstrip("\r") for x in text.split("\n")]
     opened: list[list] = []  # [name, depth of the line or of the braces, place in out]
     braces = 0
-    for no, line in enumerate(rows, 1):
+    joined, inside = joined_lines(rows, lang)
+    for no, row in enumerate(rows, 1):
+        line = joined.get(no, row)
         bare = line.strip()
+        if no in inside:
+            if lang not in ("py", "rb"):
+                braces += row.count("{") - row.count("}")
+                while opened and braces <= opened[-1][1] and "}" in row:
+                    _close(out, opened.pop(), no)
+            continue
         if not bare or bare.startswith(("//", "#", "*", "/*", "--")):
             continue
         indent = len(line) - len(line.lstrip())
@@ -107,8 +223,8 @@ def facts_of(text: str, lang: str) -> list[tuple[str, str, int, int, str, list[s
                     if k[1] not in _KEYWORDS:
                         out.append(("call", here, no, no, k[1], _arguments(line[k.end() :]), bare))
         if lang not in ("py", "rb"):
-            braces += line.count("{") - line.count("}")
-            while opened and braces <= opened[-1][1] and (line.count("}") or no > out[opened[-1][2]][2]):
+            braces += row.count("{") - row.count("}")
+            while opened and braces <= opened[-1][1] and (row.count("}") or no > out[opened[-1][2]][2]):
                 _close(out, opened.pop(), no)
     while opened:
         _close(out, opened.pop(), len(rows))

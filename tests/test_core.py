@@ -206,6 +206,23 @@ def test_code_facts(spark):
     assert f["import", "flask"].args == ["request"] and f["call", "g"].args == ["a"]
 
 
+@pytest.mark.parametrize(
+    ("lang", "text", "want"),
+    [
+        ("py", "cursor.execute(\n    'SELECT [' + x,  # (\n    y)\nf(z)\n", [("call", 1, "cursor.execute", ["'SELECT [' + x", "y"]), ("call", 4, "f", ["z"])]),
+        ("py", "q = ('a'\n     + x)\n", [("assign", 1, "q", [])]),
+        ("py", "def f(\n    a,\n    b,\n):\n    g(a)\n", [("function", 1, "f", ["a", "b"]), ("call", 5, "g", ["a"])]),
+        ("py", "x = f(1\ny = g(2)\n", [("assign", 1, "x", []), ("call", 1, "f", []), ("assign", 2, "y", []), ("call", 2, "g", ["2"])]),  # never closed
+        ("js", "app.get('/x', (q) => {\n  db.query('S' + q, {\n    p: 1\n  });\n}, last);\n", [("call", 1, "app.get", ["'/x'", "(q) => { }", "last"]), ("call", 2, "db.query", ["'S' + q", "{ p: 1 }"])]),
+        ("go", "func F(a string) {\n\tdb.Query(\n\t\t\"S\" + a,\n\t)\n}\n", [("function", 1, "F", ["a"]), ("call", 2, "db.Query", ['"S" + a'])]),
+    ],
+)
+def test_statements_of_several_lines(lang, text, want):
+    got = code.facts_of(text, lang)
+    assert [(x[0], x[2], x[4], x[5]) for x in got] == want
+    assert all("+ x" in x[6] for x in got if x[4] == "q")
+
+
 def test_taint_crosses_functions_and_files(spark):
     facts = code.facts(files(spark, ("a/app.py", PY), ("a/lib.py", LIB), ("b/m.py", USE), ("b/s.py", SAFE)))
     got = {(r.rule_id, r.source_file, r.sink_file, r.severity, r.steps) for r in taint.flows(facts).where("source NOT LIKE 'parameter%'").collect()}
