@@ -2,21 +2,25 @@
 
 A record's vector is the multiset of the runs of its text. Two records can only be near when they share
 their block (equal project, agreeing rule and file) and the vectors overlap in at least four fifths of the
-larger one. The index keeps each distinct vector of a block once, in full, in cells:
+larger one. The index keeps each distinct vector of a block, source and batch once, in full, in cells:
 
-* a block of up to CELL_VECTORS distinct vectors is one cell;
+* a block of up to CELL_VECTORS vectors is one cell;
 * a larger block has a cell for each run, and a vector lies in the cells of its rarest runs, rarest first
   in the block, as many as it has to: a vector that shares none of the first n - ceil(0.8 n) + 1 runs of
   another one is farther away than the bound, whatever the rest holds. Probing stops there, by that bound
   and by the bound on the two sizes; nothing nearer is left out.
 
-Candidates are ranked by their exact overlap. No cell has a capacity, and nothing is approximate but for
+Cells lie in buckets, folders of about BUCKET_ROWS rows of the history the index was built over. A batch reads
+the buckets of the cells it asks and no others, and history isn't shuffled where the batch is small enough to
+be sent to it. Candidates are ranked by their exact overlap. A block that outgrows its one cell is split when
+the batch that makes it too large is appended. No cell has a capacity, and nothing is approximate but for
 64-bit hashes standing for runs within a block.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +29,10 @@ from siftline.functions.text import counted_vector, digest, run_key, runs
 from siftline.session import new_table_path, written
 
 CELL_VECTORS = 64
+#: Rows of history in a bucket, about, and the most buckets there may be: each is a folder.
+BUCKET_ROWS, MOST_BUCKETS = 16_384, 4096
+#: A batch whose cells take more bytes than this is joined by a shuffle of both sides, else it is broadcast.
+BROADCAST_BYTES = 32_000_000
 #: The least share of the larger multiset, as a fraction of whole numbers.
 SHARE = (4, 5)
 
@@ -61,62 +69,118 @@ def cells_of(rows: DataFrame, order: DataFrame) -> DataFrame:
     return in_small.select("block", "cell", "n", "vec", "source", "batch", "key").unionByName(in_large)
 
 
+_CELLS = "block binary, cell bigint, n int, vec array<bigint>, source string, batch int, key bigint, bucket int"
+_ENTRIES = "block binary, n int, vec array<bigint>, source string, batch int, key bigint, of int"
+_HITS = "accepted_key bigint, inc_key bigint, accepted_in string"
+_ORDER = "block binary, run bigint, rows bigint, bucket int"
+
+
 @dataclass(frozen=True)
 class CellIndex:
-    """The persisted index at `path`: cells (block, cell, n, vec, source, batch, key) and the order of runs in large blocks."""
+    """The persisted index at `path`: cells (block, cell, n, vec, source, batch, key) and the order of runs in
+    large blocks (block, run, rows), both in folders by bucket, and its form (buckets, cell_vectors)."""
 
     spark: SparkSession
     path: str
 
-    @property
-    def cells(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/cells")
+    @cached_property
+    def form(self) -> tuple[int, int]:
+        """(buckets, cell_vectors), as they were when the index was built."""
+        return tuple(self.spark.read.schema("buckets int, cell_vectors int").parquet(f"{self.path}/form").first())
 
-    @property
-    def order(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/order")
+    def cells(self, buckets: list[int]) -> DataFrame:
+        """The cells in the given buckets; other folders aren't read."""
+        return self.spark.read.schema(_CELLS).parquet(f"{self.path}/cells").where(F.col("bucket").isin(buckets))
 
-    def append(self, rows: DataFrame) -> CellIndex:
-        """The accepted `rows` (of entries()) added to the cells, rows of history untouched.
+    def order(self, rows: DataFrame) -> DataFrame:
+        """The order of runs in those buckets that hold the blocks of `rows`."""
+        at = [r["b"] for r in rows.select(self._bucket("block").alias("b")).distinct().collect()]  # no more than there are buckets
+        return self.spark.read.schema(_ORDER).parquet(f"{self.path}/order").where(F.col("bucket").isin(at)).drop("bucket")
 
-        A block keeps the form it got when it was built, so that old and new rows meet in the same cells.
-        """
-        return self._append(written(classes(rows), "classes"))
+    def _bucket(self, *of: str) -> Column:
+        return F.pmod(F.xxhash64(*of), F.lit(self.form[0])).cast("int")
 
-    def _append(self, distinct: DataFrame) -> CellIndex:
-        cells_of(distinct, self.order).sortWithinPartitions("block", "cell").write.mode("append").parquet(f"{self.path}/cells")
-        return self
+    def _add(self, kind: str, rows: DataFrame, *of: str) -> None:
+        # rebalance splits a bucket that holds a large part of the rows
+        placed = rows.withColumn("bucket", self._bucket(*of)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *of)
+        placed.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{kind}")
 
-    def probe(self, rows: DataFrame) -> DataFrame:
+    def asked(self, rows: DataFrame, order: DataFrame | None = None) -> DataFrame:
+        """`rows` (of entries()) once for each cell in which something near them may lie, with its bucket; written."""
+        return written(cells_of(rows, self.order(rows) if order is None else order).withColumn("bucket", self._bucket("block", "cell")), "asked")
+
+    def probe(self, rows: DataFrame, order: DataFrame | None = None) -> DataFrame:
         """(accepted_key, key, source) for each of `rows` and each source that holds a near one: the smallest such key.
 
-        An accepted row counts if it has no batch or a lower one than the probing row.
+        An accepted row counts if it has no batch or a lower one than the probing row. Only the buckets of the
+        cells that `rows` ask are read.
         """
-        asked = cells_of(rows, self.order).select("block", "cell", F.col("n").alias("q_n"), F.col("vec").alias("q_vec"), F.col("batch").alias("q_batch"), F.col("key").alias("q_key"))
+        asked = self.asked(rows, order)
+        size = asked.agg(F.collect_set("bucket").alias("buckets"), F.coalesce(F.sum(8 * F.col("n") + 100), F.lit(0)).alias("bytes")).first()
+        q = asked.select("block", "cell", "bucket", F.col("n").alias("q_n"), F.col("vec").alias("q_vec"), F.col("batch").alias("q_batch"), F.col("key").alias("q_key"))
+        q = F.broadcast(q) if size["bytes"] <= BROADCAST_BYTES else q
         num, den = SHARE
         near = (
-            asked.join(self.cells, ["block", "cell"])
+            self.cells(size["buckets"]).join(q, ["bucket", "block", "cell"])
             .where(F.col("batch").isNull() | (F.col("batch") < F.col("q_batch")))
             .where((F.col("n") * den >= F.col("q_n") * num) & (F.col("q_n") * den >= F.col("n") * num))
             .where(F.size(F.array_intersect("q_vec", "vec")) * den >= F.greatest("n", "q_n") * num)
         )
         return near.groupBy("q_key", "source").agg(F.min("key").alias("accepted_key")).select("accepted_key", F.col("q_key").alias("key"), "source")
 
+    def append(self, rows: DataFrame, order: DataFrame | None = None) -> CellIndex:
+        """The accepted `rows` (of entries()) added to the cells; what lies in them stays as it is.
+
+        A block that gets more than cell_vectors rows in its one cell is split: its rows are added to cells by
+        run and its order is written. The cell it had is then asked by nothing any more.
+        """
+        new = written(classes(rows), "classes")
+        order = self.order(new) if order is None else order
+        add = cells_of(new, order)
+        fresh = new.join(order.select("block").distinct(), "block", "left_anti").groupBy("block").agg(F.count(F.lit(1)).alias("more"))
+        fresh = written(fresh.withColumn("bucket", self._bucket("block", F.lit(0).cast("bigint"))), "fresh")
+        at = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # no more than there are buckets
+        held = self.cells(at).where("cell = 0").select("bucket", "block").join(fresh.drop("more"), ["bucket", "block"], "left_semi").groupBy("block").agg(F.count(F.lit(1)).alias("held"))
+        grown = written(fresh.join(held, "block", "left").where(F.col("more") + F.coalesce("held", F.lit(0)) > self.form[1]).select("bucket", "block"), "grown")
+        if not grown.isEmpty():
+            at = [r["bucket"] for r in grown.select("bucket").distinct().collect()]
+            old = self.cells(at).where("cell = 0").join(grown, ["bucket", "block"], "left_semi").select("block", "n", "vec", "source", "batch", "key")
+            split = written(old.unionByName(new.join(grown, "block", "left_semi")), "split")
+            ranks = written(frequencies(split), "ranks")
+            self._add("cells", cells_of(split, ranks), "block", "cell")
+            self._add("order", ranks, "block")
+            add = add.join(grown, "block", "left_anti")
+        self._add("cells", add, "block", "cell")
+        return self
+
 
 def classes(rows: DataFrame) -> DataFrame:
     """One row for each distinct vector of a block, source and batch, with the smallest key."""
     return rows.groupBy("block", "n", "vec", "source", "batch").agg(F.min("key").alias("key")).select("block", "n", "vec", "source", "batch", "key")
 
 
-def build_index(rows: DataFrame, path: str | None = None, cell_vectors: int = CELL_VECTORS) -> CellIndex:
+def frequencies(rows: DataFrame) -> DataFrame:
+    """(block, run, rows): in how many rows of its block each run occurs."""
+    return rows.select("block", F.explode("vec").alias("run")).groupBy("block", "run").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def build_index(rows: DataFrame, path: str | None = None, cell_vectors: int = CELL_VECTORS, bucket_rows: int = BUCKET_ROWS) -> CellIndex:
     """The index over `rows` (of entries()), written to `path` or a new folder of the shared one."""
-    index = CellIndex(rows.sparkSession, path or new_table_path(rows.sparkSession, "cells"))
+    spark = rows.sparkSession
+    index = CellIndex(spark, path or new_table_path(spark, "cells"))
     distinct = written(classes(rows), "classes")  # the vectors are made once
-    vectors = distinct.select("block", "vec").distinct()
-    large = vectors.groupBy("block").agg(F.count(F.lit(1)).alias("vectors")).where(F.col("vectors") > cell_vectors)
-    said = vectors.join(large, "block", "left_semi").select("block", F.explode("vec").alias("run"))
-    said.groupBy("block", "run").agg(F.count(F.lit(1)).alias("rows")).write.parquet(f"{index.path}/order")
-    return index._append(distinct)
+    buckets = min(MOST_BUCKETS, max(1, -(-distinct.count() // bucket_rows)))
+    spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(cell_vectors).alias("cell_vectors")).write.parquet(f"{index.path}/form")
+    large = distinct.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > cell_vectors).select("block")
+    ranks = written(frequencies(distinct.join(large, "block", "left_semi")), "ranks")
+    index._add("order", ranks, "block")
+    index._add("cells", cells_of(distinct, ranks), "block", "cell")
+    return index
+
+
+def open_index(spark: SparkSession, path: str) -> CellIndex:
+    """The index that another session has built and appended to."""
+    return CellIndex(spark, path)
 
 
 def suppressed(incoming: DataFrame, suppressions: DataFrame) -> DataFrame:
@@ -146,13 +210,24 @@ def suppressed(incoming: DataFrame, suppressions: DataFrame) -> DataFrame:
     return i.join(s, ["project", "n", "tail"]).where(holds).groupBy("inc_key").agg(F.min("sup_key").alias("accepted_key")).select("accepted_key", "inc_key")
 
 
-def repeats(findings: DataFrame, incoming: DataFrame, suppressions: DataFrame) -> DataFrame:
+def repeats(findings: DataFrame, incoming: DataFrame, suppressions: DataFrame, index: CellIndex | None = None) -> DataFrame:
     """(accepted_key, inc_key, accepted_in): what each incoming row repeats of findings, earlier batches and suppressions.
 
-    findings and all batches are put into one index; a batch sees findings and the batches below its own
-    number, which is the same as probing and appending batch after batch. Empty tables give no rows.
+    Without an `index`, one is built over findings; a given one already holds them and all batches before these.
+    Batch after batch then probes it and is appended, in the order of batch_no. Rows without a batch_no are
+    checked against findings alone and accepted by none. Empty tables give no rows.
     """
-    asked = written(entries(incoming, "inc_key", "incoming_findings", "batch_no"), "asked")
-    index = build_index(entries(findings, "finding_key", "findings").unionAll(asked.where("batch IS NOT NULL")))
-    hits = index.probe(asked).select("accepted_key", F.col("key").alias("inc_key"), F.col("source").alias("accepted_in"))
-    return hits.unionByName(suppressed(incoming, suppressions).withColumn("accepted_in", F.lit("suppressions")))
+    index = index or build_index(entries(findings, "finding_key", "findings"))
+    path = new_table_path(incoming.sparkSession, "asked")
+    entries(incoming, "inc_key", "incoming_findings", "batch_no").withColumn("of", F.col("batch")).hint("rebalance", "of").write.partitionBy("of").parquet(path)
+    asked = incoming.sparkSession.read.schema(_ENTRIES).parquet(path)
+    hits = new_table_path(incoming.sparkSession, "hits")
+    numbers = [r["of"] for r in asked.select("of").distinct().collect()]  # one for each batch
+    for b in sorted(numbers, key=lambda b: (b is not None, b)):
+        batch = asked.where(F.col("of").eqNullSafe(b)).drop("of")
+        order = index.order(batch)
+        index.probe(batch, order).select("accepted_key", F.col("key").alias("inc_key"), F.col("source").alias("accepted_in")).write.mode("append").parquet(hits)
+        if b is not None:
+            index.append(batch, order)
+    found = incoming.sparkSession.read.schema(_HITS).parquet(hits) if numbers else incoming.sparkSession.createDataFrame([], _HITS)
+    return found.unionByName(suppressed(incoming, suppressions).withColumn("accepted_in", F.lit("suppressions")))

@@ -143,7 +143,7 @@ def brute(found, incoming):
     return out
 
 
-@pytest.mark.parametrize("cell_vectors", [2, 64])
+@pytest.mark.parametrize("cell_vectors", [2, 4, 64])
 def test_batches_against_history(spark, cell_vectors):
     r = random.Random(3)
     words = [f"w{i}" for i in range(12)]
@@ -157,13 +157,44 @@ def test_batches_against_history(spark, cell_vectors):
     whole = {(x.key, x.source): x.accepted_key for x in index.probe(asked).collect()}
     assert whole == brute(found, incoming)
     # the same batch after batch: probe, then append
-    index = incremental.build_index(incremental.entries(f, "finding_key", "findings"), cell_vectors=cell_vectors)
-    step = {}
-    for b in range(1, 5):
-        batch = asked.where(F.col("batch") == b)
-        step |= {(x.key, x.source): x.accepted_key for x in index.probe(batch).collect()}
-        index.append(batch)
-    assert step == whole
+    index = incremental.build_index(incremental.entries(f, "finding_key", "findings"), cell_vectors=cell_vectors, bucket_rows=20)
+    got = incremental.repeats(f, i, spark.createDataFrame([], SUP), index)
+    assert {(x.inc_key, x.accepted_in): x.accepted_key for x in got.collect()} == whole
+    again = incremental.open_index(spark, index.path)  # what another session finds
+    assert {(x.key, x.source): x.accepted_key for x in again.probe(asked).collect()} == whole
+
+
+def test_a_block_that_outgrows_its_cell_is_split(spark):
+    words = [f"w{i}" for i in range(40)]
+    r = random.Random(8)
+    text = lambda: " ".join(r.sample(words, 8))
+    found = [(1, "p", "R", "f", 1, text()), (2, "q", "R", "f", 1, text())]
+    incoming = [(100 + k, 1 + k // 10, T[0], "p", "R", "f", 1, text()) for k in range(60)]
+    incoming += [(200 + k, 7, T[0], "p", "R", "f", 1, incoming[k * 5][7]) for k in range(12)]
+    f, i = spark.createDataFrame(found, RAW), spark.createDataFrame(incoming, IN)
+    index = incremental.build_index(incremental.entries(f, "finding_key", "findings"), cell_vectors=8)
+    got = incremental.repeats(f, i, spark.createDataFrame([], SUP), index)
+    assert {(x.inc_key, x.accepted_in): x.accepted_key for x in got.collect()} == brute(found, incoming)
+    cells = spark.read.parquet(f"{index.path}/cells").where("cell <> 0").groupBy("block", "cell").count()
+    assert cells.count() > 8 and cells.agg(F.max("count")).first()[0] < 72
+
+
+def test_a_batch_reads_its_own_buckets_only(spark):
+    from pathlib import Path
+
+    def history(n):
+        return spark.range(n).select(F.col("id").alias("finding_key"), F.concat(F.lit("p"), F.col("id") % 997).alias("project"), F.lit("R").alias("rule_id"), F.concat(F.lit("f"), F.col("id") % 31).alias("file"), F.lit(1).alias("line"), F.concat_ws(" ", F.md5(F.col("id").cast("string")), F.lit("a b c d e f")).alias("evidence"))
+
+    i = spark.createDataFrame([(-1, 1, T[0], "p5", "R", "f5", 1, "x"), (-2, 1, T[0], "p9", "r", "f9", 1, "y")], IN)
+    asked = incremental.entries(i, "inc_key", "incoming_findings", "batch_no")
+    read = []
+    for n in (4_000, 16_000):
+        index = incremental.build_index(incremental.entries(history(n), "finding_key", "findings"), bucket_rows=500)
+        at = [r.bucket for r in index.asked(asked).select("bucket").distinct().collect()]
+        scan = index.cells(at)._jdf.queryExecution().executedPlan().toString()
+        assert index.form[0] == n // 500 and len(at) <= 2 and "PartitionFilters: [bucket" in scan
+        read.append(sum(Path(x.f.removeprefix("file://")).stat().st_size for x in index.cells(at).select(F.input_file_name().alias("f")).distinct().collect()))
+    assert read[1] < 2 * read[0]  # four times the history, no more bytes for the batch
 
 
 def test_suppressions_and_edges(spark):
