@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.session import cut
+from siftline.session import cut, written
 
 
 def hash_to_min(pairs: DataFrame, left: str = "v", right: str = "u", rounds: int = 60) -> DataFrame:
@@ -58,9 +58,9 @@ def vulnerability_groups(advisories: DataFrame, least: int = 2) -> DataFrame:
     The rows that share an identifier are linked to the smallest of them, never to each other: as many
     links as identifiers are mentioned. Rows without an identifier are alone.
     """
-    said = identifiers(advisories)
+    said = written(identifiers(advisories), "identifiers")
     first = said.groupBy("ident").agg(F.min("adv_key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = said.join(first, "ident").select("adv_key", "first")
+    links = cut(said.join(first, "ident").select("adv_key", "first"))
     of = cut(hash_to_min(links, "adv_key", "first"))
     sizes = of.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return of.join(sizes, "root").select(F.col("root").alias("group_key"), F.col("vertex").alias("adv_key"))

@@ -45,7 +45,7 @@ def _p1_votes(field: str) -> str:
 
 P1_VOTES = (
     _P1_ROWS
-    + f""", v AS (SELECT *, trust * (1 << greatest(0, 20 - greatest(0, date_diff('day', scanned_at::DATE, DATE '2026-12-01')) // 30))::BIGINT AS vote FROM m)
+    + f""", v AS (SELECT *, CASE WHEN scanned_at IS NULL THEN trust::HUGEINT ELSE trust::HUGEINT * (1::HUGEINT << (80 - least(80, greatest(0, date_diff('day', scanned_at::DATE, (SELECT max(scanned_at::DATE) FROM f)) // 30)))::INTEGER) END AS vote FROM m)
 SELECT b.group_key, b.n_rows, coalesce(s.severity, '') AS severity, coalesce(c.confidence, '') AS confidence, coalesce(w.cwe, '') AS cwe, coalesce(d.detector_ids, '') AS detector_ids
 FROM (SELECT DISTINCT group_key, n_rows FROM m) b LEFT JOIN d USING (group_key)
 LEFT JOIN ({_p1_votes("severity")}) s USING (group_key) LEFT JOIN ({_p1_votes("confidence")}) c USING (group_key) LEFT JOIN ({_p1_votes("cwe")}) w USING (group_key)

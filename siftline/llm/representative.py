@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from siftline.functions.text import blank, digest, run_key
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 CONFIDENCES = ("HIGH", "MEDIUM", "LOW")
 
+#: Half-lives beyond which a vote isn't halved any more.
+HALVINGS = 80
+
 _ROW = ""  # the long rows of this "field" stand for the records themselves
 
 
@@ -62,20 +66,21 @@ def represent(
     fields: Mapping[str, Column],
     sets: Mapping[str, str] | None = None,
     prefer: str = "votes",
-    as_of: Column | str = "2026-12-01",
+    as_of: Column | str | None = None,
     half_life_days: int = 30,
-    halvings: int = 20,
     least: int = 2,
 ) -> DataFrame:
     """One row for each group of at least `least` rows: group_key (the smallest key), n_rows, and each field's best value.
 
     The fields are unpivoted to long rows (group, field, value). A value's votes are the sum, over the rows
-    that give it, of trust times 2 for each half-life (at most `halvings`) by which the row is younger than
-    the oldest that counts; the sums are whole numbers, so their order is the same in every run. The winner
-    of a field is taken by max_by and the winners are pivoted back. `prefer` says what max_by goes by:
-    "votes" (then the leading row), or "lead": the leading row alone, rows ordered by trust, time and key.
-    A lexicographic order over rows isn't a sum of votes; where a result is defined by the first usable row,
-    use "lead".
+    that give it, of trust halved once for each whole half-life of its age at `as_of`, by default the latest
+    time of the table. The sums are whole numbers of 38 digits, so their order is the same in every run; a
+    row of HALVINGS half-lives or more counts as one of HALVINGS, where no number of old rows outweighs a
+    recent one. The winner of a field is taken by max_by and the winners are pivoted back. `prefer` says what
+    max_by goes by: "votes" (then the leading row), or "lead": the leading row alone, rows ordered by trust,
+    time and key. That order is the limit of ever steeper votes, in which each row outweighs all rows below
+    it; such weights need as many digits as there are rows, so the limit is taken as a maximum and not as a
+    sum. Where a result is defined by the first usable row, use "lead".
 
     `fields` maps an output name to the normalised value (null: unusable). `sets` maps an output name to an
     array column whose distinct non-null items come out sorted and joined by ','. Missing values come out as
@@ -84,8 +89,13 @@ def represent(
     any part of the rows.
     """
     sets = dict(sets or {})
-    age = F.floor(F.greatest(F.lit(0), F.datediff(F.lit(as_of) if isinstance(as_of, str) else as_of, F.col(at).cast("date"))) / half_life_days)
-    weight = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(0), F.coalesce(halvings - age, F.lit(0))).cast("int"))
+    if as_of is None and prefer == "votes":
+        as_of = F.lit(df.agg(F.max(F.col(at).cast("date"))).first()[0]).cast("date")
+    now = F.lit(as_of) if isinstance(as_of, str) else as_of if as_of is not None else F.lit(None).cast("date")
+    age = F.least(F.lit(HALVINGS), F.greatest(F.lit(0), F.floor(F.datediff(now, F.col(at).cast("date")) / half_life_days))).cast("int")
+    powers = F.array(*(F.lit(Decimal(2**k)).cast("decimal(25,0)") for k in range(HALVINGS + 1)))
+    weight = F.get(powers, F.lit(HALVINGS) - F.coalesce(age, F.lit(HALVINGS)))
+    vote = (F.coalesce(F.col(trust), F.lit(0)).cast("decimal(10,0)") * weight if prefer == "votes" else F.lit(0)).cast("decimal(38,0)")
     long = [F.struct(F.lit(_ROW).alias("field"), F.lit("").alias("value"))]
     long += [F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields.items()]
     items = [_items(f, F.col(c)) for f, c in sets.items()]
@@ -96,16 +106,15 @@ def represent(
             F.col(key).alias("k"),
             F.coalesce(F.col(trust), F.lit(0)).cast("bigint").alias("t"),
             F.col(at).alias("at"),
-            (F.coalesce(F.col(trust), F.lit(0)).cast("bigint") * weight).alias("vote"),
+            vote.alias("vote"),
             F.explode(F.concat(F.array(*long), *items)).alias("x"),
         )
         .select("g", "k", "t", "at", "vote", "x.field", "x.value")
         .where(F.col("value").isNotNull())
     )
-    votes = rows.groupBy("g", "field", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("k").alias("first_key"), F.sum("vote").alias("votes"), F.max(F.struct("t", "at", "k")).alias("lead")
-    )
-    order = {"votes": F.struct("votes", "lead"), "lead": F.col("lead")}[prefer]
+    summed = [F.sum("vote").alias("votes")] if prefer == "votes" else []
+    votes = rows.groupBy("g", "field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_key"), *summed, F.max(F.struct("t", "at", "k")).alias("lead"))
+    order = F.struct("votes", "lead") if summed else F.col("lead")
     of = lambda f, x: F.when(F.col("field") == f, x)
     out = votes.groupBy("g").agg(
         F.max(of(_ROW, F.col("first_key"))).alias("group_key"),

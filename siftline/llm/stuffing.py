@@ -1,10 +1,12 @@
 """Pages made of repeated keywords, links or product tags, found by their rank-frequency curves.
 
 The words of each page are ranked by frequency in SQL windows and a line is fitted through the logarithms.
-Slope and residual of the fit and the page's divergence from prose of its language are compared with those
-of prose pages of comparable length; extreme pages are candidates. Code and tables are extreme too, so an
-exact check of the candidates follows: more than half of the characters have to lie in lines that are links,
-tags or keywords, told from sentences by the share of the language's common words.
+Slope and residual of the fit and the page's divergence from reference text are compared with those of prose
+pages of the same language and of comparable length; what is extreme in any of the three is flagged.
+Reference text is the prose of the page's language, code and tables, learned apart from all pages: code and
+tables are no prose, but their words are as few and as often repeated everywhere, while stuffing consists of
+words that none of the three has. An exact check of the flagged pages follows, since a page counts by its
+characters: more than half of them have to lie in lines that are links, tags or keywords.
 """
 
 from __future__ import annotations
@@ -18,19 +20,25 @@ from pyspark.sql import functions as F
 
 from siftline.session import written
 
-#: Standard deviations, of the three measures together, from prose of comparable length beyond which a page is extreme.
-EXTREME = 2.0
-#: A word of the prose model occurs in at least this share of a language's sentences: at most 1 / share words for each word of a mean sentence.
-MODEL_SHARE = 0.001
-#: A common word occurs in at least this share of the sentences.
-COMMON_SHARE = 0.04
+#: Standard deviations from prose of comparable length, in the direction of stuffing, beyond which a page is extreme.
+EXTREME = {"slope": 6.0, "residual": 9.0, "divergence": 3.0}
+#: A word of the reference occurs in at least this share of the pages of its kind: at most 1 / share words for each word of a mean page.
+MODEL_SHARE = 0.005
+#: A common word occurs in at least this share of a language's prose pages.
+COMMON_SHARE = 0.2
 #: Words of a sentence that teaches the prose model.
 SENTENCE_WORDS = 7
 #: A page of prose has at least this share of its words in such sentences.
 PROSE_SHARE = 0.8
+#: Lines of code or of a table that a page has at least, to teach that model.
+LINES = 3
 
 _WORDS = r"\p{L}+(?:['’]\p{L}+)?"
 _LINKS = r"https?://|www\."
+#: A line of code or configuration: brackets, assignments, calls, remarks, `key: value`, an instruction or an item of one word.
+_CODE_LINE = r"[{}=;$\\]|\w\(|^\s*(?:#|//|--\s|/\*|<\w)|^\s*[\w.-]+:(?:\s|$)|^[A-Z]+ \S+$|^\s*-\s\S+$"
+#: A row of a table: at least three columns between bars or wide gaps.
+_TABLE_ROW = r"\S\s{2,}\S.*\S\s{2,}\S|\|[^|]+\|"
 
 
 def _words(c: Column) -> Column:
@@ -42,77 +50,86 @@ def pages(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), "text")
 
 
-def prose_sentences(rows: DataFrame) -> DataFrame:
-    """(doc_id, lang, words): the sentences of at least SENTENCE_WORDS words without a link, as arrays of words."""
-    s = rows.select("doc_id", "lang", F.explode(F.split("text", r"\n|(?<=[.?!])\s+")).alias("s"))
-    s = s.select("doc_id", "lang", F.trim(F.regexp_replace("s", r"^[\s\-*#>0-9.()\[\]:]+", "")).alias("s")).where(F.col("s").rlike(r"^\p{Lu}") & F.col("s").rlike(r"[.?!]$") & ~F.col("s").rlike(_LINKS))
-    return s.select("doc_id", "lang", _words(F.col("s")).alias("words")).where(F.size("words") >= SENTENCE_WORDS)
+def lessons(rows: DataFrame) -> DataFrame:
+    """(doc_id, lang, prose_words, prose, code, table): the distinct words of a page's sentences, lines of code and
+    rows of tables, and the number of words in its sentences.
 
-
-def prose_model(sentences: DataFrame) -> DataFrame:
-    """(lang, word, share, p): the words that occur in at least MODEL_SHARE of a language's sentences, with that
-    share and their probability in prose. Bounded: the shares of all words add up to a mean sentence's length."""
-    n = sentences.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("total"))
-    w = sentences.select("lang", F.explode(F.array_distinct("words")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k"))
-    return w.join(F.broadcast(n), "lang").where(F.col("k") >= F.col("n") * MODEL_SHARE).select("lang", "word", (F.col("k") / F.col("n")).alias("share"), (F.col("k") / F.col("total")).alias("p"))  # n has one row for each language
-
-
-def guessed(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, guess): for pages of unknown language, the one most of whose common words they hold (then the first by name)."""
-    common = model.where((F.col("share") >= COMMON_SHARE) & (F.col("lang") != "?")).select(F.col("lang").alias("guess"), "word")
-    words = rows.where("lang = '?'").select("doc_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    hits = words.join(F.broadcast(common), "word").groupBy("doc_id", "guess").agg((-F.count(F.lit(1))).alias("k"))  # bounded by COMMON_SHARE
-    return hits.groupBy("doc_id").agg(F.min_by("guess", F.struct("k", "guess")).alias("guess"))
+    Sentences have at least SENTENCE_WORDS words and no link. Lines of code teach where a page has LINES of
+    them and they are half of its lines, rows of a table where it has LINES.
+    """
+    sentences = F.filter(F.split("text", r"\n|(?<=[.?!])\s+"), lambda s: s.rlike(r"^[\s\-*#>0-9.()\[\]:]*\p{Lu}[^\n]*[.?!]\s*$") & ~s.rlike(_LINKS))
+    prose = F.filter(F.transform(sentences, _words), lambda w: F.size(w) >= SENTENCE_WORDS)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))
+    x = rows.select("doc_id", "lang", prose.alias("prose"), lines.alias("lines"))
+    like = lambda pattern: F.filter("lines", lambda x: x.rlike(pattern) & ~x.rlike(_LINKS))
+    x = x.select("doc_id", "lang", F.flatten("prose").alias("prose"), F.size("lines").alias("n"), like(_CODE_LINE).alias("code"), like(_TABLE_ROW).alias("table"))
+    taught = lambda c, enough: F.when(enough & (F.size(c) >= LINES), F.array_distinct(_words(F.array_join(c, " "))))
+    return x.select("doc_id", "lang", F.size("prose").alias("prose_words"), F.array_distinct("prose").alias("prose"), taught("code", 2 * F.size("code") >= F.col("n")).alias("code"), taught("table", F.lit(True)).alias("table"))
+
+
+def reference(taught: DataFrame) -> DataFrame:
+    """(word, langs, common): the words of prose of each language, code and tables that occur in at least MODEL_SHARE
+    of the pages that teach their kind, and in two of them.
+
+    langs are the languages whose prose has the word, and '' if code or tables have it; `common` if it is in
+    COMMON_SHARE of a language's prose pages. Bounded: the shares of all words of a kind add up to the distinct
+    words of a mean page.
+    """
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("words")) for k in ("prose", "code", "table")))
+    t = taught.select("lang", F.explode(kinds).alias("k")).select(F.when(F.col("k.kind") == "prose", F.col("lang")).otherwise("").alias("lang"), "k.kind", "k.words").where("size(words) > 0")
+    n = t.groupBy("kind", "lang").agg(F.count(F.lit(1)).alias("pages"))
+    w = t.select("kind", "lang", F.explode("words").alias("word")).groupBy("kind", "lang", "word").agg(F.count(F.lit(1)).alias("k"))
+    w = w.join(F.broadcast(n), ["kind", "lang"]).where("k >= 2").where(F.col("k") >= F.col("pages") * MODEL_SHARE)  # one row for each language
+    common = (F.col("kind") == "prose") & (F.col("lang") != "?") & (F.col("k") >= F.col("pages") * COMMON_SHARE)
+    return w.groupBy("word").agg(F.collect_set("lang").alias("langs"), F.max(common).alias("common"))
 
 
 def curves(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, n_types, slope, residual, divergence) of every page with a word; an unknown language is guessed.
+    """(doc_id, lang, n_words, n_types, slope, residual, divergence) of every page with a word.
 
     slope and residual are those of ln(frequency) over ln(rank); a page with a single word has slope 0.
-    divergence is the relative entropy, in nats, of the page's words to the prose model; words that the model
-    doesn't have are one class.
+    divergence is the relative entropy, in nats, of the page's words to the reference of its language, words of
+    the reference being one class of 99 parts in 100 and all others the other; 0 where they are fewer than that.
+    An unknown language has the words of all.
+    Texts are spread by doc_id once, and all that follows happens where they lie.
     """
-    counts = rows.select("doc_id", "lang", F.explode(_words(F.col("text"))).alias("word")).groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(guessed(rows, model), "doc_id", "left").select("doc_id", F.coalesce("guess", "lang").alias("lang"), "word", "n")
-    rest = model.groupBy("lang").agg(F.greatest(F.lit(1e-4), 1 - F.sum("p")).alias("q_other"))
-    ranked = counts.join(F.broadcast(model.select("lang", "word", "p")), ["lang", "word"], "left")  # bounded by MODEL_SHARE
+    words = rows.repartition("doc_id").select("doc_id", "lang", F.explode(_words(F.col("text"))).alias("word"))
+    counts = words.groupBy("doc_id", "lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.join(F.broadcast(model.select("word", "langs")), "word", "left")  # bounded by MODEL_SHARE
+    ranked = ranked.withColumn("known", F.coalesce(F.array_contains("langs", F.col("lang")) | F.array_contains("langs", "") | ((F.col("lang") == "?") & F.col("langs").isNotNull()), F.lit(False))).drop("langs")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")))
     x, y = F.ln("rank"), F.ln("n")
-    total = F.sum("n")
-    known = F.sum(F.when(F.col("p").isNotNull(), F.col("n") * F.ln(F.col("n") / F.col("p"))))
-    unknown = F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("n"))), F.lit(0))
     fit = ranked.groupBy("doc_id", "lang").agg(
-        total.cast("bigint").alias("n_words"),
+        F.sum("n").cast("bigint").alias("n_words"),
         F.count(F.lit(1)).alias("n_types"),
         F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
         F.sqrt(F.greatest(F.lit(0.0), (F.regr_syy(y, x) - F.coalesce(F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.nullif(F.regr_sxx(y, x), F.lit(0.0)), F.lit(0.0))) / F.count(F.lit(1)))).alias("residual"),
-        F.coalesce(known, F.lit(0.0)).alias("known"),
-        unknown.alias("unknown"),
+        (F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)) / F.sum("n")).alias("u"),
     )
-    fit = fit.join(F.broadcast(rest), "lang", "left")  # one row for each language
-    other = F.when(F.col("unknown") > 0, F.col("unknown") * F.ln(F.col("unknown") / F.coalesce("q_other", F.lit(1.0)))).otherwise(0.0)
-    return fit.select("doc_id", "lang", "n_words", "n_types", "slope", "residual", ((F.col("known") + other) / F.col("n_words") - F.ln("n_words")).alias("divergence"))
+    u, q = F.col("u"), 0.01
+    kl = u * F.ln(u / q) + F.when(u < 1, (1 - u) * F.ln((1 - u) / (1 - q))).otherwise(0.0)
+    return fit.select("doc_id", "lang", "n_words", "n_types", "slope", "residual", F.when(u > q, kl).otherwise(0.0).alias("divergence"))
 
 
-def extremes(fits: DataFrame, sentences: DataFrame, extreme: float = EXTREME) -> DataFrame:
+def extremes(fits: DataFrame, taught: DataFrame) -> DataFrame:
     """curves() with z_slope, z_residual, z_divergence and extreme, against prose pages of the language and of
     comparable length (a factor of two); where there are fewer than 8 of them, of the language, else of all."""
     measures = ("slope", "residual", "divergence")
-    prose = sentences.groupBy("doc_id").agg(F.sum(F.size("words")).alias("prose_words"))
-    f = fits.withColumn("size_class", F.floor(F.log2("n_words")).cast("int"))
-    ref = f.join(prose, "doc_id").where(F.col("prose_words") >= PROSE_SHARE * F.col("n_words"))
+    f = fits.withColumns({"size_class": F.floor(F.log2("n_words")).cast("int"), "all": F.lit(1)})
+    ref = f.join(taught.select("doc_id", "prose_words"), "doc_id").where(F.col("prose_words") >= PROSE_SHARE * F.col("n_words"))
     stats = [s for m in measures for s in (F.avg(m).alias(f"m_{m}"), F.stddev_pop(m).alias(f"s_{m}"))]
     n = F.count(F.lit(1)).alias("n")
-    near = ref.groupBy("lang", "size_class").agg(n, *stats).where("n >= 8").drop("n")
-    lang = ref.groupBy("lang").agg(n, *stats).where("n >= 8").drop("n")
-    names = [c for c in near.columns if c[:2] in ("m_", "s_")]
-    lang = lang.select("lang", *(F.col(c).alias("l" + c) for c in names))
     # the statistics have one row for each language and length class at most
-    j = f.join(F.broadcast(near), ["lang", "size_class"], "left").join(F.broadcast(lang), "lang", "left")
-    z = {m: (F.col(m) - F.coalesce(f"m_{m}", f"lm_{m}", F.lit(0.0))) / F.greatest(F.lit(1e-3), F.coalesce(f"s_{m}", f"ls_{m}", F.lit(1.0))) for m in measures}
+    j = f
+    for p, by in (("a", ["lang", "size_class"]), ("b", ["lang"]), ("c", ["all"])):
+        s = ref.groupBy(*by).agg(n, *stats).where("n >= 8").drop("n")
+        s = F.broadcast(s.select(*by, *(F.col(c).alias(p + c) for c in s.columns if c not in by)))
+        j = j.join(s, by, "left")
+    of = lambda what, m, rest: F.coalesce(*(F.col(f"{p}{what}_{m}") for p in "abc"), F.lit(rest))
+    z = {m: (F.col(m) - of("m", m, 0.0)) / F.greatest(F.lit(0.02), of("s", m, 1.0)) for m in measures}
     out = j.select("doc_id", "lang", "n_words", "n_types", *measures, *(v.alias(f"z_{m}") for m, v in z.items()))
-    apart = sum((F.col(f"z_{m}") * F.col(f"z_{m}") for m in measures), F.lit(0.0))
-    return out.withColumn("extreme", apart > extreme * extreme)
+    far = (-F.col("z_slope") > EXTREME["slope"]) | (F.col("z_residual") > EXTREME["residual"]) | (F.col("z_divergence") > EXTREME["divergence"])
+    return out.withColumn("extreme", far)
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -169,22 +186,22 @@ def stuffed_share(text: str, common: frozenset[str]) -> float:
     return stuffed / total if total else 0.0
 
 
-def checked(rows: DataFrame, candidates: DataFrame, model: DataFrame, share: float = 0.5) -> DataFrame:
-    """(doc_id, stuffed): the candidates of which more than `share` is stuffed. Only the model's common words are collected: at most some hundreds."""
-    common = frozenset(r["word"] for r in model.where(F.col("share") >= COMMON_SHARE).select("word").distinct().collect())
+def checked(rows: DataFrame, flagged: DataFrame, model: DataFrame, share: float = 0.5) -> DataFrame:
+    """(doc_id, stuffed): the flagged pages of which more than `share` is stuffed. Only the common words are collected: at most some hundreds."""
+    common = frozenset(r["word"] for r in model.where("common").select("word").distinct().collect())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = pd.DataFrame({"doc_id": b["doc_id"], "stuffed": [stuffed_share(t, common) for t in b["text"]]})
             yield out[out["stuffed"] > share]
 
-    return rows.join(candidates.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInPandas(run, "doc_id bigint, stuffed double")
+    return rows.join(flagged.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInPandas(run, "doc_id bigint, stuffed double")
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """(doc_id, stuffed) of the stuffed pages. Empty pages and pages without a word aren't; an empty table gives no rows.
 
-    A page without a word other than its links' parts has no curve to compare with, but those parts are words.
+    A page without a word other than its links' parts has no prose to compare with, but those parts are words.
     """
     rows = pages(documents)
     fits, model = _measured(rows)
@@ -197,7 +214,7 @@ def page_curves(documents: DataFrame) -> DataFrame:
 
 
 def _measured(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """extremes() and the prose model. Sentences and curves are written, since both are read several times."""
-    sentences = written(prose_sentences(rows), "sentences")
-    model = written(prose_model(sentences), "prose")
-    return extremes(written(curves(rows, model), "curves"), sentences), model
+    """extremes() and the reference. Lessons, reference and curves are written, since each is read several times."""
+    taught = written(lessons(rows), "lessons")
+    model = written(reference(taught), "reference")
+    return extremes(written(curves(rows, model), "curves"), taught), model

@@ -231,10 +231,11 @@ def test_stuffed_pages(spark):
 
 def test_curve_of_known_counts(spark):
     rows = spark.createDataFrame([(1, "en", "a " * 8 + "b " * 4 + "c " * 2 + "d")], "doc_id bigint, lang string, text string")
-    model = spark.createDataFrame([("en", "a", 0.5, 0.5)], "lang string, word string, share double, p double")
+    model = spark.createDataFrame([("a", ["en"], True), ("b", [""], False), ("c", ["de"], False)], "word string, langs array<string>, common boolean")
     r = stuffing.curves(rows, model).first()
     x, y = np.log([1, 2, 3, 4]), np.log([8, 4, 2, 1])
     slope, cut = np.polyfit(x, y, 1)
-    q = np.array([8, 7]) / 15
+    u = 3 / 15  # c belongs to another language, d to none
     assert r.slope == pytest.approx(slope) and r.residual == pytest.approx(np.sqrt(((y - slope * x - cut) ** 2).mean()))
-    assert r.divergence == pytest.approx((q * np.log(q / np.array([0.5, 0.5]))).sum())
+    assert r.divergence == pytest.approx(u * np.log(u / 0.01) + (1 - u) * np.log((1 - u) / 0.99))
+    assert stuffing.curves(rows.withColumn("lang", F.lit("?")), model).first().divergence == pytest.approx(np.log(1 / 15 / 0.01) / 15 + 14 / 15 * np.log(14 / 15 / 0.99))
