@@ -58,13 +58,15 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return _PATHS[-1]
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes the tables that this process has written to the shared folder; results that still read them are then void."""
+def drop_tables(spark: SparkSession, of: DataFrame | None = None) -> None:
+    """Deletes the tables that this process has written to the shared folder, or only the one that `of` reads; results that still read them are then void."""
     jvm = spark.sparkContext._jvm
-    for p in _PATHS:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _PATHS.clear()
+    files = None if of is None else of.inputFiles()
+    for p in list(_PATHS):
+        if files is None or any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files):
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _PATHS.remove(p)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -72,8 +74,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def within(df: DataFrame, most: int) -> bool:
-    """Whether `df` has at most `most` rows; reads no more than `most` + 1 of them."""
-    return df.limit(most + 1).count() <= most
