@@ -1,11 +1,11 @@
 """Live credentials in source code and configuration: found by a trained classifier, and redacted.
 
-Each line's literal values are candidates, with the identifier that names them. Patterns label a part of the
-candidates weakly. Character Markov chains of both classes are counted over all weakly labelled candidates,
+Each line's literal values are candidates, with the identifier that names them. Patterns that are sure label a
+part of the candidates weakly; their word lists are no features. Character Markov chains of both classes are counted over all weakly labelled candidates,
 a logistic regression over the chains' likelihood ratio, the surrounding identifiers, the form of the value
 and the path is fitted on a bounded sample of them, calibrated on rows it hasn't seen, and scores every
 candidate. Values with a calibrated score of at least CUT are credentials, unless an exact check shows that
-they are masked, a placeholder or a reference.
+they are masked, a placeholder, a reference, a checksum or an address without a login.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.session import written
+from siftline.session import drop_tables, written
 
 CUT = 0.5
 #: At most so many weakly labelled rows of each stratum (label and reason) are used to fit and calibrate.
@@ -88,7 +88,7 @@ def words_of(key: str) -> list[str]:
 
 def _key(prefix: str, before: str) -> str:
     """The identifier that names the value after `prefix`; `before` is the name given on the line above."""
-    for m in reversed(_IDENT.findall(prefix[-120:])):
+    for m in reversed(_IDENT.findall(prefix)):
         if m not in _SKIP:
             return m
     return before
@@ -168,7 +168,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
             if end >= 0 and not 0 <= begin < end:
                 tail = line.find("-----", end + 8)
                 pos = tail + 5 if tail >= 0 else len(line)
-                out.append((no, here + m.start(), here + pos, key, line[m.start() : pos][:120], "block"))
+                out.append((no, here + m.start(), here + pos, key, line[m.start() : pos], "block"))
                 if not _material(line[m.end() : end]):  # the two ends may be two literals: what is between is searched
                     line, whole = line[: m.start()] + " " * (m.end() - m.start()) + line[m.end() : end] + " " * (pos - end) + line[pos:], False
                     continue
@@ -176,11 +176,11 @@ def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
                 until, after, odd = _block_end(lines, no - 1, m[1] and " " + m[1]) if begin < 0 else (no - 1, -1, set())
                 if after < 0:  # a header without a block
                     pos = _INLINE.match(line, m.end()).end()
-                    out.append((no, here + m.start(), here + pos, key, line[m.start() : pos][:120], "block"))
+                    out.append((no, here + m.start(), here + pos, key, line[m.start() : pos], "block"))
                 else:
                     pos = len(line)
-                    rest = [x.strip()[:80] for x in lines[no : until + 1]]
-                    out.append((no, here + m.start(), starts[until] + after, key, "\n".join([line[m.start() : m.start() + 120], *rest]), "block"))
+                    rest = [x.strip() for x in lines[no : until + 1]]
+                    out.append((no, here + m.start(), starts[until] + after, key, "\n".join([line[m.start() :], *rest]), "block"))
             line, whole = line[: m.start()] + " " * (pos - m.start()) + line[pos:], False
         if starts and "-----END" in line:  # an end without a block
             line, whole = _END.sub(lambda m: " " * len(m[0]), line), False
@@ -248,30 +248,43 @@ def excluded(value: str) -> str:
     return "reference" if REFERENCE.search(value) else ""
 
 
+#: What only a number, a checksum, an id or an address without a login looks like.
+_NUMERIC, _HASH = re.compile(r"[0-9:.,/ x-]+"), re.compile(r"[0-9A-Fa-f]{16,}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_ADDRESS, _ALPHA = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s@]*"), re.compile(r"[A-Za-z_ -]+|[0-9.]+")
+
+
 def weak_label(key: str, value: str, kind: str, words: list[str] | None = None) -> str:
-    """A stratum '+reason' or '-reason' from patterns; '' where they don't tell. `words` are those of the key, if known."""
+    """A stratum '+reason' or '-reason' where patterns are sure; '' where they aren't. `words` are those of the key, if known.
+
+    A name that speaks of a secret is sure only with a value of ten characters or more that has a digit and no blank, one
+    that speaks about a secret only with plain words or numbers. The rest is left to the classifier.
+    """
     words = words_of(key) if words is None else words
     if kind == "block":
         return "-masked" if MASK.search(value) else "+block" if "PRIVATE" in value[:60] else "-block"
     if why := excluded(value):
         return "-" + why
-    about = [w for w in words if w in ABOUT_WORDS]
-    secret = [w for w in words if w in SECRET_WORDS]
     if len(value) > 18 and (t := TOKEN.search(value)) and len(t[0]) > 0.6 * len(value):
         return "+token"
     if kind in ("userinfo", "dsn", "sql", "login", "flag", "stdin"):
         return "+" + kind
+    about, secret = not ABOUT_WORDS.isdisjoint(words), not SECRET_WORDS.isdisjoint(words)
+    strong = len(value) >= 10 and re.search(r"[0-9]", value) and not re.search(r"[(){}\[\]\s]|://", value)
     if kind == "header":
-        return "+header" if secret and (not about or words[-1] == "header") and re.search(r"[0-9A-Z]", value) else ""
-    if about:
-        return "-about"
+        return "+header" if secret and strong else ""
+    if _ADDRESS.fullmatch(value):
+        return "-url"
+    if (about or not secret) and _HASH.fullmatch(value):
+        return "-hash"
     if PATHLIKE.match(value) or value.startswith(("data:", "sha256:", "sha512-")):
         return "-path"
-    if secret and words[-1] in SECRET_WORDS and not re.search(r"[(){}\[\]]|://", value):
-        return "" if value.isdigit() or " " in value and kind != "quoted" else "+named"
-    if not secret and re.fullmatch(r"[A-Za-z_]+[0-9]{0,2}|v?[0-9][0-9.]*(?:-(?:alpha|beta|rc)[0-9.]*)?", value):
+    if about:
+        return "-about" if _ALPHA.fullmatch(value) else ""
+    if secret:
+        return "+named" if words[-1] in SECRET_WORDS and strong else ""
+    if _NUMERIC.fullmatch(value) or re.fullmatch(r"[A-Za-z_]+[0-9]{0,2}|v?[0-9][0-9.]*(?:-(?:alpha|beta|rc)[0-9.]*)?", value):
         return "-plain"
-    return "-code" if not secret and re.search(r"[(){}]|\s", value) else ""
+    return "-code" if re.search(r"[(){}]|\s", value) else ""
 
 
 def _codes(text: str) -> np.ndarray:
@@ -298,7 +311,6 @@ def _ratio(value: str, table: np.ndarray) -> float:
     return float(table[c[:-1] * 96 + c[1:]].mean()) if len(c) > 1 else 0.0
 
 
-_AT = 13  # the place of the first of the three reasons against a value
 _KINDS = ("quoted", "bare", "pair", "element", "token", "block", "userinfo", "dsn", "sql", "login", "flag", "stdin", "header")
 
 
@@ -307,15 +319,12 @@ def _form(value: str, kind: str, why: str | None = None) -> list[float]:
     n = len(value)
     digits, upper, lower = sum(map(str.isdigit, value)), sum(map(str.isupper, value)), sum(map(str.islower, value))
     hexa = bool(HEX.match(value))
-    t = TOKEN.search(value) if n > 18 else None
     why = excluded(value) if why is None else why
     return [
         *(float(kind == k) for k in _KINDS),
         float(why == "masked"), float(why == "placeholder"), float(why == "reference"),
-        float(bool(t) and len(t[0]) > 0.6 * n), float(hexa and n >= 32), float(hexa and n == 40), float(bool(UUID.match(value))),
-        float(value.isdigit()), float(bool(PATHLIKE.match(value))), float(value.startswith(("data:", "sha256:", "sha512-"))), float("://" in value),
-        float(" " in value), float(bool(re.search(r"[(){}\[\]]", value))), float(value.isalpha()), float(bool(re.fullmatch(r"[A-Za-z_]+[0-9]{0,2}", value))),
-        float("PRIVATE KEY" in value[:60]), float("PUBLIC" in value[:60]),
+        float(hexa and n >= 32), float(hexa and n == 40), float(bool(UUID.match(value))), float(value.isdigit()), float("/" in value), float("://" in value),
+        float(" " in value), float(bool(re.search(r"[(){}\[\]]", value))), float(value.isalpha()), float("PRIVATE KEY" in value[:60]), float("PUBLIC" in value[:60]),
         min(n, 64) / 64, digits / max(n, 1), upper / max(n, 1), lower / max(n, 1), min(len(set(value)), 32) / 32,
     ]
 
@@ -331,13 +340,8 @@ class Model:
         """The features of the value and of the name as a whole; the parts of the names."""
         rows, parts = [], []
         for k, v, d in zip(key, value, kind, strict=True):
-            words = words_of(k)
-            v = v[:4096]
-            form = _form(v, d, why)
-            secret, about = not SECRET_WORDS.isdisjoint(words), not ABOUT_WORDS.isdisjoint(words)
-            clean = not (form[_AT] or form[_AT + 1] or form[_AT + 2])
-            form += [_ratio(v, self.table), float(secret and not about and clean), float(about and clean), float(secret and not about), float(about), float(not secret and not about)]
-            rows.append(form)
+            words, ratio = words_of(k), _ratio(v, self.table)
+            rows.append([*_form(v, d, why), ratio, ratio * min(len(v), 40) / 40, float(not words), float(bool(words) and words[-1] in self.words)])
             parts.append(words)
         return np.array(rows, float), parts
 
@@ -394,7 +398,7 @@ def _newton(z: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> np.ndarr
 
 
 #: The weak labels that are exact: nothing with one of them is a credential.
-RULED_OUT = ("-masked", "-placeholder", "-reference", "-block", "-plain")
+RULED_OUT = ("-masked", "-placeholder", "-reference", "-block", "-plain", "-url", "-hash", "-about")
 _CANDIDATES = "tbl string, row_key bigint, path string, line_no int, start int, end int, key string, value string, kind string, stratum string"
 
 
@@ -410,7 +414,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         rows = [
-            (t, r, p, *c[:3], c[3][:200], c[4], c[5], weak_label(c[3], c[4], c[5], of(c[3])))
+            (t, r, p, *c[:3], c[3], c[4], c[5], weak_label(c[3], c[4], c[5], of(c[3])))
             for t, r, p, text in zip(b["tbl"], b["row_key"], b["path"], b["text"], strict=True)
             for c in candidates(text)
         ]
@@ -475,8 +479,9 @@ def train(cands: DataFrame, per_stratum: int = SAMPLE_PER_STRATUM) -> Model:
 def scored(cands: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """(tbl, row_key, line_no, start, end, kind, score) of the candidates that are credentials.
 
-    What the exact check rules out (masked, placeholder, reference, a public key, a plain word or number under
-    a name that speaks of no secret) isn't scored.
+    What the exact check rules out isn't scored: what is masked, a placeholder, a reference, a public key, an
+    address without a login, a plain word or number under a name that speaks about a secret, and under one that
+    speaks of none also a checksum or an id.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -490,9 +495,14 @@ def scored(cands: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
 
 def credentials(findings: DataFrame, source_files: DataFrame) -> DataFrame:
-    """scored() over both tables, with a classifier trained on them. Empty tables give no rows."""
+    """scored() over both tables, with a classifier trained on them; written. Empty tables give no rows.
+
+    The candidates, which hold the values in clear, are deleted from the shared folder once they are scored.
+    """
     cands = extracted(texts(findings, source_files))
-    return scored(cands, train(cands))
+    found = written(scored(cands, train(cands)), "credentials")
+    drop_tables(cands.sparkSession, cands)
+    return found
 
 
 def credential_lines(findings: DataFrame, source_files: DataFrame) -> DataFrame:

@@ -55,11 +55,13 @@ def _prefix(n: Column) -> Column:
     return n - F.ceil(n * SHARE[0] / F.lit(SHARE[1])).cast("int") + 1
 
 
-def cells_of(rows: DataFrame, order: DataFrame) -> DataFrame:
+def cells_of(rows: DataFrame, order: DataFrame | None) -> DataFrame:
     """`rows` once for each cell they lie in, with the column cell: 0 in a small block, else a run.
 
-    `order` has (block, run, rows) for the large blocks; a run that isn't there is the rarest.
+    `order` has (block, run, rows) for the large blocks, None if there is none; a run that isn't there is the rarest.
     """
+    if order is None:
+        return rows.select("block", F.lit(0).cast("bigint").alias("cell"), "n", "vec", "source", "batch", "key")
     large = order.select("block").distinct()
     in_small = rows.join(large, "block", "left_anti").withColumn("cell", F.lit(0).cast("bigint"))
     big = rows.join(large, "block", "left_semi").withColumn("row", F.struct("vec", "source", "batch", "key"))
@@ -92,10 +94,13 @@ class CellIndex:
         """The cells in the given buckets; other folders aren't read."""
         return self.spark.read.schema(_CELLS).parquet(f"{self.path}/cells").where(F.col("bucket").isin(buckets))
 
-    def order(self, rows: DataFrame) -> DataFrame:
-        """The order of runs in those buckets that hold the blocks of `rows`."""
+    def order(self, rows: DataFrame) -> DataFrame | None:
+        """The order of runs in those buckets that hold the blocks of `rows`; None while no block is large."""
+        every = self.spark.read.schema(_ORDER).parquet(f"{self.path}/order")
+        if not every.inputFiles():
+            return None
         at = [r["b"] for r in rows.select(self._bucket("block").alias("b")).distinct().collect()]  # no more than there are buckets
-        return self.spark.read.schema(_ORDER).parquet(f"{self.path}/order").where(F.col("bucket").isin(at)).drop("bucket")
+        return every.where(F.col("bucket").isin(at)).drop("bucket")
 
     def _bucket(self, *of: str) -> Column:
         return F.pmod(F.xxhash64(*of), F.lit(self.form[0])).cast("int")
@@ -105,55 +110,70 @@ class CellIndex:
         placed = rows.withColumn("bucket", self._bucket(*of)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *of)
         placed.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{kind}")
 
-    def asked(self, rows: DataFrame, order: DataFrame | None = None) -> DataFrame:
-        """`rows` (of entries()) once for each cell in which something near them may lie, with its bucket; written."""
-        return written(cells_of(rows, self.order(rows) if order is None else order).withColumn("bucket", self._bucket("block", "cell")), "asked")
+    def _placed(self, rows: DataFrame, order: DataFrame | None) -> DataFrame:
+        return cells_of(rows, order).withColumn("bucket", self._bucket("block", "cell"))
 
-    def probe(self, rows: DataFrame, order: DataFrame | None = None) -> DataFrame:
-        """(accepted_key, key, source) for each of `rows` and each source that holds a near one: the smallest such key.
+    def ask(self, rows: DataFrame) -> Ask:
+        """`rows` (of entries()) once for each cell in which something near them may lie, and the buckets of these cells."""
+        order = self.order(rows)
+        cells = self._placed(rows, order) if order is None else written(self._placed(rows, order), "asked")
+        size = cells.agg(F.collect_set("bucket").alias("buckets"), F.coalesce(F.sum(8 * F.col("n") + 100), F.lit(0)).alias("bytes")).first()
+        return Ask(rows, order, cells, size["buckets"], size["bytes"])
+
+    def probe(self, ask: Ask) -> DataFrame:
+        """(accepted_key, key, source) for each row asked and each source that holds a near one: the smallest such key.
 
         An accepted row counts if it has no batch or a lower one than the probing row. Only the buckets of the
-        cells that `rows` ask are read.
+        cells that are asked are read.
         """
-        asked = self.asked(rows, order)
-        size = asked.agg(F.collect_set("bucket").alias("buckets"), F.coalesce(F.sum(8 * F.col("n") + 100), F.lit(0)).alias("bytes")).first()
-        q = asked.select("block", "cell", "bucket", F.col("n").alias("q_n"), F.col("vec").alias("q_vec"), F.col("batch").alias("q_batch"), F.col("key").alias("q_key"))
-        q = F.broadcast(q) if size["bytes"] <= BROADCAST_BYTES else q
+        q = ask.cells.select("block", "cell", "bucket", F.col("n").alias("q_n"), F.col("vec").alias("q_vec"), F.col("batch").alias("q_batch"), F.col("key").alias("q_key"))
         num, den = SHARE
         near = (
-            self.cells(size["buckets"]).join(q, ["bucket", "block", "cell"])
+            self.cells(ask.buckets).join(ask.sent(q), ["bucket", "block", "cell"])
             .where(F.col("batch").isNull() | (F.col("batch") < F.col("q_batch")))
             .where((F.col("n") * den >= F.col("q_n") * num) & (F.col("q_n") * den >= F.col("n") * num))
             .where(F.size(F.array_intersect("q_vec", "vec")) * den >= F.greatest("n", "q_n") * num)
         )
         return near.groupBy("q_key", "source").agg(F.min("key").alias("accepted_key")).select("accepted_key", F.col("q_key").alias("key"), "source")
 
-    def append(self, rows: DataFrame, order: DataFrame | None = None) -> CellIndex:
-        """The accepted `rows` (of entries()) added to the cells; what lies in them stays as it is.
+    def append(self, ask: Ask) -> CellIndex:
+        """The rows asked added to the cells, as accepted; what lies in them stays as it is.
 
-        A block that gets more than cell_vectors rows in its one cell is split: its rows are added to cells by
-        run and its order is written. The cell it had is then asked by nothing any more.
+        A block that gets more than cell_vectors vectors in its one cell is split: its rows are added to cells
+        by run and its order is written. The cell it had is then asked by nothing any more.
         """
-        new = written(classes(rows), "classes")
-        order = self.order(new) if order is None else order
-        add = cells_of(new, order)
-        fresh = new.join(order.select("block").distinct(), "block", "left_anti").groupBy("block").agg(F.count(F.lit(1)).alias("more"))
-        fresh = written(fresh.withColumn("bucket", self._bucket("block", F.lit(0).cast("bigint"))), "fresh")
-        at = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # no more than there are buckets
-        held = self.cells(at).where("cell = 0").select("bucket", "block").join(fresh.drop("more"), ["bucket", "block"], "left_semi").groupBy("block").agg(F.count(F.lit(1)).alias("held"))
-        grown = written(fresh.join(held, "block", "left").where(F.col("more") + F.coalesce("held", F.lit(0)) > self.form[1]).select("bucket", "block"), "grown")
+        add, order = classes(ask.rows), ask.order
+        small = ask.rows if order is None else ask.rows.join(order.select("block").distinct(), "block", "left_anti")
+        fresh = small.groupBy("block").agg(F.count_distinct(F.xxhash64("vec")).alias("more")).withColumn("bucket", self._bucket("block", F.lit(0).cast("bigint")))
+        old = self.cells(ask.buckets).where("cell = 0")
+        held = old.select("bucket", "block").join(ask.sent(fresh), ["bucket", "block"]).groupBy("block").agg(F.count(F.lit(1)).alias("held"))
+        grown = fresh.join(held, "block", "left").where(F.col("more") + F.coalesce("held", F.lit(0)) > self.form[1]).select("bucket", "block")
         if not grown.isEmpty():
-            at = [r["bucket"] for r in grown.select("bucket").distinct().collect()]
-            old = self.cells(at).where("cell = 0").join(grown, ["bucket", "block"], "left_semi").select("block", "n", "vec", "source", "batch", "key")
-            split = written(old.unionByName(new.join(grown, "block", "left_semi")), "split")
+            grown = written(grown, "grown")
+            split = written(old.join(grown, ["bucket", "block"], "left_semi").select(add.columns).unionByName(add.join(grown, "block", "left_semi")), "split")
             ranks = written(frequencies(split), "ranks")
             self._add("cells", cells_of(split, ranks), "block", "cell")
             self._add("order", ranks, "block")
             add = add.join(grown, "block", "left_anti")
-        self._add("cells", add, "block", "cell")
+        self._add("cells", cells_of(add, order), "block", "cell")
         return self
 
 
+@dataclass(frozen=True)
+class Ask:
+    """Rows, the order of their large blocks, the cells they ask, with the buckets and the bytes of these."""
+
+    rows: DataFrame
+    order: DataFrame | None
+    cells: DataFrame
+    buckets: list[int]
+    bytes: int
+
+    def sent(self, df: DataFrame) -> DataFrame:
+        """`df`, no larger than the cells asked, to be broadcast if these are small."""
+        return F.broadcast(df) if self.bytes <= BROADCAST_BYTES else df
+
+
 def classes(rows: DataFrame) -> DataFrame:
     """One row for each distinct vector of a block, source and batch, with the smallest key."""
     return rows.groupBy("block", "n", "vec", "source", "batch").agg(F.min("key").alias("key")).select("block", "n", "vec", "source", "batch", "key")
@@ -174,7 +194,7 @@ def build_index(rows: DataFrame, path: str | None = None, cell_vectors: int = CE
     large = distinct.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > cell_vectors).select("block")
     ranks = written(frequencies(distinct.join(large, "block", "left_semi")), "ranks")
     index._add("order", ranks, "block")
-    index._add("cells", cells_of(distinct, ranks), "block", "cell")
+    index._add("cells", cells_of(distinct, None if ranks.isEmpty() else ranks), "block", "cell")
     return index
 
 
@@ -225,9 +245,9 @@ def repeats(findings: DataFrame, incoming: DataFrame, suppressions: DataFrame, i
     numbers = [r["of"] for r in asked.select("of").distinct().collect()]  # one for each batch
     for b in sorted(numbers, key=lambda b: (b is not None, b)):
         batch = asked.where(F.col("of").eqNullSafe(b)).drop("of")
-        order = index.order(batch)
-        index.probe(batch, order).select("accepted_key", F.col("key").alias("inc_key"), F.col("source").alias("accepted_in")).write.mode("append").parquet(hits)
+        ask = index.ask(batch)
+        index.probe(ask).select("accepted_key", F.col("key").alias("inc_key"), F.col("source").alias("accepted_in")).write.mode("append").parquet(hits)
         if b is not None:
-            index.append(batch, order)
+            index.append(ask)
     found = incoming.sparkSession.read.schema(_HITS).parquet(hits) if numbers else incoming.sparkSession.createDataFrame([], _HITS)
     return found.unionByName(suppressed(incoming, suppressions).withColumn("accepted_in", F.lit("suppressions")))

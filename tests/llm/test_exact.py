@@ -154,14 +154,14 @@ def test_batches_against_history(spark, cell_vectors):
     i = spark.createDataFrame(incoming, IN).withColumns({"n": F.lit(1), "key": F.lit(2), "batch": F.lit(3)})
     asked = incremental.entries(i, "inc_key", "incoming_findings", "batch_no")
     index = incremental.build_index(incremental.entries(f, "finding_key", "findings").unionAll(asked), cell_vectors=cell_vectors)
-    whole = {(x.key, x.source): x.accepted_key for x in index.probe(asked).collect()}
+    whole = {(x.key, x.source): x.accepted_key for x in index.probe(index.ask(asked)).collect()}
     assert whole == brute(found, incoming)
     # the same batch after batch: probe, then append
     index = incremental.build_index(incremental.entries(f, "finding_key", "findings"), cell_vectors=cell_vectors, bucket_rows=20)
     got = incremental.repeats(f, i, spark.createDataFrame([], SUP), index)
     assert {(x.inc_key, x.accepted_in): x.accepted_key for x in got.collect()} == whole
     again = incremental.open_index(spark, index.path)  # what another session finds
-    assert {(x.key, x.source): x.accepted_key for x in again.probe(asked).collect()} == whole
+    assert {(x.key, x.source): x.accepted_key for x in again.probe(again.ask(asked)).collect()} == whole
 
 
 def test_a_block_that_outgrows_its_cell_is_split(spark):
@@ -190,7 +190,7 @@ def test_a_batch_reads_its_own_buckets_only(spark):
     read = []
     for n in (4_000, 16_000):
         index = incremental.build_index(incremental.entries(history(n), "finding_key", "findings"), bucket_rows=500)
-        at = [r.bucket for r in index.asked(asked).select("bucket").distinct().collect()]
+        at = index.ask(asked).buckets
         scan = index.cells(at)._jdf.queryExecution().executedPlan().toString()
         assert index.form[0] == n // 500 and len(at) <= 2 and "PartitionFilters: [bucket" in scan
         read.append(sum(Path(x.f.removeprefix("file://")).stat().st_size for x in index.cells(at).select(F.input_file_name().alias("f")).distinct().collect()))
