@@ -1,9 +1,10 @@
-"""Helpers for JSON documents of varying form, on the VARIANT type."""
+"""Helpers for JSON documents of varying form: texts made plain, and the VARIANT type."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,31 +12,77 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def _plain(x: object) -> object:
-    """Keys in lower case; of keys that then coincide, the last one's value counts."""
-    if isinstance(x, dict):
-        return {str(k).lower(): _plain(v) for k, v in x.items()}
-    return [_plain(v) for v in x] if isinstance(x, list) else x
-
-
 def _refuse(x: str) -> None:
     raise ValueError(x)
 
 
-def plain_json_text(payload: str | None, unwrap: bool = True) -> str | None:
-    """The document again with keys in lower case and each number as a string of its own text; null if it isn't valid JSON.
-
-    `unwrap`: a document that is one string is parsed once more.
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]')
+#: Levels that are kept of a document; parsers have a bound of about a thousand.
+LEVELS = 500
+
+
+def shallow(text: str, levels: int = LEVELS) -> str:
+    """`text` with null for every list or object below `levels` levels; ValueError if it isn't valid JSON, however deep."""
+    if text.count("[") + text.count("{") <= levels:
+        return text
+    top, queue = None, [text]
+    while queue:
+        part = queue.pop()
+        out, stack, at = [], [], 0
+        for m in _MARK.finditer(part):
+            c = m[0]
+            if c in "[{":
+                stack.append(c)
+                if len(stack) == levels + 1:
+                    out.append(part[at : m.start()])
+                    at = m.start()
+            elif c in "]}":
+                if not stack or stack.pop() + c not in ("[]", "{}"):
+                    raise ValueError("brackets")
+                if len(stack) == levels:
+                    queue.append(part[at : m.end()])
+                    out.append("null")
+                    at = m.end()
+        kept = "".join([*out, part[at:]])
+        if top is None:
+            top = kept
+        else:
+            json.loads(kept)  # what is left out has to be valid, too
+    return top
+
+
+def read_document(payload: str | None, shape: Callable[[dict], bool] | None = None, unwrap: bool = True) -> tuple[str | None, bool]:
+    """(text, regular): the document again with keys in lower case and each number as a string of its own text.
+
+    text is null if it isn't valid JSON. Of keys that coincide, the last one's value counts. `unwrap`: a
+    document that is one string is read once more. `shape` is called with every object and may change it; if it
+    is true for all, and the document is an object or a list of objects, that is regular, else nothing is changed.
     """
     if payload is None:
-        return None
+        return None, False
+    regular = shape is not None
+
+    def lower(pairs: list[tuple[str, object]]) -> dict:
+        nonlocal regular
+        x = {k.lower(): v for k, v in pairs}
+        regular = regular and shape(x)
+        return x
+
+    read = lambda text: json.loads(shallow(text), object_pairs_hook=lower, parse_float=str, parse_int=str, parse_constant=_refuse)
     try:
-        x = json.loads(payload, parse_float=str, parse_int=str, parse_constant=_refuse)
+        x = read(payload)
         if unwrap and isinstance(x, str):
-            x = json.loads(x, parse_float=str, parse_int=str, parse_constant=_refuse)
-        return json.dumps(_plain(x))
-    except (ValueError, RecursionError):
-        return None
+            x = read(x)
+        if regular and (isinstance(x, dict) or isinstance(x, list) and all(isinstance(e, dict) for e in x)):
+            return json.dumps(x), True
+        return (json.dumps(x), False) if shape is None else read_document(payload, None, unwrap)
+    except ValueError:
+        return None, False
+
+
+def plain_json_text(payload: str | None, unwrap: bool = True) -> str | None:
+    """The text of read_document()."""
+    return read_document(payload, None, unwrap)[0]
 
 
 @F.pandas_udf(StringType())

@@ -5,16 +5,21 @@ states are written as text: a scalar is `null` or `text`, an object is `level(pa
 the level knows, a list is `[state, ...]` over its distinct states and an object in place of a list is its
 state alone. Rows are then routed by state to the tables of their type; all keep the keys of the common
 supertype (the positions on the way down), which are the links to the parent.
+
+A document in which every list is one of objects (or an object in its place) and every text is a scalar is
+read into typed records at once; any other is taken apart node by node. Both give the same records and states.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from siftline.functions.documents import as_array, as_object, member, plain_json, text_of
+from siftline.functions.documents import as_array, as_object, member, read_document, text_of
 from siftline.functions.text import let
 
 #: The bounds an event may give. Fixed values.
@@ -96,6 +101,95 @@ def _vulnerability(v: Column) -> Column:
     return _parent(v, "affected", _affected, typed)
 
 
+# The parts of a document that are lists of objects, lists of texts, and texts.
+_LISTS, _TEXT_LISTS, _TEXTS = ("vulns", "affected", "ranges", "events"), ("aliases", "versions"), ("id", "summary", "name", "ecosystem", "type", *BOUNDS)
+_EVENT = "introduced: string, fixed: string, last_affected: string"
+_RANGE = f"type: string, eventsForm: string, events: array<struct<{_EVENT}>>"
+_TYPED = f"id: string, summary: string, aliases: array<string>, affectedForm: string, affected: array<struct<package: struct<name: string, ecosystem: string>, versions: array<string>, rangesForm: string, ranges: array<struct<{_RANGE}>>>>"
+
+
+def shaped(x: dict) -> bool:
+    """Whether the parts of an object, whose keys are in lower case, can be read as typed records.
+
+    An object in place of a list becomes a list of it, which is noted under a key that no other can be equal to.
+    """
+    for k, v in tuple(x.items()):
+        if v is None or type(v) is str:
+            if k in _LISTS or k in _TEXT_LISTS or k == "package":
+                if v is not None:
+                    return False
+        elif k in _LISTS:
+            if type(v) is dict:
+                x[k], x[f"{k}Form"] = [v], "object"
+            elif type(v) is not list or not all(e is None or type(e) is dict for e in v):
+                return False
+        elif k in _TEXT_LISTS:
+            if type(v) is not list or any(isinstance(e, list | dict) for e in v):
+                return False
+        elif k == "package":
+            if type(v) is not dict:
+                return False
+        elif k in _TEXTS and isinstance(v, list | dict):
+            return False
+    return True
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("regular", BooleanType())]))
+def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([read_document(p if isinstance(p, str) else None, shaped) for p in b], columns=["text", "regular"])
+
+
+def _typed_list(form: Column, items: Column, typed: Callable[[Column], Column], then: Callable[[Column, Column], Column]) -> Column:
+    """`then(state, elements)` of a list of records, typed."""
+    how = F.when(items.isNotNull(), F.coalesce(form, F.lit("array")))
+    return let(F.transform(items, typed), lambda c: then(_list_state(how, F.transform(c, lambda e: e["state"])), c))
+
+
+def _records(items: Column) -> Column:
+    """The same as _vulnerability() over an array of typed records."""
+    named = lambda x, level, *parts: F.when(x.isNull(), "null").otherwise(F.concat(F.lit(level + "("), F.concat_ws(",", *parts), F.lit(")")))
+
+    def event(e: Column) -> Column:
+        return F.struct(named(e, "event", *(F.when(e[b] != "", F.lit(b)) for b in BOUNDS)).alias("state"), *(e[b].alias(b) for b in BOUNDS))
+
+    def range_(r: Column) -> Column:
+        def done(state: Column, events: Column) -> Column:
+            return F.struct(named(r, "range", F.when(r["type"].isNotNull(), F.lit("type")), F.concat(F.lit("events="), state)).alias("state"), r["type"].alias("range_type"), _or_empty(events, _EVENTS).alias("events"))
+
+        return _typed_list(r["eventsForm"], r["events"], event, done)
+
+    def affected(a: Column) -> Column:
+        def done(state: Column, ranges: Column) -> Column:
+            p = a["package"]
+            return F.struct(
+                named(a, "affected", F.when(p.isNotNull(), F.lit("package")), F.concat(F.lit("ranges="), state)).alias("state"),
+                p["name"].alias("package"), p["ecosystem"].alias("ecosystem"), _or_empty(a["versions"], "array<string>").alias("versions"), _or_empty(ranges, _RANGED).alias("ranges"),
+            )
+
+        return _typed_list(a["rangesForm"], a["ranges"], range_, done)
+
+    def vulnerability(v: Column) -> Column:
+        def done(state: Column, parts: Column) -> Column:
+            return F.struct(
+                named(v, "vuln", F.when(v["id"].isNotNull(), F.lit("id")), F.concat(F.lit("affected="), state)).alias("state"),
+                v["id"].alias("vuln_id"), v["summary"].alias("summary"), _or_empty(v["aliases"], "array<string>").alias("aliases"), _or_empty(parts, _AFFECTED).alias("affected"),
+            )
+
+        return _typed_list(v["affectedForm"], v["affected"], affected, done)
+
+    return F.transform(items, vulnerability)
+
+
+_EVENTS = "array<struct<state: string, introduced: string, fixed: string, last_affected: string>>"
+_RANGED = f"array<struct<state: string, range_type: string, events: {_EVENTS}>>"
+_AFFECTED = f"array<struct<state: string, package: string, ecosystem: string, versions: array<string>, ranges: {_RANGED}>>"
+
+
+def _or_empty(items: Column, kind: str) -> Column:
+    return F.coalesce(items, F.array().cast(kind))
+
+
 def classified(raw: DataFrame) -> DataFrame:
     """(raw_id, envelope, vulns): each payload's vulnerabilities as typed nested records with their states.
 
@@ -103,24 +197,32 @@ def classified(raw: DataFrame) -> DataFrame:
     number counts as its text, a payload that is a JSON string of a payload is opened once. Null raw_ids stay
     as they are; other columns of `raw` don't matter.
     """
-    v = raw.select("raw_id", F.try_parse_json(plain_json("payload")).alias("v"))
-    v = v.select("raw_id", _listing(member(F.col("v"), "vulns")).alias("w"), _listing(F.col("v")).alias("l"))
-    wrapped = F.col("w.form").isNotNull()
-    envelope = F.when(wrapped, "vulns").when(F.col("l.form") == "object", "one").when(F.col("l.form") == "array", "list").otherwise("none")
-    v = v.select("raw_id", envelope.alias("envelope"), F.when(wrapped, F.col("w.items")).otherwise(F.col("l.items")).alias("items"))
-    return v.select("raw_id", "envelope", F.transform("items", _vulnerability).alias("vulns"))
-
-
-def flat_tables(raw: DataFrame) -> dict[str, DataFrame]:
-    """The tables of each level, and of each variant of events.
+    d = raw.select("raw_id", _read("payload").alias("d")).select("raw_id", "d.text", "d.regular")
+    is_list = F.startswith("text", F.lit("["))
+    root = F.from_json("text", f"array<struct<vulns: array<struct<{_TYPED}>>, {_TYPED}>>")
+    d = d.select("raw_id", "text", "regular", F.when(F.col("regular"), F.when(is_list, F.lit("list")).when(F.get(root, 0)["vulns"].isNotNull(), "vulns").otherwise("one")).alias("form"), F.when(F.col("regular"), root).alias("root"), F.when(~F.col("regular"), F.try_parse_json("text")).alias("v"))
+    own = F.transform("root", lambda r: r.dropFields("vulns"))
+    fast = _records(F.when(F.col("form") == "vulns", F.get("root", 0)["vulns"]).otherwise(own))
+    w, l = _listing(member(F.col("v"), "vulns")), _listing(F.col("v"))
+    slow = let(w, lambda w: let(l, lambda l: F.struct(
+        F.when(w["form"].isNotNull(), "vulns").when(l["form"] == "object", "one").when(l["form"] == "array", "list").otherwise("none").alias("envelope"),
+        F.transform(F.when(w["form"].isNotNull(), w["items"]).otherwise(l["items"]), _vulnerability).alias("vulns"),
+    )))
+    both = d.select("raw_id", F.when(F.col("regular"), F.struct(F.col("form").alias("envelope"), fast.alias("vulns"))).otherwise(slow).alias("x"))
+    return both.select("raw_id", "x.envelope", "x.vulns")
+
+
+def flat_tables(raw: DataFrame, docs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of each level, and of each variant of events. `docs`: classified(raw), where it is at hand.
 
     vulnerabilities, affected, ranges and events hold every list element, null entries included, with its
     state and the keys of KEYS. events_introduced, events_fixed and events_last_affected are the subtypes of
     events by the bound they give, with version_text; events_other are those that give none. All narrow: a
     document is taken apart where it lies, without a shuffle.
     """
-    docs = classified(raw)
-    vulns = docs.select("raw_id", "envelope", F.posexplode("vulns").alias("vuln_pos", "x")).select("raw_id", "envelope", "vuln_pos", "x.*")
+    docs = classified(raw) if docs is None else docs
+    # outer, so that no filter on the list's size makes the plan build the list twice
+    vulns = docs.select("raw_id", "envelope", F.posexplode_outer("vulns").alias("vuln_pos", "x")).where("vuln_pos IS NOT NULL").select("raw_id", "envelope", "vuln_pos", "x.*")
     aff = vulns.select("raw_id", "vuln_pos", F.posexplode("affected").alias("affected_pos", "x")).select(*KEYS["affected"], "x.*")
     ranges = aff.select(*KEYS["affected"], F.posexplode("ranges").alias("range_pos", "x")).select(*KEYS["ranges"], "x.*")
     events = ranges.select(*KEYS["ranges"], F.posexplode("events").alias("event_pos", "x")).select(*KEYS["events"], "x.*")

@@ -35,7 +35,8 @@ def _level(name: str, *cols: str) -> Query:
 
 def p4_shapes(spark: SparkSession, folder: str) -> DataFrame:
     """How often each state of the automaton occurs on each level."""
-    t = nested.flat_tables(table(spark, folder, "advisory_raw"))
+    raw = table(spark, folder, "advisory_raw")
+    t = nested.flat_tables(raw, written(nested.classified(raw), "classified"))
     out = [t[level].groupBy("state").agg(F.count(F.lit(1)).alias("n")).select(F.lit(level).alias("level"), "state", "n") for level in nested.KEYS]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.documents import as_list, as_object, member, plain_json, text_of
-from siftline.operators.nested import flat_tables
+from siftline.operators.nested import classified, flat_tables
+from siftline.session import written
 
 MODES, FORMATS = ("full", "changed"), ("terminal", "json", "html", "sarif")
 
@@ -61,7 +62,7 @@ def suppressions_from_json(files: DataFrame, text: str = "content") -> DataFrame
 
 def advisory_records(raw: DataFrame) -> DataFrame:
     """(raw_id, vuln_pos, affected_pos, id, package, ecosystem, summary, aliases, fixed_versions, n_ranges): one record for each affected package of the documents."""
-    t = flat_tables(raw)
+    t = flat_tables(raw, written(classified(raw), "classified"))
     fixed = t["events_fixed"].groupBy("raw_id", "vuln_pos", "affected_pos").agg(F.array_sort(F.collect_set("version_text")).alias("fixed_versions"))
     n = t["ranges"].groupBy("raw_id", "vuln_pos", "affected_pos").agg(F.count(F.lit(1)).alias("n_ranges"))
     v = t["vulnerabilities"].select("raw_id", "vuln_pos", F.col("vuln_id").alias("id"), "summary", "aliases")

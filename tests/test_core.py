@@ -384,6 +384,21 @@ def test_nested_documents(spark):
     assert nested.version_bounds(raw.limit(0)).count() == 0
 
 
+def test_documents_of_odd_form_are_read_like_regular_ones(spark):
+    fix = {"ranges": [{"events": [{"fixed": "1"}]}]}
+    odd = [{"affected": "x"}, {"affected": [fix, 3, None]}, {"affected": [[fix]]}, {"id": {"a": 1}, "affected": fix}, {"aliases": "A", "affected": [fix]}, {"vulns": {"affected": fix}}, {"affected": [{"package": "p", **fix}], "rangesForm": "array"}]
+    rows = [(i, json.dumps(x)) for i, x in enumerate(odd)]
+    deep = "[" * 20_000 + "]" * 20_000
+    rows += [(10, json.dumps({"affected": [fix]})[:-1] + f', "database_specific": {deep}}}'), (11, json.dumps({"affected": [fix]})[:-1] + f', "database_specific": {deep[:-1]}}}'), (12, "[" * 700 + "1 2" + "]" * 700), (13, '{"a": ' * 700 + "1" + "}" * 700)]
+    raw = spark.createDataFrame(rows, "raw_id bigint, payload string")
+    got = {(r.raw_id, r.affected_pos) for r in nested.version_bounds(raw).collect()}
+    assert got == {(1, 0), (3, 0), (4, 0), (5, 0), (6, 0), (10, 0)}
+    form = {r.raw_id: (r.envelope, [v.state for v in r.vulns]) for r in nested.classified(raw).collect()}
+    assert form[0] == ("one", ["vuln(affected=null)"]) and form[2] == ("one", ["vuln(affected=[alien])"]) and form[5] == ("vulns", ["vuln(affected=affected(ranges=[range(events=[event(fixed)])]))"])
+    assert form[12][0] == "none" and form[11][0] == "none" and form[13] == ("one", ["vuln(affected=null)"])
+    assert form[1][1] == ["vuln(affected=[affected(ranges=[range(events=[event(fixed)])]),alien,null])"]
+
+
 def test_settings(tmp_path):
     p = tmp_path / "c.json"
     assert baseline.ScanSettings.load(str(p)) == baseline.ScanSettings()
