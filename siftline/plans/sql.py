@@ -45,6 +45,36 @@ P4_AFFECTED = _AFFECTED + f" SELECT raw_id, vuln_pos, affected_pos, {_text(_of('
 P4_RANGES = _RANGES + f" SELECT raw_id, vuln_pos, affected_pos, range_pos, {_text(_of('x', 'type'))} AS range_type FROM r"
 
 
+def _state(level: str, *parts: str) -> str:
+    """The state of the thing x from those of its parts."""
+    named = f"'{level}(' || concat_ws(',', {', '.join(parts)}) || ')'"
+    return f"CASE WHEN json_type(x) = 'OBJECT' THEN {named} WHEN x IS NULL OR json_type(x) = 'NULL' THEN 'null' ELSE 'alien' END"
+
+
+def _list(key: str) -> str:
+    """The state of the list under a key, from `inner`, the distinct states of its elements in order."""
+    of = f"json_type({_of('x', key)})"
+    return f"'{key}=' || CASE {of} WHEN 'OBJECT' THEN inner_ WHEN 'ARRAY' THEN '[' || coalesce(inner_, '') || ']' ELSE 'null' END"
+
+
+def _given(key: str, word: str) -> str:
+    return f"CASE WHEN {word} THEN '{key}' END"
+
+
+def _with_inner(rows: str, parts: str, keys: str) -> str:
+    return f"(SELECT * FROM {rows} LEFT JOIN (SELECT {keys}, string_agg(DISTINCT state, ',' ORDER BY state) AS inner_ FROM {parts} GROUP BY ALL) USING ({keys}))"
+
+
+_BOUND = [_given(b, f"{_text(_of('x', b))} <> ''") for b in ("introduced", "fixed", "last_affected")]
+_K = ["raw_id, vuln_pos", "raw_id, vuln_pos, affected_pos", "raw_id, vuln_pos, affected_pos, range_pos"]
+P4_SHAPES = _RANGES + f""", es AS (SELECT {_K[2]}, {_state("event", *_BOUND)} AS state FROM (SELECT {_K[2]}, t.x AS x FROM (SELECT {_K[2]}, {_of("x", "events")} AS j FROM r) w, LATERAL {_items("w.j")} t)),
+rs AS (SELECT {_K[1]}, {_state("range", _given("type", f"{_text(_of('x', 'type'))} IS NOT NULL"), _list("events"))} AS state FROM {_with_inner("r", "es", _K[2])}),
+afs AS (SELECT {_K[0]}, {_state("affected", _given("package", f"json_type({_of('x', 'package')}) = 'OBJECT'"), _list("ranges"))} AS state FROM {_with_inner("a", "rs", _K[1])}),
+vs AS (SELECT {_state("vuln", _given("id", f"{_text(_of('x', 'id'))} IS NOT NULL"), _list("affected"))} AS state FROM {_with_inner("v", "afs", _K[0])})
+SELECT level, state, count(*) AS n FROM (SELECT 'vulnerabilities' AS level, state FROM vs UNION ALL SELECT 'affected', state FROM afs UNION ALL SELECT 'ranges', state FROM rs UNION ALL SELECT 'events', state FROM es) GROUP BY ALL
+"""
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -301,7 +331,7 @@ def statements() -> dict[str, str]:
     from siftline.plans import sql_code, sql_files
 
     return sql_files.statements() | sql_code.statements() | {
-        "p4_found": P4_FOUND, "p4_vulnerabilities": P4_VULNERABILITIES, "p4_affected": P4_AFFECTED, "p4_ranges": P4_RANGES,
+        "p4_found": P4_FOUND, "p4_vulnerabilities": P4_VULNERABILITIES, "p4_affected": P4_AFFECTED, "p4_ranges": P4_RANGES, "p4_shapes": P4_SHAPES,
         "src_files": SRC_FILES, "src_lines": SRC_LINES,
         "lex_code_hits": LEX_CODE, "lex_secret_hits": LEX_SECRET, "lex_document_hits": LEX_DOCUMENTS, "lex_evidence_hits": LEX_EVIDENCE, "lex_webhooks": LEX_WEBHOOKS, "flt_masked": FLT_MASKED,
         "fnd_canonical": FND_CANONICAL, "ddp_exact": DDP_EXACT, "ddp_merged": DDP_MERGED, "ddp_wide": DDP_WIDE, "dif_secrets": DIF_SECRETS, "git_tracked": GIT_TRACKED, "cnf_scores": CNF_SCORES, "cor_chains": COR_CHAINS, "cor_members": COR_MEMBERS, "flt_ignored": FLT_IGNORED, "flt_changed": FLT_CHANGED, "cor_scope": COR_SCOPE, "sup_active": SUP_ACTIVE, "rsk_projects": RSK_PROJECTS, "cat_rollup": CAT_ROLLUP,
