@@ -269,14 +269,14 @@ def weak_label(key: str, value: str, kind: str, words: list[str] | None = None)
     if kind in ("userinfo", "dsn", "sql", "login", "flag", "stdin"):
         return "+" + kind
     about, secret = not ABOUT_WORDS.isdisjoint(words), not SECRET_WORDS.isdisjoint(words)
-    strong = len(value) >= 10 and re.search(r"[0-9]", value) and not re.search(r"[(){}\[\]\s]|://", value)
+    strong = secret and len(value) >= 10 and re.search(r"[0-9]", value) and not re.search(r"[(){}\[\]\s]|://", value)
     if kind == "header":
-        return "+header" if secret and strong else ""
-    if _ADDRESS.fullmatch(value):
+        return "+header" if strong else ""
+    if "://" in value and _ADDRESS.fullmatch(value):
         return "-url"
-    if (about or not secret) and _HASH.fullmatch(value):
+    if len(value) >= 16 and (about or not secret) and _HASH.fullmatch(value):
         return "-hash"
-    if PATHLIKE.match(value) or value.startswith(("data:", "sha256:", "sha512-")):
+    if "/" in value and PATHLIKE.match(value) or value.startswith(("data:", "sha256:", "sha512-")):
         return "-path"
     if about:
         return "-about" if _ALPHA.fullmatch(value) else ""
@@ -402,22 +402,31 @@ RULED_OUT = ("-masked", "-placeholder", "-reference", "-block", "-plain", "-url"
 _CANDIDATES = "tbl string, row_key bigint, path string, line_no int, start int, end int, key string, value string, kind string, stratum string"
 
 
+#: So many labels, of values of up to so many characters, are remembered by a task: most values occur again and again.
+_REMEMBERED, _SHORT = 100_000, 200
+
+
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words: dict[str, list[str]] = {}
-
-    def of(key: str) -> list[str]:
+    labels: dict[tuple[str, str, str], str] = {}
+
+    def label(what: tuple[str, str, str]) -> str:
+        key = what[0]
+        if (known := labels.get(what)) is not None:
+            return known
+        if len(words) > _REMEMBERED:
+            words.clear()
+        if len(labels) > _REMEMBERED:
+            labels.clear()
         if key not in words:
-            if len(words) > 100_000:
-                words.clear()
             words[key] = words_of(key)
-        return words[key]
+        out = weak_label(*what, words[key])
+        if len(what[1]) <= _SHORT:
+            labels[what] = out
+        return out
 
     for b in batches:
-        rows = [
-            (t, r, p, *c[:3], c[3], c[4], c[5], weak_label(c[3], c[4], c[5], of(c[3])))
-            for t, r, p, text in zip(b["tbl"], b["row_key"], b["path"], b["text"], strict=True)
-            for c in candidates(text)
-        ]
+        rows = [(t, r, p, *c, label(c[3:])) for t, r, p, text in zip(b["tbl"], b["row_key"], b["path"], b["text"], strict=True) for c in candidates(text)]
         yield pd.DataFrame(rows, columns=["tbl", "row_key", "path", "line_no", "start", "end", "key", "value", "kind", "stratum"])
 
 
@@ -487,7 +496,10 @@ def scored(cands: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                b = b.assign(score=model.score(b["key"], b["value"], b["kind"], b["path"], why=""))
+                # equal values under equal names are scored once
+                codes, _ = pd.factorize(b["key"] + "\0" + b["kind"] + "\0" + b["path"].fillna("").str.rpartition(".")[2] + "\0" + b["value"])
+                u = b.iloc[np.unique(codes, return_index=True)[1]]
+                b = b.assign(score=model.score(u["key"], u["value"], u["kind"], u["path"], why="")[codes])
                 yield b.loc[b["score"] >= cut, ["tbl", "row_key", "line_no", "start", "end", "kind", "score"]]
 
     open_ = cands.where(~F.col("stratum").isin(*RULED_OUT))

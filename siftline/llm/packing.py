@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,9 @@ FULL = 0.97
 
 
 def parts(sizes: DataFrame, limits: DataFrame, most_limits: int = 1000) -> DataFrame:
-    """(limit_name, capacity, doc_id, part_no, tokens): each text once for each limit, cut only if it alone exceeds the capacity.
+    """(limit_name, capacity, doc_id, part_no, tokens, row): each text once for each limit, cut only if it alone exceeds the capacity.
+
+    row tells equal rows apart; it is fixed once the result is written.
 
     A cut text gives full parts and one rest. Limits with a null name or without a positive capacity are left
     out; of several rows with one name the smallest capacity counts. There are few limits: at most `most_limits`.
@@ -27,12 +30,12 @@ def parts(sizes: DataFrame, limits: DataFrame, most_limits: int = 1000) -> DataF
     if len(known) > most_limits:
         raise ValueError(f"more than {most_limits} limits")
     if not known:
-        return sizes.select(F.lit("").alias("limit_name"), F.lit(0).alias("capacity"), "doc_id", F.lit(0).alias("part_no"), "tokens").where("false")
+        return sizes.select(F.lit("").alias("limit_name"), F.lit(0).alias("capacity"), "doc_id", F.lit(0).alias("part_no"), "tokens", F.lit(0).cast("bigint").alias("row")).where("false")
     each = F.explode(F.array(*(F.struct(F.lit(r["limit_name"]).alias("limit_name"), F.lit(r["c"]).alias("capacity")) for r in sorted(known)))).alias("l")
-    x = sizes.select("doc_id", "tokens", each).select("l.*", "doc_id", "tokens")
+    x = sizes.select("doc_id", "tokens", F.monotonically_increasing_id().alias("row")).select("doc_id", "tokens", "row", each).select("l.*", "doc_id", "tokens", "row")
     last = F.greatest(F.lit(0), F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1)
     x = x.withColumn("part_no", F.explode(F.sequence(F.lit(0), last)))
-    return x.select("limit_name", "capacity", "doc_id", "part_no", F.least(F.col("capacity"), F.col("tokens") - F.col("part_no") * F.col("capacity")).cast("int").alias("tokens"))
+    return x.select("limit_name", "capacity", "doc_id", "part_no", F.least(F.col("capacity"), F.col("tokens") - F.col("part_no") * F.col("capacity")).cast("int").alias("tokens"), "row")
 
 
 def fill_bins(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -97,20 +100,50 @@ def _step(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int,
         k = _best(int(sizes[x]) - y, g)
         if k >= 0:
             return _go(sizes, where, fill, [int(x)], [int(other[k])], int(where[other[k]]), b)
-    for i, x in enumerate(inside[:12]):
-        for z in inside[i + 1 : 12]:
-            k = _best(int(sizes[x] + sizes[z]) - y, g)
-            if k >= 0:
-                return _go(sizes, where, fill, [int(x), int(z)], [int(other[k])], int(where[other[k]]), b)
-    # pairs of neighbours in one container, by size
+    return _two_go(sizes, where, fill, gap, inside, other, b) or _two_back(sizes, where, fill, gap, inside, other, b)
+
+
+def _two_go(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, gap: np.ndarray, inside: np.ndarray, other: np.ndarray, b: int) -> bool:
+    """Any two of `inside` go and one of `other` comes back: the exchange of largest gain."""
+    if len(inside) < 2:
+        return False
+    s = sizes[inside]  # falling
+    i, j = np.triu_indices(len(s), 1) if len(s) <= 2048 else _distinct_pairs(s)
+    sums, at = np.unique(s[i] + s[j], return_index=True)
+    y, g = sizes[other], gap[where[other]]
+    k = np.searchsorted(sums, y + g, "right") - 1  # for each y, the largest sum that fits
+    gain = np.where(k >= 0, sums[np.maximum(k, 0)] - y, 0)
+    best = int(np.argmax(gain))
+    if gain[best] <= 0:
+        return False
+    p = at[k[best]]
+    return _go(sizes, where, fill, [int(inside[i[p]]), int(inside[j[p]])], [int(other[best])], int(where[other[best]]), b)
+
+
+def _distinct_pairs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that give every sum of two of `s`, sorted: each size once, or twice where it occurs twice."""
+    keep = np.flatnonzero(np.r_[True, True, s[2:] != s[:-2]])
+    i, j = np.triu_indices(len(keep), 1)
+    return keep[i], keep[j]
+
+
+def _two_back(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, gap: np.ndarray, inside: np.ndarray, other: np.ndarray, b: int) -> bool:
+    """One of `inside` goes and any two of one container come back: for the largest x that can, the exchange of largest gain."""
     o = other[np.lexsort((sizes[other], where[other]))]
-    same = np.flatnonzero(where[o[:-1]] == where[o[1:]])
-    if len(same):
-        two, g2 = sizes[o[same]] + sizes[o[same + 1]], gap[where[o[same]]]
-        for x in inside:
-            k = _best(int(sizes[x]) - two, g2)
-            if k >= 0:
-                return _go(sizes, where, fill, [int(x)], [int(o[same[k]]), int(o[same[k] + 1])], int(where[o[same[k]]]), b)
+    y, home = sizes[o], where[o]
+    wide = int(sizes.max()) + 1
+    keys = home * wide + y
+    for x in dict.fromkeys(sizes[inside].tolist()):  # each size once
+        least = np.maximum(x - gap[home] - y, 0)  # the other of the two has at least this size, and less than x - y
+        at = np.searchsorted(keys, home * wide + np.minimum(least, wide - 1))
+        at += at == np.arange(len(o))  # not the item itself
+        ok = at < len(o)
+        at = np.minimum(at, len(o) - 1)
+        gain = np.where(ok & (home[at] == home) & (at != np.arange(len(o))) & (y[at] >= least), x - y - y[at], 0)
+        k = int(np.argmax(gain))
+        if gain[k] > 0:
+            first = int(inside[np.flatnonzero(sizes[inside] == x)[0]])
+            return _go(sizes, where, fill, [first], [int(o[k]), int(o[at[k]])], int(home[k]), b)
     return False
 
 
@@ -147,7 +180,7 @@ def _round(items: DataFrame, no: int, shard_items: int) -> DataFrame:
     return salted.groupBy("limit_name", "shard").applyInPandas(run, _PACKED)
 
 
-def pack(sizes: DataFrame, limits: DataFrame, shard_items: int = SHARD_ITEMS, full: float = FULL, rounds: int = 6) -> DataFrame:
+def pack(sizes: DataFrame, limits: DataFrame, shard_items: int = SHARD_ITEMS, full: float = FULL) -> DataFrame:
     """(limit_name, bin, doc_id, part_no, tokens): every text in a container of each limit.
 
     Parts as large as the container fill one alone and aren't searched. The rest are packed in shards; the
@@ -156,13 +189,13 @@ def pack(sizes: DataFrame, limits: DataFrame, shard_items: int = SHARD_ITEMS, fu
     are left out, texts without tokens lie in any container, equal rows are items of their own.
     """
     items = written(parts(sizes.where("tokens IS NOT NULL"), limits), "parts")
-    whole = items.where("tokens = capacity").select("limit_name", F.concat(F.lit("w-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("part_no").cast("string")).alias("bin"), "doc_id", "part_no", "tokens")
+    whole = items.where("tokens = capacity").select("limit_name", F.concat_ws("-", F.lit("w"), F.col("row").cast("string"), F.col("part_no").cast("string")).alias("bin"), "doc_id", "part_no", "tokens")
     rest, done, before = items.where("tokens < capacity"), [whole], None
-    for no in range(rounds):
+    for no in count():
         packed = written(_round(rest, no, shard_items), f"packed{no}")
         loose = packed.where(F.col("fill") < F.col("capacity") * full)
         n = loose.count()
-        last = no == rounds - 1 or n == 0 or (before is not None and n >= before) or n <= shard_items and no > 0 and before is not None and before <= shard_items
+        last = n == 0 or (before is not None and n >= before) or n <= shard_items and no > 0 and before is not None and before <= shard_items
         out = packed if last else packed.where(F.col("fill") >= F.col("capacity") * full)
         done.append(out.select("limit_name", "bin", "doc_id", "part_no", "tokens"))
         if last:

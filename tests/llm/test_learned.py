@@ -157,6 +157,41 @@ def test_pack(spark):
     assert packing.pack(d.select("doc_id", "tokens"), limits.limit(0)).count() == 0
 
 
+def brute_exchange(sizes, where, capacity, b):
+    """Whether moving one, or exchanging two for one either way, takes tokens out of container b into a fuller one."""
+    fill = np.bincount(where, weights=sizes).astype(int)
+    inside = [i for i in range(len(sizes)) if where[i] == b and sizes[i]]
+    others = [i for i in range(len(sizes)) if where[i] != b and sizes[i] and fill[where[i]] >= fill[b]]
+    gap = capacity - fill
+    fits = lambda gain, a: 0 < gain <= gap[a]
+    one = any(fits(sizes[x], a) for x in inside for a in range(len(fill)) if a != b and fill[a] >= fill[b] and gap[a] > 0)
+    swap = any(fits(sizes[x] - sizes[y], where[y]) for x in inside for y in others)
+    go = any(fits(sizes[x] + sizes[z] - sizes[y], where[y]) for i, x in enumerate(inside) for z in inside[i + 1 :] for y in others)
+    back = any(fits(sizes[x] - sizes[y] - sizes[z], where[y]) for x in inside for i, y in enumerate(others) for z in others[i + 1 :] if where[y] == where[z])
+    return one or swap or go or back
+
+
+def test_search_ends_only_where_no_exchange_helps():
+    r = np.random.default_rng(9)
+    for _ in range(60):
+        capacity = int(r.integers(20, 60))
+        sizes = r.integers(1, capacity // 2, int(r.integers(8, 24)))
+        where = packing.fill_bins(sizes, capacity)
+        fill = np.bincount(where, weights=sizes, minlength=where.max() + 1)
+        assert fill.max() <= capacity
+        for b in np.flatnonzero(fill):
+            w, f = where.copy(), np.bincount(where, weights=sizes).astype(np.int64)
+            assert packing._step(sizes, w, f, capacity, int(b)) == brute_exchange(sizes, where, capacity, b)
+            assert f.max() <= capacity and (np.bincount(w, weights=sizes, minlength=len(f)) == f).all()
+
+
+def test_equal_rows_are_packed_apart(spark):
+    d = spark.createDataFrame([(1, 25), (1, 25), (1, None)], "doc_id bigint, tokens int")
+    limits = spark.createDataFrame([("s", 10)], "limit_name string, capacity_tokens int")
+    got = packing.pack(d, limits).groupBy("bin").agg(F.sum("tokens").alias("t")).collect()
+    assert sorted(x.t for x in got) == [10] * 5
+
+
 def test_blend(spark):
     r = random.Random(3)
     docs = [(i, r.choice(["a", "a", "a", "b", "c"]), r.randint(1, 300)) for i in range(3000)] + [(5000, None, 10), (5001, "a", 0)]
