@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.text import blank
+from siftline.functions.text import blank, digest
+from siftline.session import written
 from siftline.sources.corpus import basename
 
 # Severities by rank, and what each of them takes from the score of 100.
@@ -207,6 +208,7 @@ def merged(findings: DataFrame, wide: bool = False) -> DataFrame:
     base is the row with the highest severity, then specificity, then longest data flow, then smallest key. It
     takes the first HIGH confidence where it has none, and the first data flow where it has none, in that
     order; detectors, evidences and related ids are joined, sorted and distinct; groups of credentials are renamed.
+    What is gathered of a group are its distinct detectors, evidences and ids, never its rows.
     """
     t = tagged(findings)
     keep = t.groupBy("project", "fp").agg(F.min("finding_key").alias("finding_key")).select("finding_key")
@@ -221,19 +223,25 @@ def merged(findings: DataFrame, wide: bool = False) -> DataFrame:
         "flow": F.coalesce(F.array_size("data_flow"), F.lit(0)),
         "rule": F.coalesce("rule_id", "id"),
     })
+    t = written(t, "tagged")
     order = F.struct(severity_rank(F.col("sev")), specificity(F.col("rule"), F.col("title"), F.col("evidence")), F.col("flow"), -F.col("finding_key"))
     base = F.struct("finding_key", "id", "title", F.col("sev").alias("severity"), "confidence", "canon", "category", "cwe", "evidence", "source", "sink", "data_flow")
     high = F.startswith(F.coalesce("confidence", F.lit("")), F.lit("HIGH"))
-    lists = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     g = t.groupBy("project", "file_lc", "line", "family", "alone").agg(
         F.max_by(base, order).alias("b"),
         F.max_by(F.when(high, F.col("confidence")), F.when(high, order)).alias("high"),
         F.max_by(F.when(F.col("data_flow").isNotNull(), F.struct("source", "sink", "data_flow")), F.when(F.col("data_flow").isNotNull(), order)).alias("flowing"),
-        lists("detectors").alias("detector_ids"),
-        lists("proofs").alias("evidences"),
-        F.array_sort(F.collect_set(F.struct("finding_key", "id"))).alias("members"),
         F.count(F.lit(1)).alias("n"),
     )
+    g = g.select("*", digest("project", "file_lc", "line", "family", "alone").alias("place"))
+    parts = F.array(
+        F.struct(F.lit("d").alias("of"), F.col("detectors").alias("items")), F.struct(F.lit("e").alias("of"), F.col("proofs").alias("items")), F.struct(F.lit("i").alias("of"), F.array("id").alias("items")),
+    )
+    said = t.select(digest("project", "file_lc", "line", "family", "alone").alias("place"), F.explode(parts).alias("p")).select("place", "p.of", F.explode("p.items").alias("item")).where("item IS NOT NULL")
+    said = said.groupBy("place", "of", "item").agg(F.count(F.lit(1)).alias("k"))  # distinct before anything is gathered
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("of") == kind, F.col("item"))))
+    ids = F.collect_list(F.when(F.col("of") == "i", F.struct("item", "k")))
+    g = g.join(said.groupBy("place").agg(of("d").alias("detector_ids"), of("e").alias("evidences"), ids.alias("ids")), "place", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("detector_ids", "evidences")})
     e = F.lit("")
     low, all_ev = F.lower(F.coalesce("b.title", e)), F.lower(F.array_join("evidences", " "))
     several = F.col("n") > 1
@@ -263,7 +271,7 @@ def merged(findings: DataFrame, wide: bool = False) -> DataFrame:
         F.when(several & ~F.contains(F.coalesce("b.evidence", e), F.lit("=")), F.coalesce(keyed, F.col("b.evidence"))).otherwise(F.col("b.evidence")).alias("evidence"),
         "detector_ids",
         "evidences",
-        F.array_sort(F.array_distinct(F.transform(F.filter("members", lambda m: m["finding_key"] != F.col("b.finding_key")), lambda m: m["id"]))).alias("related_findings"),
+        F.array_sort(F.transform(F.filter(F.coalesce("ids", F.array().cast("array<struct<item: string, k: bigint>>")), lambda m: (m["item"] != F.coalesce("b.id", e)) | (m["k"] > 1)), lambda m: m["item"])).alias("related_findings"),
     )
 
 
@@ -343,26 +351,29 @@ def scope(findings: DataFrame) -> DataFrame:
 def unsuppressed(findings: DataFrame, suppressions: DataFrame, as_of: str) -> DataFrame:
     """The findings that no suppression of their project holds for.
 
-    A suppression holds if its rule_id is null, '' or the finding's id or title, its file is null or the end of
+    A suppression holds if its rule_id is null, '' or the finding's id or title, its file is null, '' or the end of
     the finding's, its line (or the finding's) is null or 0 or both are equal, and it isn't expired: on the day
-    of expires it is. A file with a folder is matched through its base name by equality; for a bare name the
-    project's findings are tried.
+    of expires it is. All joins are by equality: a rule is looked for among a finding's id and title, a file
+    among the ends of the finding's path that are as long as some suppressed file of the project.
     """
+    e = F.lit("")
     s = suppressions.where("project IS NOT NULL").select(
         "project",
-        F.nullif(F.coalesce("rule_id", F.lit("")), F.lit("")).alias("s_rule"),
-        F.when(F.col("file").isNotNull() & (F.col("file") != ""), clean_path("file")).alias("s_file"),
+        F.coalesce("rule_id", e).alias("s_rule"),
+        F.when(F.col("file").isNotNull() & (F.col("file") != ""), clean_path("file")).otherwise("").alias("s_file"),
         F.when(F.col("line") > 0, F.col("line")).alias("s_line"),
         F.try_to_date("expires", "yyyy-MM-dd").alias("until"),
     )
-    s = s.where(F.col("until").isNull() | (F.to_timestamp(F.lit(as_of)) <= F.col("until").cast("timestamp"))).distinct()
+    s = s.where(F.col("until").isNull() | (F.to_timestamp(F.lit(as_of)) <= F.col("until").cast("timestamp"))).drop("until").distinct().withColumn("n", F.length("s_file"))
+    # every line, or none, that an entry without one holds for, as one key
+    s = s.groupBy("project", "n", "s_file", "s_rule").agg(F.max(F.col("s_line").isNull()).alias("all_lines"), F.collect_set("s_line").alias("lines"))
+    lengths = s.groupBy("project").agg(F.collect_set("n").alias("lengths"), F.collect_set("s_rule").alias("rules"))
     f = findings.select("finding_key", "project", "id", "title", clean_path("file").alias("f_file"), F.when(F.col("line") > 0, F.col("line")).alias("f_line"))
-    holds = (F.col("s_rule").isNull() | (F.col("s_rule") == F.col("id")) | (F.col("s_rule") == F.col("title"))) & (F.col("s_line").isNull() | F.col("f_line").isNull() | (F.col("s_line") == F.col("f_line")))
-    holds = holds & (F.col("s_file").isNull() | F.endswith("f_file", "s_file"))
-    in_folder = F.contains("s_file", F.lit("/"))
-    a = f.withColumn("base", basename(F.col("f_file"))).join(s.where(in_folder).withColumn("base", basename(F.col("s_file"))), ["project", "base"]).where(holds).select("finding_key")
-    b = f.join(s.where(F.coalesce(~in_folder, F.lit(True))), "project").where(holds).select("finding_key")
-    return findings.join(a.unionAll(b), "finding_key", "left_anti")
+    f = f.join(lengths, "project").select("finding_key", "project", "f_line", "f_file", "lengths", F.explode(F.array_intersect(F.array(e, F.coalesce("id", e), F.coalesce("title", e)), "rules")).alias("s_rule"))
+    f = f.select("finding_key", "project", "f_line", "f_file", "s_rule", F.explode(F.filter("lengths", lambda n: n <= F.length("f_file"))).alias("n"))
+    f = f.withColumn("s_file", F.when(F.col("n") == 0, e).otherwise(F.expr("right(f_file, n)")))
+    hit = f.join(s, ["project", "n", "s_file", "s_rule"]).where(F.col("all_lines") | F.col("f_line").isNull() | F.array_contains("lines", F.col("f_line"))).select("finding_key")
+    return findings.join(hit, "finding_key", "left_anti")
 
 
 def project_scores(findings: DataFrame, block_on: Sequence[str] = ("CRITICAL", "HIGH")) -> DataFrame:

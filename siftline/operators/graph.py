@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators.code import module_name
-from siftline.session import cut
+from siftline.session import cut, written
 
 #: Fixed value: edges of the longest path that is followed.
 MAX_PATH = 8
@@ -81,17 +83,16 @@ def paths_to(edges: DataFrame, sinks: DataFrame, most: int = MAX_PATH, sources:
     return done.select("project", F.col("head").alias("start"), "sink", "path").distinct()
 
 
-def levels(edges: DataFrame, roots: DataFrame, most: int = MAX_PATH) -> DataFrame:
-    """(project, node, depth): the fewest edges from any root, up to `most`. Each round sends only the newly reached nodes."""
-    e = edges.select("project", F.col("a").alias("node"), F.col("b").alias("next")).distinct()
-    seen = cut(roots.select("project", "node", F.lit(0).alias("depth")).distinct())
-    front = seen
-    for k in range(1, most + 1):
-        front = cut(front.join(e, ["project", "node"]).select("project", F.col("next").alias("node"), F.lit(k).alias("depth")).distinct().join(seen, ["project", "node"], "left_anti"))
+def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(project, node, depth): the fewest edges from any root. Each round sends only the newly reached nodes, until there are none."""
+    e = written(edges.select("project", F.col("a").alias("node"), F.col("b").alias("next")).distinct(), "level-edges")
+    seen = front = written(roots.select("project", "node", F.lit(0).alias("depth")).distinct(), "level")
+    for k in count(1):
+        new = front.join(e, ["project", "node"]).select("project", F.col("next").alias("node"), F.lit(k).alias("depth")).distinct()
+        front = written(new.join(seen, ["project", "node"], "left_anti"), "level")
         if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    return seen
+            return seen
+        seen = seen.unionByName(front)
 
 
 def flow_edges(findings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import blank, mask
 from siftline.operators import rules as R
+from siftline.operators import semantic, taint
 
 
 def _harmless(rule_id: str, low: Column) -> Column:
@@ -98,3 +99,58 @@ def sensitive_names(files: DataFrame, keys: Sequence[str], name: str = "name") -
     """(keys, name): files whose name says that they hold credentials."""
     pattern = r"(?i)^(?:\.env(?:\..+)?|.*\.env|id_rsa|id_dsa|id_ecdsa|id_ed25519|.*\.(?:pem|key|p12|pfx|jks|keystore)|\.netrc|\.npmrc|\.pypirc|credentials(?:\.json)?|secrets?\.(?:json|ya?ml|toml))$"
     return files.where(F.col(name).rlike(pattern)).select(*keys, name)
+
+
+#: The rules whose lines are judged by what their arguments are.
+JUDGED = ("VG-SAST-001", "VG-SAST-002", "VG-SAST-008", "VG-CMD-LIST")
+_SHELL = r"shell\s?=\s?True|shell=1"
+_FIXED_TEXT = r"""^(?:"[^"]*"|'[^']*'|-?[0-9]+|true|false)$"""
+
+
+def judged(hits: DataFrame, facts: DataFrame, names: DataFrame) -> DataFrame:
+    """rule_hits() with source, and without the hits on queries and commands that nothing but fixed or made-safe values reach.
+
+    `names` are taint.reached_names(). A query goes if what it holds of a source was made safe for queries. A
+    command goes if its arguments are literals and names that hold nothing else, and a list of arguments without
+    a shell is left to the rule on lists, which goes if all its items are such or made safe. Where a tainted name
+    is in the line, source says where it comes from, confidence is HIGH, and commands are CRITICAL, lists HIGH.
+    """
+    keys = ["project", "rel_path", "line_no"]
+    mine = hits.where(F.col("rule_id").isin(*JUDGED))
+    scopes = facts.where("kind = 'function'").select("project", "rel_path", F.col("name").alias("func"), F.col("line").alias("begins"), "end_line")
+    at = mine.select(*keys, "evidence").distinct()
+    inside = at.select(*keys).distinct().join(scopes, ["project", "rel_path"]).where("line_no BETWEEN begins AND end_line").groupBy(*keys).agg(F.max_by("func", "begins").alias("func"))
+    at = at.join(inside, keys, "left").select(*keys, F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("func", F.lit(""))))).alias("func"), "evidence")
+    at = at.select(*keys, "func", F.explode(taint.names_of(F.col("evidence"))).alias("name"))
+    fixed = semantic.constants(facts).select("project", "rel_path", "name", F.lit(True).alias("fixed"))
+    at = at.join(fixed, ["project", "rel_path", "name"], "left").join(names, ["project", "rel_path", "func", "name"], "left")
+    has = lambda kind: F.col("kinds").bitwiseAND(F.lit(1 << taint.KINDS.index(kind))) > 0
+    held = lambda c: F.collect_set(F.when(c, F.col("name")))
+    told = at.groupBy(*keys).agg(
+        held(F.col("fixed") & F.col("kinds").isNull()).alias("fixed"), held(has("sql")).alias("sql"), held(~has("sql")).alias("sql_safe"), held(has("command")).alias("cmd"), held(~has("command")).alias("cmd_safe"),
+        F.min(F.when(has("sql"), F.col("origin"))).alias("sql_from"), F.min(F.when(has("command"), F.col("origin"))).alias("cmd_from"),
+    )
+    none = F.array().cast("array<string>")
+    lists = ("fixed", "sql", "sql_safe", "cmd", "cmd_safe")
+    x = mine.join(told, keys, "left").withColumns({c: F.coalesce(c, none) for c in lists})
+    line, some = F.col("evidence"), lambda c: F.size(c) > 0
+    shell, quoted = line.rlike(_SHELL), F.contains(line, F.lit("shlex.quote"))
+    still = lambda i: F.trim(i).rlike(_FIXED_TEXT) | F.array_contains("fixed", F.trim(i))
+    inner = F.regexp_extract(line, r"\[(.*)\]", 1)
+    item_safe = lambda i: still(i) | F.array_contains("cmd_safe", F.trim(i)) | F.contains(i, F.lit("shlex.quote"))
+    args = F.trim(F.regexp_extract(line, r"\((.*)\)", 1))
+    joined = args.rlike(r"""[%]|f["']|\$\{|format\(""")
+    literal = (args != "") & ~joined & ~some("cmd") & F.forall(F.split(args, r"\s*[+,]\s*"), lambda a: still(a) | a.rlike(r"^\[.*\]$"))
+    rule = F.col("rule_id")
+    gone = (
+        F.when(rule == "VG-SAST-001", some("sql_safe") & ~some("sql"))
+        .when(rule == "VG-CMD-LIST", shell | F.forall(F.split(inner, ","), item_safe))
+        .when(rule == "VG-SAST-002", ~shell & (line.rlike(r"\[.*\]") | literal))
+        .otherwise(F.lit(False))
+    )
+    hot = F.when(rule == "VG-SAST-001", some("sql")).otherwise(some("cmd") & ~quoted)
+    source = F.when(hot, F.when(rule == "VG-SAST-001", F.col("sql_from")).otherwise(F.col("cmd_from")))
+    severity = F.when(hot & rule.isin("VG-SAST-002", "VG-SAST-008"), "CRITICAL").otherwise(F.col("severity"))
+    x = x.where(~gone).withColumns({"severity": severity, "confidence": F.when(hot, "HIGH").otherwise(F.col("confidence")), "source": source})
+    rest = hits.where(~rule.isin(*JUDGED)).withColumn("source", F.lit(None).cast("string"))
+    return rest.unionByName(x.select(rest.columns))

@@ -117,7 +117,7 @@ TEXT_EXTENSIONS = tuple(
 )
 TEST_FILES = r"(?:_test\.(?:go|rs|py)|\.(?:test|spec)\.(?:js|ts))$|(?:^|/)test_[^/]*$|^tests?/|/tests?/|/testdata/"
 COMMENT = r"^\s*(?://|#|/\*|\*|--)"
-METADATA = r"^\s*(?:description:|recommendation:|remediation:|sources:|sinks:|sanitizers:|confidence:|cwe:|name:|id:|category:|severity:|pattern:)"
+METADATA = r"^\s*(?:description:|recommendation:|remediation:|sources:|sinks:|sanitizers:|confidence:|cwe:|name:|id:|category:|severity:|pattern:|Rule \{|Rule::new|Regex::new|regexp\.MustCompile|r#\"|`\(\?i\)|let has_shell_true|hasShellTrue :=)"
 #: Lines that a rule's pattern holds for but that are harmless: none of these may occur, case aside.
 HARMLESS = {
     "VG-SAST-003": ("db.exec(", "tx.exec(", "conn.exec(", "stmt.exec(", "re.exec(", "regex.exec("),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators.graph import call_edges
-from siftline.session import cut, written
+from siftline.session import written
 
 # The kinds, the words of sources, sinks and sanitizers.
 KINDS = ("sql", "command", "ssrf", "path", "template", "xss", "deserialization")
@@ -91,28 +91,28 @@ def kind_bit(kind: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, 1 << i))), kind)
 
 
-def _names(expr: Column) -> Column:
+def names_of(expr: Column) -> Column:
     """The identifiers of an expression outside its literals."""
     bare = F.regexp_replace(expr, r"""(?<![fF])"[^"]*"|(?<![fF])'[^']*'""", " ")
     return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"[A-Za-z_]\w*"), 0))
 
 
 def _node(file: str, func: str, var: Column | str) -> Column:
-    return F.concat_ws("\x1f", file, func, var)
+    return F.concat_ws("\x1f", file, F.coalesce(F.col(func), F.lit("")), var)
 
 
 def flow_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, starts, ends): edges (project, a, b, clears), starts (project, node, source, file, line), ends (project, node, kind, clears, callee, file, line)."""
     assigned = facts.where("kind = 'assign'").select("project", "rel_path", "func", "line", F.col("name").alias("target"), F.col("text").alias("expr"))
-    inner = assigned.select("project", F.explode(_names(F.col("expr"))).alias("v"), "rel_path", "func", "target", cleared(F.col("expr")).alias("clears")).where("v <> target")
+    inner = assigned.select("project", F.explode(names_of(F.col("expr"))).alias("v"), "rel_path", "func", "target", cleared(F.col("expr")).alias("clears")).where("v <> target")
     inner = inner.select("project", _node("rel_path", "func", "v").alias("a"), _node("rel_path", "func", "target").alias("b"), "clears")
     calls = facts.where("kind = 'call'").select("project", "rel_path", "func", "line", F.col("name").alias("callee"), "args", F.element_at(F.split("name", r"\."), -1).alias("short"))
     known = call_edges(facts).select("project", F.col("caller_file").alias("rel_path"), F.col("caller").alias("func"), "line", F.col("callee").alias("short"), "callee_file")
     params = facts.where("kind = 'function'").select("project", F.col("rel_path").alias("callee_file"), F.col("name").alias("short"), F.posexplode("args").alias("i", "param"))
     passed = calls.select("project", "rel_path", "func", "line", "short", F.posexplode("args").alias("i", "arg")).join(known, ["project", "rel_path", "func", "line", "short"]).join(params, ["project", "callee_file", "short", "i"])
-    passed = passed.select("project", F.explode(_names(F.col("arg"))).alias("v"), "rel_path", "func", "callee_file", "short", "param", cleared(F.col("arg")).alias("clears"))
+    passed = passed.select("project", F.explode(names_of(F.col("arg"))).alias("v"), "rel_path", "func", "callee_file", "short", "param", cleared(F.col("arg")).alias("clears"))
     passed = passed.select("project", _node("rel_path", "func", "v").alias("a"), _node("callee_file", "short", "param").alias("b"), "clears")
-    returned = facts.where("kind = 'return'").select("project", F.col("rel_path").alias("callee_file"), F.col("func").alias("short"), F.explode(_names(F.col("text"))).alias("v"), cleared(F.col("text")).alias("clears")).where("short <> ''")
+    returned = facts.where("kind = 'return'").select("project", F.col("rel_path").alias("callee_file"), F.col("func").alias("short"), F.explode(names_of(F.col("text"))).alias("v"), cleared(F.col("text")).alias("clears")).where("short <> ''")
     back = assigned.join(known, ["project", "rel_path", "func", "line"]).select("project", "callee_file", "short", "rel_path", "func", "target").distinct().join(returned, ["project", "callee_file", "short"])
     back = back.select("project", _node("callee_file", "short", "v").alias("a"), _node("rel_path", "func", "target").alias("b"), "clears")
     edges = inner.unionByName(passed).unionByName(back).distinct()
@@ -122,30 +122,53 @@ def flow_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ends = calls.withColumn("kind", sink_kind(F.col("callee"))).where("kind IS NOT NULL")
     ends = ends.withColumn("used", F.when(F.col("kind") == "sql", F.slice("args", 1, 1)).otherwise(F.col("args")))
     ends = ends.select("project", "rel_path", "func", "line", "callee", "kind", F.explode("used").alias("arg"))
-    ends = ends.select("project", F.explode(_names(F.col("arg"))).alias("v"), "rel_path", "func", "kind", cleared(F.col("arg")).alias("clears"), "callee", "line")
+    ends = ends.select("project", F.explode(names_of(F.col("arg"))).alias("v"), "rel_path", "func", "kind", cleared(F.col("arg")).alias("clears"), "callee", "line")
     ends = ends.select("project", _node("rel_path", "func", "v").alias("node"), "kind", "clears", "callee", F.col("rel_path").alias("file"), "line").distinct()
     return edges, direct.unionByName(named).distinct(), ends
 
 
-def flows(facts: DataFrame) -> DataFrame:
-    """(project, rule_id, cwe, kind, severity, source, source_file, source_line, sink, sink_file, sink_line, steps): the shortest flow of each source to each sink.
+def origin_of() -> Column:
+    return F.concat_ws(":", "file", "line", "source")
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(project, origin, node, kinds, steps): every variable that a source reaches, with the kinds that are still tainted there.
 
-    Kinds that every edge on the way leaves tainted arrive. A round sends on only what it reached anew, by
-    origin, node and remaining kinds; these are finite, so the rounds end by themselves. CRITICAL across files,
-    else HIGH.
+    `edges` and `starts` are those of flow_graph(). A round sends on only what it reached anew, by origin, node
+    and remaining kinds; these are finite, so the rounds end by themselves. Each round is written once, and read
+    as one table with those before it.
     """
-    edges, starts, ends = flow_graph(facts)
-    edges = written(edges, "edges")
-    seen = cut(starts.select("project", F.concat_ws(":", "file", "line", "source").alias("origin"), "node", F.lit(ALL).alias("kinds"), F.lit(0).alias("steps")).distinct())
-    front = seen
+    seen = front = written(starts.select("project", origin_of().alias("origin"), "node", F.lit(ALL).alias("kinds"), F.lit(0).alias("steps")).distinct(), "reached")
+    if front.isEmpty():
+        return seen
+    edges = written(edges.withColumnRenamed("a", "node"), "edges")
     for k in count(1):
-        step = front.join(edges.withColumnRenamed("a", "node"), ["project", "node"]).select("project", "origin", F.col("b").alias("node"), F.col("kinds").bitwiseAND(F.lit(ALL) - F.col("clears")).alias("kinds"), F.lit(k).alias("steps"))
-        front = cut(step.where("kinds > 0").distinct().join(seen, ["project", "origin", "node", "kinds"], "left_anti"))
+        step = front.join(edges, ["project", "node"]).select("project", "origin", F.col("b").alias("node"), F.col("kinds").bitwiseAND(F.lit(ALL) - F.col("clears")).alias("kinds"), F.lit(k).alias("steps"))
+        front = written(step.where("kinds > 0").distinct().join(seen, ["project", "origin", "node", "kinds"], "left_anti"), "reached")
         if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
+            return seen
+        seen = seen.unionByName(front)
+
+
+def reached_names(seen: DataFrame) -> DataFrame:
+    """(project, rel_path, func, name, kinds, origin): reached() by variable, with all kinds that arrive by any way."""
+    at = lambda i: F.get(F.split("node", "\x1f"), i)
+    x = seen.select("project", at(0).alias("rel_path"), at(1).alias("func"), at(2).alias("name"), "kinds", "origin", "steps")
+    return x.groupBy("project", "rel_path", "func", "name").agg(F.bit_or("kinds").alias("kinds"), F.min_by("origin", F.struct("steps", "origin")).alias("origin"))
+
+
+def flows(facts: DataFrame, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """(project, rule_id, cwe, kind, severity, source, source_file, source_line, sink, sink_file, sink_line, steps): the shortest flow of each source to each sink.
+
+    Kinds that every edge on the way leaves tainted arrive. CRITICAL across files, else HIGH. `graph` and `seen`:
+    flow_graph() and reached(), where they are at hand.
+    """
+    edges, starts, ends = flow_graph(facts) if graph is None else graph
+    if seen is None:
+        starts = written(starts, "starts")
+        seen = reached(edges, starts)
     hit = seen.join(ends, ["project", "node"]).where(F.col("kinds").bitwiseAND(F.lit(ALL) - F.col("clears")).bitwiseAND(kind_bit(F.col("kind"))) > 0)
-    src = starts.select("project", F.concat_ws(":", "file", "line", "source").alias("origin"), "source", F.col("file").alias("source_file"), F.col("line").alias("source_line")).distinct()
+    src = starts.select("project", origin_of().alias("origin"), "source", F.col("file").alias("source_file"), F.col("line").alias("source_line")).distinct()
     x = hit.groupBy("project", "origin", "kind", F.col("callee").alias("sink"), F.col("file").alias("sink_file"), F.col("line").alias("sink_line")).agg(F.min("steps").alias("steps")).join(src, ["project", "origin"])
     rule = lambda i: F.element_at(F.create_map(*(F.lit(v) for k, r in RULES.items() for v in (k, r[i]))), F.col("kind"))
     severity = F.when(F.col("source_file") != F.col("sink_file"), "CRITICAL").otherwise("HIGH")

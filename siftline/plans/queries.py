@@ -220,6 +220,15 @@ def dck_hits(spark: SparkSession, folder: str) -> DataFrame:
     return containers.dockerfile_hits(table(spark, folder, "source_files"))
 
 
+def dck_services(spark: SparkSession, folder: str) -> DataFrame:
+    lists = [F.array_join(c, "|").alias(c) for c in ("ports", "volumes", "cap_add", "env")]
+    return containers.services(table(spark, folder, "source_files")).select(*FILE, "service", "line_no", "image", "user", "privileged", *lists)
+
+
+def dck_compose(spark: SparkSession, folder: str) -> DataFrame:
+    return containers.compose_hits(containers.services(table(spark, folder, "source_files")))
+
+
 def dck_context(spark: SparkSession, folder: str) -> DataFrame:
     return containers.exposed_context(table(spark, folder, "source_files"))
 
@@ -300,7 +309,7 @@ def ldf_scopes(spark: SparkSession, folder: str) -> DataFrame:
 
 def str_sessions(spark: SparkSession, folder: str) -> DataFrame:
     s = streams.stream_table(spark, folder, "incoming_findings").select("received_at", "project")
-    return streams.drained(streams.session_counts(s, "received_at", "project"), "sessions")
+    return streams.drained(streams.session_counts(s, "received_at", "project", late="1500 days"), "sessions", "complete")
 
 
 def fwk_routes(spark: SparkSession, folder: str) -> DataFrame:
@@ -355,7 +364,7 @@ def queries() -> dict[str, Query]:
         p4_found, p4_shapes, src_files, src_lines, lex_code_hits, lex_secret_hits, lex_document_hits, lex_evidence_hits, lex_webhooks, flt_masked,
         fnd_canonical, ddp_exact, ddp_merged, ddp_wide, dif_secrets, git_tracked, cnf_scores, cor_chains, cor_members, cor_scope, flt_ignored, flt_changed, sup_active, rsk_projects, cat_rollup,
         sca_matches, sca_distinct, sca_severity, sca_best_fix, sca_upsert, sca_stats, sca_top, sca_findings, sca_cache,
-        cfg_entries, cfg_nested, cfg_hits, cfg_flat_hits, cfg_env_ignored, dck_instructions, dck_hits, dck_context,
+        cfg_entries, cfg_nested, cfg_hits, cfg_flat_hits, cfg_env_ignored, dck_instructions, dck_hits, dck_services, dck_compose, dck_context,
         ast_functions, ast_facts, sem_imports, sem_calls, sem_paths, grf_levels, tnt_flows, tnt_kinds, fwk_routes, fwk_detected,
         dep_manifests, osv_records, rep_results, rep_rules, rep_html, str_days, str_sessions,
         tnt_tiers, rul_hits, rul_markup, sec_scores, ben_labels, rsk_levels, ldf_scopes, scn_findings, scn_scores,

@@ -29,6 +29,7 @@ class ScanResult:
     scores: DataFrame
     chains: DataFrame
     scope: DataFrame
+    warnings: DataFrame
 
 
 @dataclass(frozen=True)
@@ -42,9 +43,12 @@ class Scan:
     suppressions: DataFrame | None = None
     as_of: str = "2026-10-01"
 
+    def gated(self) -> DataFrame:
+        return corpus.gated(self.files, exclude=self.settings.exclude)
+
     def detected(self) -> DataFrame:
         """The findings of all detectors, before anything is merged. finding_key is made from what was found and where, so that it is the same in every run."""
-        files = corpus.gated(self.files, exclude=self.settings.exclude).where("verdict = 'scanned'").drop("verdict")
+        files = self.gated().where("verdict = 'scanned'").drop("verdict")
         keys = ["project", "rel_path"]
         lines = corpus.lines(files, keys)
         facts = written(code.facts(files), "facts")
@@ -54,10 +58,15 @@ class Scan:
             found.append(_finding(lexical.rule_hits(lines, keys, rules.SECRET_RULES), evidence=F.col("evidence")))
             found.append(_finding(lexical.sensitive_names(files, keys), rule="VG-SECRET-FILE", severity="HIGH", category="secret", line=F.lit(1), evidence=F.col("name")))
         if self.settings.source_scan:
-            found.append(_finding(lexical.rule_hits(lines.where(source), keys, rules.CODE_RULES), evidence=F.col("evidence")))
+            graph = tuple(written(x, n) for x, n in zip(taint.flow_graph(facts), ("flow-edges", "starts", "ends"), strict=True))
+            seen = taint.reached(*graph[:2])
+            code_lines = corpus.lines(corpus.before_tests(files.where(source)), keys)
+            hits = lexical.judged(written(lexical.rule_hits(code_lines, keys, rules.CODE_RULES), "code-hits"), facts, written(taint.reached_names(seen), "names"))
+            sunk = F.when(F.col("source").isNotNull(), F.concat_ws(":", "rel_path", F.col("line_no").cast("string"), "evidence"))
+            found.append(_finding(hits, evidence=F.col("evidence"), source=F.col("source"), sink=sunk, flow=F.when(sunk.isNotNull(), F.array("source", sunk))))
             found.append(_finding(lexical.missing_webhook_signature(lines.where(source), keys), rule="VG-WEBHOOK-001", severity="HIGH", category="sourcecode", confidence="HIGH"))
             found.append(_finding(semantic.semantic_hits(facts), category="sourcecode", line=F.col("line"), evidence=F.col("callee")))
-            flow = taint.flows(facts).withColumnRenamed("source", "src").withColumnRenamed("sink", "snk").withColumn("rel_path", F.col("sink_file"))
+            flow = taint.flows(facts, graph, seen).withColumnRenamed("source", "src").withColumnRenamed("sink", "snk").withColumn("rel_path", F.col("sink_file"))
             ends = {"source": F.concat_ws(":", "source_file", F.col("source_line").cast("string"), "src"), "sink": F.concat_ws(":", "sink_file", F.col("sink_line").cast("string"), "snk")}
             found.append(_finding(flow, category="sourcecode", confidence="HIGH", line=F.col("sink_line"), evidence=F.col("snk"), flow=F.array(*ends.values()), **ends))
             found.append(_finding(configs.config_hits(configs.entries(files)), category="configuration", confidence="HIGH", evidence=F.col("evidence")))
@@ -81,7 +90,7 @@ class Scan:
         if self.suppressions is not None:
             kept = findings.unsuppressed(kept, self.suppressions, self.as_of)
         kept = written(findings.scored(kept), "findings")
-        return ScanResult(kept, findings.project_scores(kept, self.settings.block_on), findings.chains(kept), findings.scope(kept))
+        return ScanResult(kept, findings.project_scores(kept, self.settings.block_on), findings.chains(kept), findings.scope(kept), corpus.warnings(self.gated()))
 
 
 def _finding(

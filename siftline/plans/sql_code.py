@@ -1,14 +1,15 @@
 """DuckDB statements for the queries on graphs, taint, manifests, reports and streams."""
 
-from siftline.operators import code, graph, semantic, taint
+from siftline.operators import code, semantic, taint
 from siftline.plans.sql import _LABEL, _SCORED, _SEVERITY, P4_AFFECTED, P4_FOUND, P4_RANGES, P4_VULNERABILITIES, RSK_PROJECTS, lines, quoted
 from siftline.sinks import reports
 
-GRF_LEVELS = f"""
+GRF_LEVELS = """
 WITH RECURSIVE s AS (SELECT project, data_flow[i] AS a, data_flow[i + 1] AS b FROM (SELECT project, data_flow, unnest(range(1, len(data_flow))) AS i FROM findings WHERE data_flow IS NOT NULL)),
 e AS (SELECT DISTINCT project, a, b FROM s WHERE a IS NOT NULL AND b IS NOT NULL),
-w(project, node, depth) AS (SELECT DISTINCT project, a, 0 FROM e WHERE starts_with(a, 'request.') UNION SELECT w.project, e.b, w.depth + 1 FROM w JOIN e ON e.project = w.project AND e.a = w.node WHERE w.depth < {graph.MAX_PATH})
-SELECT project, node, min(depth) AS depth FROM w GROUP BY 1, 2
+w(project, node, depth) USING KEY (project, node) AS (SELECT DISTINCT project, a, 0 FROM e WHERE starts_with(a, 'request.')
+  UNION SELECT DISTINCT w.project, e.b, w.depth + 1 FROM w JOIN e ON e.project = w.project AND e.a = w.node WHERE NOT EXISTS (SELECT 1 FROM recurring.w AS r WHERE r.project = w.project AND r.node = e.b))
+SELECT project, node, depth FROM w
 """
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +26,19 @@ def extension(path: Column) -> Column:
 
 
 def from_folder(spark: SparkSession, folder: str, project: str = "") -> DataFrame:
-    """(project, rel_path, name, ext, size_bytes, content) of a folder's files, gated by name and size before they are read.
+    """(project, rel_path, name, ext, size_bytes, content) of a folder's files, gated by path and size before they are read.
 
     Files in skipped folders, with binary extensions, with a NUL in the head where the extension is unknown,
     above MAX_BYTES or with invalid UTF-8 are left out.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = folder.rstrip("/") + "/"
-    rel = F.regexp_replace(F.element_at(F.split("path", F.lit("\\Q" + root + "\\E")), -1), r"\\", "/")
+    root = folder.rstrip("/")
+    path = F.col("_metadata.file_path")  # a constant of each file: what it rules out is never opened
+    below = F.regexp_replace(F.element_at(F.split(path, F.lit("\\Q" + quote(root) + "/\\E"), 2), -1), r"\\", "/")
+    names = ~below.rlike(_in_dir(R.SKIPPED_DIRS)) & ~F.coalesce(extension(below), F.lit("")).isin(*R.SKIPPED_EXTENSIONS)
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(names)
+    rel = F.regexp_replace(F.element_at(F.split("path", F.lit("\\Q" + root + "/\\E"), 2), -1), r"\\", "/")
     f = f.withColumn("rel_path", rel).withColumn("ext", extension(F.col("rel_path")))
-    gate = ~F.col("rel_path").rlike(_in_dir(R.SKIPPED_DIRS)) & ~F.coalesce(F.col("ext"), F.lit("")).isin(*R.SKIPPED_EXTENSIONS) & (F.col("length") <= MAX_BYTES)
+    gate = F.col("length") <= MAX_BYTES
     f = f.where(gate).where(F.coalesce(F.col("ext"), F.lit("")).isin(*R.TEXT_EXTENSIONS) | ~F.contains(F.substring("content", 1, SNIFFED), F.lit(b"\x00")))
     f = f.where(F.is_valid_utf8(F.col("content").cast("string")))
     return f.select(F.lit(project).alias("project"), "rel_path", basename(F.col("rel_path")).alias("name"), "ext", F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content"))
@@ -79,6 +83,18 @@ def lines(files: DataFrame, keys: Sequence[str], text: str = "content") -> DataF
     return x.select(*keys, (F.col("p") + 1).alias("line_no"), F.regexp_replace("raw", "\r$", "").alias("line"))
 
 
+def before_tests(files: DataFrame, text: str = "content") -> DataFrame:
+    """`files` with the text up to the line that opens a module of tests (`#[cfg(test)]`)."""
+    return files.withColumn(text, F.when(F.contains(text, F.lit("#[cfg(test)]")), F.get(F.split(text, r"(?m)^[ \t]*#\[cfg\(test\)\]", 2), 0)).otherwise(F.col(text)))
+
+
+def warnings(files: DataFrame, verdict: str = "verdict") -> DataFrame:
+    """(project, rel_path, reason) for every file of gated() that isn't scanned because of its size or its bytes."""
+    size = F.concat(F.lit("larger than "), F.lit(MAX_BYTES).cast("string"), F.lit(" bytes"))
+    reason = F.when(F.col(verdict) == "size", size).when(F.col(verdict) == "binary", F.when(F.col("content").isNull(), "no text").otherwise("not a text"))
+    return files.select("project", "rel_path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def diff_added(diff_lines: DataFrame, by: str, order: str = "line_no", line: str = "line") -> DataFrame:
     """(by, order, file, text) of the added lines of unified diffs; the current file is carried down from its `diff --git` or +++ line."""
     from pyspark.sql import Window

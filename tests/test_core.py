@@ -133,7 +133,53 @@ def test_folder_is_gated_before_it_is_read(spark, tmp_path):
     for path, data in (("a/x.py", b"print(1)"), ("node_modules/y.js", b"1"), ("z.png", b"\x89"), ("raw.zzz", b"a\x00b"), ("bad.txt", b"\xff\xfe\xfa")):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
-    assert [(r.rel_path, r.content) for r in corpus.from_folder(spark, str(tmp_path)).collect()] == [("a/x.py", "print(1)")]
+    f = corpus.from_folder(spark, str(tmp_path))
+    assert [(r.rel_path, r.content) for r in f.collect()] == [("a/x.py", "print(1)")]
+    scan = f._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 3  # x.py, raw.zzz and bad.txt: the others are pruned before they are opened
+
+
+JUDGED = """import os, subprocess, shlex
+CMD = "ls"
+def a(request):
+    x = request.args.get("q")
+    n = int(x)
+    y = "v"
+    subprocess.run(["ls", "-l"])
+    subprocess.run(["ls", CMD])
+    subprocess.run(["ls", shlex.quote(x)])
+    subprocess.run(["ls", n])
+    subprocess.run(["ls", x])
+    subprocess.run(["ls", other])
+    os.system("ls")
+    os.system(CMD)
+    os.system("ls " + CMD)
+    os.system("ls " + x)
+    os.system("ls " + other)
+    cur.execute(f"SELECT a FROM t WHERE b = {n}")
+    cur.execute(f"SELECT a FROM t WHERE b = {x}")
+    cur.execute(f"SELECT a FROM t WHERE b = {other}")
+    subprocess.run("ls " + x, shell=True)
+"""
+
+
+def test_hits_are_judged_by_their_arguments(spark):
+    f = files(spark, ("a.py", JUDGED), ("b.rs", "fn a() {}\n#[cfg(test)]\nmod t { fn b() { Command(\"eval(\"); eval(x); } }"))
+    facts = code.facts(f)
+    edges, starts, _ = taint.flow_graph(facts)
+    hits = lexical.rule_hits(corpus.lines(corpus.before_tests(f), ["project", "rel_path"]), ["project", "rel_path"], [r for r in rules.CODE_RULES if r.rule_id in (*lexical.JUDGED, "VG-SAST-003")])
+    got = {(r.line_no, r.rule_id[3:]): (r.severity, r.confidence, r.source is not None) for r in lexical.judged(hits, facts, taint.reached_names(taint.reached(edges, starts))).collect()}
+    assert got == {
+        (11, "CMD-LIST"): ("HIGH", "HIGH", True), (12, "CMD-LIST"): ("HIGH", "MEDIUM", False),
+        (16, "SAST-002"): ("CRITICAL", "HIGH", True), (17, "SAST-002"): ("HIGH", "MEDIUM", False),
+        (19, "SAST-001"): ("HIGH", "HIGH", True), (20, "SAST-001"): ("HIGH", "MEDIUM", False),
+        (21, "SAST-002"): ("CRITICAL", "HIGH", True), (21, "SAST-008"): ("CRITICAL", "HIGH", True),
+    }
+
+
+def test_skipped_files_are_reported(spark):
+    f = corpus.gated(files(spark, ("a.py", "x"), ("b.bin2", "a\x00b"), ("c.py", None), ("vendor/d.py", "x")))
+    assert {(r.rel_path, r.reason) for r in corpus.warnings(f).collect()} == {("b.bin2", "not a text"), ("c.py", "no text")}
 
 
 def test_added_lines_of_a_diff(spark):
