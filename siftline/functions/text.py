@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,3 +68,9 @@ def mask(c: Column | str, keep: int = 8) -> Column:
     """The first `keep` characters and '****'; only '****' where there are not more."""
     c = _col(c)
     return F.when(F.length(c) > keep, F.concat(F.substring(c, 1, keep), F.lit("****"))).when(c.isNotNull(), F.lit("****"))
+
+
+def literal_map(pairs: Mapping[str, object]) -> Column:
+    """A map of literal texts to literal texts or whole numbers, made in one expression."""
+    of = lambda v: str(v) if isinstance(v, int) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{of(k)}, {of(v)}" for k, v in pairs.items()) + ")")

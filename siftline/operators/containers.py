@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.text import literal_map
 from siftline.sources.corpus import basename, lines
 
 # Ports, names and passwords of the rules.
@@ -70,7 +71,7 @@ def dockerfile_hits(files: DataFrame) -> DataFrame:
         F.when(~F.coalesce("checked", F.lit(False)), F.struct(F.lit("VG-DCK-004").alias("rule_id"), F.lit(1).alias("line_no"))),
     ))
     missing = whole.select("project", "rel_path", F.explode(absent).alias("h")).select("project", "rel_path", "h.line_no", "h.rule_id")
-    severity = F.create_map(*(F.lit(x) for kv in DOCKER_SEVERITY.items() for x in kv))
+    severity = literal_map(DOCKER_SEVERITY)
     return single.unionByName(missing).withColumn("severity", F.element_at(severity, F.col("rule_id")))
 
 
@@ -160,7 +161,7 @@ def compose_hits(svc: DataFrame) -> DataFrame:
     weak = env.where(F.col("k").rlike("(?i)pass") & F.lower("v").isin(*DEFAULT_PASSWORDS)).select(*keys, "line_no", "service", F.lower("v").alias("secret")).distinct()
     other = env.select(*keys, F.col("service").alias("user_of"), F.lower("v").alias("used"))
     shared = weak.join(other, keys).where((F.col("user_of") != F.col("service")) & F.contains("used", "secret")).select(*keys, "line_no", "service", F.lit("VG-DCK-020").alias("rule_id")).distinct()
-    severity = F.create_map(*(F.lit(x) for kv in DOCKER_SEVERITY.items() for x in kv))
+    severity = literal_map(DOCKER_SEVERITY)
     return alone.unionByName(beside).unionByName(shared).withColumn("severity", F.element_at(severity, F.col("rule_id")))
 
 

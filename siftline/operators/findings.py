@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.text import blank, digest
+from siftline.functions.text import blank, digest, literal_map
 from siftline.session import written
 from siftline.sources.corpus import basename
 
@@ -110,7 +110,7 @@ RETITLED = (
 def _any(c: Column, texts: Sequence[str]) -> Column:
     out = F.lit(False)
     for t in texts:
-        out = out | F.contains(c, F.lit(t))
+        out = out | c.contains(t)
     return out
 
 
@@ -142,7 +142,7 @@ def clean_severity(c: Column | str) -> Column:
 
 
 def severity_rank(severity: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SEVERITY_RANK.items() for x in kv)), severity), F.lit(0))
+    return F.coalesce(F.element_at(literal_map(SEVERITY_RANK), severity), F.lit(0))
 
 
 def clean_path(c: Column | str) -> Column:
@@ -298,7 +298,7 @@ def scored(findings: DataFrame) -> DataFrame:
     return findings.withColumn("score", s).withColumn("label", confidence_label(F.col("score")))
 
 
-def chains(findings: DataFrame) -> DataFrame:
+def chains(findings: DataFrame, kinds: bool = False) -> DataFrame:
     """One row for each chain of a project: (project, vuln_class, file, cwe, n, first_key, severity, score, label, cross_file, cross_function).
 
     Findings with both a source and a sink form one chain for each class if there are two or more, without a
@@ -332,7 +332,7 @@ def chains(findings: DataFrame) -> DataFrame:
     cross = F.col("first_kind") & (F.col("p1") != F.col("p2"))
     score = F.least(F.lit(100), F.col("mean") + F.when(cross, 10).otherwise(0))
     names = F.create_map(*(F.lit(x) for k, v in SEVERITY_RANK.items() for x in (v, k)))
-    return g.select("project", "vuln_class", "file", "cwe", "n", "first_key", F.element_at(names, F.col("rank")).alias("severity"), score.alias("score"), confidence_label(score).alias("label"), cross.alias("cross_file"), "cross_function")
+    return g.select("project", "vuln_class", "file", "cwe", "n", "first_key", F.element_at(names, F.col("rank")).alias("severity"), score.alias("score"), confidence_label(score).alias("label"), cross.alias("cross_file"), "cross_function", *(["first_kind"] if kinds else []))
 
 
 def scope(findings: DataFrame) -> DataFrame:
@@ -402,3 +402,13 @@ def chain_members(findings: DataFrame) -> DataFrame:
 def changed_only(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """The findings in the files (project, rel_path) that a push changes."""
     return findings.withColumn("rel_path", clean_path("file")).join(changed.select("project", "rel_path").distinct(), ["project", "rel_path"], "left_semi").drop("rel_path")
+
+
+def ranked_chains(findings: DataFrame) -> DataFrame:
+    """chains() with chain_id and rationale; within a project the highest score comes first, then class, file and first finding. chain_id counts from 1."""
+    w = Window.partitionBy("project").orderBy(F.desc("score"), "vuln_class", F.coalesce("file", F.lit("")), F.col("file").isNotNull(), "first_key")
+    c = chains(findings, kinds=True).withColumn("chain_id", F.concat(F.lit("CHAIN-"), F.lpad(F.row_number().over(w).cast("string"), 6, "0")))
+    n = F.col("n").cast("string")
+    traced = F.concat(n, F.lit(" related findings with confirmed taint provenance"), F.when(F.col("cross_file"), " in several files.").otherwise(" in one file."))
+    alone = F.concat(n, F.lit(" related finding(s) for "), "vuln_class", F.lit(" in the same file scope."))
+    return c.withColumn("rationale", F.when(F.col("first_kind"), traced).otherwise(alone)).drop("first_kind")

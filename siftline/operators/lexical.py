@@ -15,14 +15,14 @@ from siftline.operators import semantic, taint
 def _harmless(rule_id: str, low: Column) -> Column:
     out = F.lit(False)
     for s in R.HARMLESS.get(rule_id, ()):
-        out = out | F.contains(low, F.lit(s))
+        out = out | low.contains(s)
     return out
 
 
 def _holds_one(low: Column, texts: Sequence[str]) -> Column:
     out = F.lit(not texts)
     for t in texts:
-        out = out | F.contains(low, F.lit(t))
+        out = out | low.contains(t)
     return out
 
 
@@ -47,7 +47,7 @@ def rule_hits(lines: DataFrame, keys: Sequence[str], rules: Sequence[R.Rule] = R
             literal = F.trim(arg).rlike(r"""^(?:b?"[^"]*"|b?'[^']*'|-?[0-9]+)$""")
             reached = F.lit(False)
             for w in R.ATTACKER_WORDS:
-                reached = reached | F.contains(line, F.lit(w))
+                reached = reached | line.contains(w)
             severity = F.when(literal, "LOW").when(reached, "CRITICAL").otherwise("HIGH")
             confidence = F.when(literal, "LOW").otherwise("HIGH")
         meta = F.struct(F.lit(r.rule_id).alias("rule_id"), severity.alias("severity"), confidence.alias("confidence"), F.lit(r.cwe).alias("cwe"), F.lit(r.title).alias("title"), F.lit(r.category).alias("category"))

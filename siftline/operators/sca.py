@@ -137,16 +137,26 @@ def dep_findings(found: DataFrame, advisories: DataFrame, keep: tuple[str, ...]
     )
 
 
-def cache_lookup(wanted: DataFrame, cache: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+def cache_saved(cache: DataFrame, results: DataFrame) -> DataFrame:
+    """The cache (eco, pkg, version, cached_at, ...) after `results` were saved: of each identity the latest row of `results`, else of `cache`; ties go to the largest row."""
+    cols = cache.columns
+    both = cache.withColumn("_new", F.lit(0)).unionByName(results.select(cols).withColumn("_new", F.lit(1)))
+    ident = ["eco", "pkg", "version"]
+    rest = [c for c in cols if c not in (*ident, "cached_at")]
+    last = both.groupBy(*ident).agg(F.max(F.struct("_new", "cached_at", *rest)).alias("w"))
+    return last.select(*(c if c in ident else F.col(f"w.{c}").alias(c) for c in cols))
+
+
+def cache_lookup(wanted: DataFrame, cache: DataFrame, as_of: str, hours: int = 24, offline: bool = False) -> DataFrame:
     """(eco, pkg, version, cache_key, state): fresh, stale or missing, by the latest cached row of each identity.
 
-    The key is the first 24 hexadecimal digits of the identity's SHA-256.
+    Offline, whatever is cached is fresh. A stale row may be used where the service can't be reached. The key is the first 24 hexadecimal digits of the identity's SHA-256.
     """
     ident = F.concat_ws(":", "eco", "pkg", "version")
     last = cache.groupBy("eco", "pkg", "version").agg(F.max("cached_at").alias("cached_at"))
     j = wanted.select("eco", "pkg", "version").distinct().join(last, ["eco", "pkg", "version"], "left")
     age = F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(hours=F.lit(hours))
-    state = F.when(F.col("cached_at").isNull(), "missing").when(F.col("cached_at") > age, "fresh").otherwise("stale")
+    state = F.when(F.col("cached_at").isNull(), "missing").when((F.col("cached_at") > age) | F.lit(offline), "fresh").otherwise("stale")
     return j.select("eco", "pkg", "version", F.substring(F.sha2(ident, 256), 1, 24).alias("cache_key"), state.alias("state"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.text import literal_map
 from siftline.operators import taint
 from siftline.operators.findings import confidence_label
 
@@ -108,7 +109,7 @@ def semantic_hits(facts: DataFrame) -> DataFrame:
         .when((F.col("kind") == "path") & open_ & ~F.coalesce("path_guard", F.lit(False)), path)
     )
     names = {"sql": ("VG-SQL-001", "CWE-89"), "command": ("VG-CMD-001", "CWE-78"), "ssrf": ("VG-SSRF-001", "CWE-918"), "path": ("VG-PATH-001", "CWE-22")}
-    of = lambda i: F.element_at(F.create_map(*(F.lit(v) for k, n in names.items() for v in (k, n[i]))), F.col("kind"))
+    of = lambda i: F.element_at(literal_map({k: n[i] for k, n in names.items()}), F.col("kind"))
     x = j.withColumn("v", verdict).where("v IS NOT NULL")
     return x.select("project", "rel_path", "func", "line", of(0).alias("rule_id"), of(1).alias("cwe"), F.col("v.s").alias("severity"), F.col("v.c").alias("confidence"), "callee").distinct()
 

@@ -13,6 +13,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.text import literal_map
 from siftline.operators.graph import call_edges
 from siftline.session import written
 
@@ -56,7 +57,7 @@ RULES = {
 
 
 def _any(c: Column, texts: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(t)) for t in texts))
+    return reduce(lambda a, b: a | b, (c.contains(t) for t in texts))
 
 
 def is_source(expr: Column) -> Column:
@@ -88,7 +89,7 @@ def cleared(expr: Column) -> Column:
 
 
 def kind_bit(kind: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, 1 << i))), kind)
+    return F.element_at(literal_map({k: 1 << i for i, k in enumerate(KINDS)}), kind)
 
 
 def names_of(expr: Column) -> Column:
@@ -165,12 +166,12 @@ def flows(facts: DataFrame, graph: tuple[DataFrame, DataFrame, DataFrame] | None
     """
     edges, starts, ends = flow_graph(facts) if graph is None else graph
     if seen is None:
-        starts = written(starts, "starts")
-        seen = reached(edges, starts)
+        starts, ends = written(starts, "starts"), written(ends, "ends")
+        seen = reached(edges.where("false") if ends.isEmpty() else edges, starts)  # nothing to be reached, no way to be gone
     hit = seen.join(ends, ["project", "node"]).where(F.col("kinds").bitwiseAND(F.lit(ALL) - F.col("clears")).bitwiseAND(kind_bit(F.col("kind"))) > 0)
     src = starts.select("project", origin_of().alias("origin"), "source", F.col("file").alias("source_file"), F.col("line").alias("source_line")).distinct()
     x = hit.groupBy("project", "origin", "kind", F.col("callee").alias("sink"), F.col("file").alias("sink_file"), F.col("line").alias("sink_line")).agg(F.min("steps").alias("steps")).join(src, ["project", "origin"])
-    rule = lambda i: F.element_at(F.create_map(*(F.lit(v) for k, r in RULES.items() for v in (k, r[i]))), F.col("kind"))
+    rule = lambda i: F.element_at(literal_map({k: r[i] for k, r in RULES.items()}), F.col("kind"))
     severity = F.when(F.col("source_file") != F.col("sink_file"), "CRITICAL").otherwise("HIGH")
     return x.select("project", rule(0).alias("rule_id"), rule(1).alias("cwe"), "kind", severity.alias("severity"), "source", "source_file", "source_line", "sink", "sink_file", "sink_line", "steps")
 

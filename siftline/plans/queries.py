@@ -118,6 +118,10 @@ def cor_chains(spark: SparkSession, folder: str) -> DataFrame:
     return findings.chains(table(spark, folder, "findings"))
 
 
+def cor_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return findings.ranked_chains(table(spark, folder, "findings")).select("project", "chain_id", "vuln_class", "file", "score", "rationale")
+
+
 def cor_members(spark: SparkSession, folder: str) -> DataFrame:
     return findings.chain_members(table(spark, folder, "findings"))
 
@@ -192,6 +196,15 @@ def sca_cache(spark: SparkSession, folder: str) -> DataFrame:
     return sca.cache_lookup(rows, cache, AS_OF, hours=24 * 60)
 
 
+def sca_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """What was seen of each dependency up to a day, as the cache, after what was seen later is saved."""
+    d = table(spark, folder, "deps").where("version IS NOT NULL AND seen_at IS NOT NULL")
+    eco, pkg = sca.package_key("ecosystem", "name")
+    rows = d.select(eco.alias("eco"), pkg.alias("pkg"), F.trim("version").alias("version"), F.col("seen_at").alias("cached_at"), "source_file")
+    late = F.col("cached_at") >= F.lit("2026-07-01").cast("timestamp")
+    return sca.cache_saved(rows.where(~late), rows.where(late))
+
+
 def cfg_entries(spark: SparkSession, folder: str) -> DataFrame:
     return configs.flat_entries(table(spark, folder, "source_files")).select(*FILE, "line_no", "format", "section", "key", "value")
 
@@ -330,6 +343,17 @@ def osv_records(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("raw_id", "vuln_pos", "affected_pos", "id", "package", "ecosystem", F.array_join("fixed_versions", ",").alias("fixed_versions"), "n_ranges")
 
 
+def osv_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    r = baseline.advisory_ratings(table(spark, folder, "advisory_raw"))
+    return r.select("raw_id", "vuln_pos", "severity", F.array_join("cwes", ",").alias("cwes"), "cvss")
+
+
+def rep_document(spark: SparkSession, folder: str) -> DataFrame:
+    """How many lines each part of the SARIF document has, and how many of them follow a comma."""
+    x = reports.sarif_document(table(spark, folder, "findings"))
+    return x.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.startswith("text", F.lit(",")).cast("int")).cast("bigint").alias("commas"))
+
+
 def rep_results(spark: SparkSession, folder: str) -> DataFrame:
     return reports.sarif_results(table(spark, folder, "findings"))
 
@@ -362,11 +386,11 @@ def scn_scores(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = [
         p4_found, p4_shapes, src_files, src_lines, lex_code_hits, lex_secret_hits, lex_document_hits, lex_evidence_hits, lex_webhooks, flt_masked,
-        fnd_canonical, ddp_exact, ddp_merged, ddp_wide, dif_secrets, git_tracked, cnf_scores, cor_chains, cor_members, cor_scope, flt_ignored, flt_changed, sup_active, rsk_projects, cat_rollup,
-        sca_matches, sca_distinct, sca_severity, sca_best_fix, sca_upsert, sca_stats, sca_top, sca_findings, sca_cache,
+        fnd_canonical, ddp_exact, ddp_merged, ddp_wide, dif_secrets, git_tracked, cnf_scores, cor_chains, cor_ranked, cor_members, cor_scope, flt_ignored, flt_changed, sup_active, rsk_projects, cat_rollup,
+        sca_matches, sca_distinct, sca_severity, sca_best_fix, sca_upsert, sca_stats, sca_top, sca_findings, sca_cache, sca_saved,
         cfg_entries, cfg_nested, cfg_hits, cfg_flat_hits, cfg_env_ignored, dck_instructions, dck_hits, dck_services, dck_compose, dck_context,
         ast_functions, ast_facts, sem_imports, sem_calls, sem_paths, grf_levels, tnt_flows, tnt_kinds, fwk_routes, fwk_detected,
-        dep_manifests, osv_records, rep_results, rep_rules, rep_html, str_days, str_sessions,
+        dep_manifests, osv_records, osv_ratings, rep_document, rep_results, rep_rules, rep_html, str_days, str_sessions,
         tnt_tiers, rul_hits, rul_markup, sec_scores, ben_labels, rsk_levels, ldf_scopes, scn_findings, scn_scores,
     ]
     levels = {

@@ -221,6 +221,12 @@ g AS (SELECT project, vuln_class, cwe, first_kind, CASE WHEN NOT first_kind THEN
 SELECT project, vuln_class, file, cwe, n, first_key, CASE rank {" ".join(f"WHEN {v} THEN {quoted(k)}" for k, v in findings.SEVERITY_RANK.items())} END AS severity, score, {_LABEL.format("score")} AS label, cross_file, cross_function
 FROM (SELECT *, first_kind AND many AS cross_file, least(100, mean + CASE WHEN first_kind AND many THEN 10 ELSE 0 END) AS score FROM g)
 """
+_TRACED = COR_CHAINS.replace("SELECT project, vuln_class, file, cwe,", "SELECT project, vuln_class, file, first_kind, cwe,")
+COR_RANKED = f"""
+SELECT project, 'CHAIN-' || lpad(CAST(row_number() OVER (PARTITION BY project ORDER BY score DESC, vuln_class, coalesce(file, ''), file IS NOT NULL, first_key) AS VARCHAR), 6, '0') AS chain_id, vuln_class, file, score,
+  n || CASE WHEN first_kind THEN ' related findings with confirmed taint provenance' || CASE WHEN cross_file THEN ' in several files.' ELSE ' in one file.' END ELSE ' related finding(s) for ' || vuln_class || ' in the same file scope.' END AS rationale
+FROM ({_TRACED})
+"""
 COR_MEMBERS = f"""
 WITH f AS (SELECT project, {class_of(findings.CHAIN_CLASSES, "name", _CR, _T, "''")} AS vuln_class, regexp_extract(file, '[^/]*$') AS name, finding_key, source IS NOT NULL AND sink IS NOT NULL AS traced FROM findings)
 SELECT project, vuln_class, CASE WHEN NOT (traced AND sum(traced::INT) OVER (PARTITION BY project, vuln_class) > 1) THEN name END AS file, finding_key FROM f
@@ -327,6 +333,22 @@ SELECT eco, pkg, version, left(sha256(eco || ':' || pkg || ':' || version), 24)
 """
 
 
+SCA_SAVED = f"""
+WITH r AS (SELECT {_ECO.format("")} AS eco, {_PKG.format("")} AS pkg, trim(version, ' ') AS version, seen_at AS cached_at, source_file FROM deps WHERE version IS NOT NULL AND seen_at IS NOT NULL)
+SELECT eco, pkg, version, max(cached_at) AS cached_at, arg_max(source_file, (cached_at, source_file)) AS source_file FROM r GROUP BY 1, 2, 3
+"""
+OSV_RATINGS = _DOCUMENTS + f"""
+SELECT raw_id, vuln_pos, upper(coalesce(nullif({_text(_of("d", "severity"))}, ''), 'MEDIUM')) AS severity,
+  coalesce((SELECT string_agg({_text("t.x")}, ',' ORDER BY t.pos) FROM {_items(_of("d", "cwe"))} t), '') AS cwes,
+  coalesce((SELECT arg_min({_text(_of("t.x", "score"))}, t.pos) FROM {_items(_of("x", "severity"))} t WHERE contains(upper({_text(_of("t.x", "type"))}), 'CVSS')), '') AS cvss
+FROM (SELECT raw_id, vuln_pos, x, {_of("x", "database_specific")} AS d FROM v)
+"""
+REP_DOCUMENT = """
+WITH r AS (SELECT count(*) AS n FROM findings), u AS (SELECT count(DISTINCT coalesce(rule_id, id, chr(0))) AS n FROM findings)
+SELECT part, n, greatest(0, n - 1) * (part IN (1, 3))::INT AS commas FROM (SELECT 0 AS part, 1 AS n UNION ALL SELECT 1, n FROM u UNION ALL SELECT 2, 1 UNION ALL SELECT 3, n FROM r UNION ALL SELECT 4, 1)
+"""
+
+
 def statements() -> dict[str, str]:
     from siftline.plans import sql_code, sql_files
 
@@ -334,6 +356,6 @@ def statements() -> dict[str, str]:
         "p4_found": P4_FOUND, "p4_vulnerabilities": P4_VULNERABILITIES, "p4_affected": P4_AFFECTED, "p4_ranges": P4_RANGES, "p4_shapes": P4_SHAPES,
         "src_files": SRC_FILES, "src_lines": SRC_LINES,
         "lex_code_hits": LEX_CODE, "lex_secret_hits": LEX_SECRET, "lex_document_hits": LEX_DOCUMENTS, "lex_evidence_hits": LEX_EVIDENCE, "lex_webhooks": LEX_WEBHOOKS, "flt_masked": FLT_MASKED,
-        "fnd_canonical": FND_CANONICAL, "ddp_exact": DDP_EXACT, "ddp_merged": DDP_MERGED, "ddp_wide": DDP_WIDE, "dif_secrets": DIF_SECRETS, "git_tracked": GIT_TRACKED, "cnf_scores": CNF_SCORES, "cor_chains": COR_CHAINS, "cor_members": COR_MEMBERS, "flt_ignored": FLT_IGNORED, "flt_changed": FLT_CHANGED, "cor_scope": COR_SCOPE, "sup_active": SUP_ACTIVE, "rsk_projects": RSK_PROJECTS, "cat_rollup": CAT_ROLLUP,
-        "sca_matches": SCA_MATCHES, "sca_distinct": SCA_DISTINCT, "sca_severity": SCA_SEVERITY, "sca_best_fix": SCA_BEST_FIX, "sca_upsert": SCA_UPSERT, "sca_stats": SCA_STATS, "sca_top": SCA_TOP, "sca_findings": SCA_FINDINGS, "sca_cache": SCA_CACHE,
+        "fnd_canonical": FND_CANONICAL, "ddp_exact": DDP_EXACT, "ddp_merged": DDP_MERGED, "ddp_wide": DDP_WIDE, "dif_secrets": DIF_SECRETS, "git_tracked": GIT_TRACKED, "cnf_scores": CNF_SCORES, "cor_chains": COR_CHAINS, "cor_ranked": COR_RANKED, "cor_members": COR_MEMBERS, "flt_ignored": FLT_IGNORED, "flt_changed": FLT_CHANGED, "cor_scope": COR_SCOPE, "sup_active": SUP_ACTIVE, "rsk_projects": RSK_PROJECTS, "cat_rollup": CAT_ROLLUP,
+        "sca_matches": SCA_MATCHES, "sca_distinct": SCA_DISTINCT, "sca_severity": SCA_SEVERITY, "sca_best_fix": SCA_BEST_FIX, "sca_upsert": SCA_UPSERT, "sca_stats": SCA_STATS, "sca_top": SCA_TOP, "sca_findings": SCA_FINDINGS, "sca_cache": SCA_CACHE, "sca_saved": SCA_SAVED, "osv_ratings": OSV_RATINGS, "rep_document": REP_DOCUMENT,
     }

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -74,3 +78,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(tasks: Sequence[Callable[[], T]]) -> list[T]:
+    """The results of tasks that don't depend on each other: their plans are made, and their jobs run, at the same time."""
+    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
+        return list(pool.map(lambda task: task(), tasks))

@@ -49,6 +49,31 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return first.select("rule", F.col("f.title").alias("name"), sarif_level(clean_severity("f.severity")).alias("level"), F.array_join(tags, ",").alias("tags"), uri.alias("help_uri"))
 
 
+def sarif_document(findings: DataFrame) -> DataFrame:
+    """(part, key, text): the lines of one SARIF 2.1.0 document, in the order of part and key: head, rules, results and foot.
+
+    Every rule and every result is a line of its own, so that the document is written by all tasks: sorted, the
+    part files one after the other are the document.
+    """
+    spark = findings.sparkSession
+    rule = F.struct(F.col("rule").alias("id"), "name", F.struct("level").alias("defaultConfiguration"), F.nullif("help_uri", F.lit("")).alias("helpUri"), F.struct(F.split("tags", ",").alias("tags")).alias("properties"))
+    rules = sarif_rules(findings).select(F.lit(1).alias("part"), F.coalesce("rule", F.lit("")).alias("key"), F.to_json(rule).alias("text"))
+    results = sarif_results(findings).select(F.lit(3).alias("part"), F.lpad("finding_key", 20, "0").alias("key"), F.col("result").alias("text"))
+    lines = rules.unionAll(results)
+    first = lines.groupBy("part").agg(F.min(F.struct("key", "text")).alias("f"))  # no comma before the first of each list
+    lines = lines.join(F.broadcast(first), "part")  # two rows
+    lines = lines.select("part", "key", F.when(F.struct("key", "text") == F.col("f"), F.col("text")).otherwise(F.concat(F.lit(","), "text")).alias("text"))
+    frame = spark.createDataFrame(
+        [
+            (0, "", '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "siftline", "rules": ['),
+            (2, "", ']}}, "results": ['),
+            (4, "", "]}]}"),
+        ],
+        "part int, key string, text string",
+    )
+    return frame.unionAll(lines)
+
+
 def html_rows(findings: DataFrame) -> DataFrame:
     """(finding_key, row): each finding as an escaped row of an HTML table."""
     def esc(c: str) -> Column:
@@ -62,8 +87,9 @@ def html_rows(findings: DataFrame) -> DataFrame:
 
 
 def write_report(findings: DataFrame, path: str) -> None:
-    """Findings as partitioned Parquet and as JSON lines, SARIF results and HTML rows as text, each written by all tasks."""
+    """Findings as partitioned Parquet and as JSON lines, SARIF results, a SARIF document in parts and HTML rows as text, each written by all tasks."""
     findings.write.mode("overwrite").partitionBy("category").parquet(f"{path}/findings")
     findings.write.mode("overwrite").json(f"{path}/json")
     sarif_results(findings).select("result").write.mode("overwrite").text(f"{path}/sarif")
+    sarif_document(findings).orderBy("part", "key", "text").select("text").write.mode("overwrite").text(f"{path}/sarif-document")
     html_rows(findings).select("row").write.mode("overwrite").text(f"{path}/html")

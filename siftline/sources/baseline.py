@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions.documents import as_list, as_object, member, plain_json, text_of
+from siftline.functions.documents import as_array, as_list, as_object, member, plain_json, text_of
 from siftline.operators.nested import classified, flat_tables
 from siftline.session import written
 
@@ -72,6 +72,22 @@ def advisory_records(raw: DataFrame) -> DataFrame:
     return a.select(*keys, "id", "package", "ecosystem", "summary", "aliases", F.coalesce("fixed_versions", F.array().cast("array<string>")).alias("fixed_versions"), F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"))
 
 
+def advisory_ratings(raw: DataFrame) -> DataFrame:
+    """(raw_id, vuln_pos, severity, cwes, cvss): what each vulnerability of the documents says of its weight.
+
+    severity is that of database_specific in upper case, MEDIUM without one; cwes are its texts; cvss is the
+    score of the first entry of severity whose type speaks of CVSS, '' without one.
+    """
+    v = raw.select("raw_id", F.try_parse_json(plain_json("payload")).alias("v")).withColumn("w", member(F.col("v"), "vulns"))
+    wrapped = as_array(F.col("w")).isNotNull() | as_object(F.col("w")).isNotNull()
+    x = v.select("raw_id", F.posexplode_outer(as_list(F.when(wrapped, F.col("w")).otherwise(F.col("v")))).alias("vuln_pos", "x")).where("vuln_pos IS NOT NULL")
+    own = member(F.col("x"), "database_specific")
+    texts = F.array_compact(F.transform(as_list(member(own, "cwe")), text_of))
+    rated = F.filter(F.transform(as_list(member(F.col("x"), "severity")), lambda e: F.struct(text_of(member(e, "type")).alias("type"), text_of(member(e, "score")).alias("score"))), lambda e: F.upper(e["type"]).contains("CVSS"))
+    severity = F.upper(F.coalesce(F.nullif(text_of(member(own, "severity")), F.lit("")), F.lit("MEDIUM")))
+    return x.select("raw_id", "vuln_pos", severity.alias("severity"), texts.alias("cwes"), F.coalesce(F.get(rated, 0)["score"], F.lit("")).alias("cvss"))
+
+
 def from_json_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(raw_id, payload) of every JSON file below a folder; raw_id is made from the path."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)

@@ -37,7 +37,7 @@ def first_seen(stream: DataFrame, key: str, at: str, within: str = "60 days") ->
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
     """What a stream gives once all of its present input is read: each micro-batch's result is written to the shared folder and read back.
 
     append: all rows. update: the last row of each of `keys`; only what has changed is written, and state that the

@@ -411,6 +411,11 @@ def test_reports(spark, tmp_path):
     assert "<script>" not in reports.html_rows(f).first().row
     reports.write_report(f, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r/findings")).count() == 2 and spark.read.text(str(tmp_path / "r/sarif")).count() == 2
+    parts = sorted((tmp_path / "r/sarif-document").glob("part-*.txt"))
+    d = json.loads("".join(x.read_text() for x in parts))["runs"][0]
+    assert [x["ruleId"] for x in d["results"]] == ["R", "R"] and [x["id"] for x in d["tool"]["driver"]["rules"]] == ["R"]
+    nothing = reports.sarif_document(f.limit(0)).orderBy("part", "key", "text").collect()
+    assert json.loads("".join(x.text for x in nothing))["runs"][0]["results"] == []
 
 
 def test_nested_documents(spark):

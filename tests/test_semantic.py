@@ -95,6 +95,9 @@ def test_cache_states(spark):
     want = spark.createDataFrame([("npm", p, "1") for p in "abc"], "eco string, pkg string, version string")
     got = {r.pkg: (r.state, len(r.cache_key)) for r in sca.cache_lookup(want, cache, "2026-01-02").collect()}
     assert got == {"a": ("fresh", 24), "b": ("stale", 24), "c": ("missing", 24)}
+    assert {r.pkg: r.state for r in sca.cache_lookup(want, cache, "2026-01-02", offline=True).collect()} == {"a": "fresh", "b": "fresh", "c": "missing"}
+    saved = sca.cache_saved(cache, want.where("pkg <> 'a'").withColumn("cached_at", F.to_timestamp(F.lit("2026-01-02"))))
+    assert {r.pkg: r.state for r in sca.cache_lookup(want, saved, "2026-01-02").collect()} == {"a": "fresh", "b": "fresh", "c": "fresh"} and saved.count() == 3
 
 
 def test_streams(spark, tmp_path):
@@ -103,6 +106,8 @@ def test_streams(spark, tmp_path):
     s = lambda: streams.stream_table(spark, str(tmp_path), "t", files=2)
     assert streams.drained(streams.first_seen(s(), "k", "at"), "first", "append").count() == 3
     assert {r.n for r in streams.drained(streams.windowed_counts(s(), "at", "k", "6 hours"), "win").collect()} == {2}
+    whole = {tuple(r) for r in streams.drained(streams.windowed_counts(s(), "at", "k", "6 hours"), "win").collect()}
+    assert {tuple(r) for r in streams.drained(streams.windowed_counts(s(), "at", "k", "6 hours"), "upd", "update", ("window_start", "k")).collect()} == whole
     seen = []
     streams.each_batch(s(), "each", lambda df, no: seen.append(df.count()))
     assert sum(seen) == 30 and len(seen) > 1
