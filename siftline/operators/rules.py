@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 _B, _E = r"(?:^|[^A-Za-z0-9_])", r"(?:[^A-Za-z0-9_]|$)"
 _L, _R = r"(?:.*[^A-Za-z0-9_])?", r"(?:[^A-Za-z0-9_].*)?"  # anything, with a boundary before or after it
-_SQL = r"(?:SELECT\s+[\s\S]+?\s+FROM|INSERT\s+INTO|UPDATE\s+\w+\s+SET|DELETE\s+FROM"
+_SQL = r"(?:SELECT\s+[\s\S]+?\s+FROM|INSERT\s+INTO|UPDATE\s+\w+\s+SET|DELETE\s+FROM)"
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Rule:
 # Identifiers, titles, severities, weaknesses and patterns of the rules.
 CODE_RULES = (
     Rule("VG-SAST-001", "Potential SQL Injection", "sourcecode", "HIGH", "CWE-89",
-         rf"""(?i)(?:f["']{_L}{_SQL}|DROP\s+TABLE|UNION\s+(?:ALL\s+)?SELECT){_R}\{{|["']{_L}{_SQL}){_R}["']\s*\+|query.*\+.*request|execute\(["'].*?["']\s*%\s*|execute\(["'].*\{{\}}.*\.format|execute\(f["']|{_B}fmt\.Sprintf\(["']{_L}{_SQL}){_E}|`{_L}{_SQL}){_R}\$\{{)"""),
+         rf"""(?i)(?:f["']{_L}(?:{_SQL}|DROP\s+TABLE|UNION\s+(?:ALL\s+)?SELECT){_R}\{{|["']{_L}{_SQL}{_R}["']\s*\+|query.*\+.*request|execute\(["'].*?["']\s*%\s*|execute\(["'].*\{{\}}.*\.format|execute\(f["']|{_B}fmt\.Sprintf\(["']{_L}{_SQL}{_E}|`{_L}{_SQL}{_R}\$\{{)"""),
     Rule("VG-SAST-002", "Potential OS Command Injection", "sourcecode", "HIGH", "CWE-78",
          r"(?i)(?:exec\.Command\(|os\.system\(|os\.popen\(|subprocess\.(?:call|check_output|run|Popen)\(|child_process\.(?:exec|spawn)\(|Runtime\.getRuntime\(\)\.exec\()"),
     Rule("VG-SAST-003", "Dangerous Eval", "sourcecode", "HIGH", "CWE-95", rf"(?i){_B}(?:eval\(|Function\(|exec\()"),
