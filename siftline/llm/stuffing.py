@@ -136,13 +136,22 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>[^<]*</a>|https?://[^\s|,<>\"')\]]+|www\.\S+")
 _CODE = re.compile(r"^#!|\"|[\[\]]|^\s*(?:fi|done|esac|else|end|then|pass)\s*$|^\s*\w+ -\w|[{}=<>_$\\]|;\s*$|\s/\w|\s--\w|^[A-Z]+\s\d+$|\w\(|\)\s*$|^\s*(?://|--|\*\s|/\*)|[a-z][A-Z]|:\s*$|\w/\w|^\s*-\s\w+$")
 _HEADING = re.compile(r"^#{1,6}\s")
-_SENTENCE_END = re.compile(r"[.?!:]\W*(?:\(#\d+\))?\s*$")
+_NUMBER = re.compile(r"\(#[0-9]+\)\Z")
+
+
+def ends(text: str) -> bool:
+    """Whether a mark that ends sentences stands after the last word, a number in brackets aside."""
+    text = _NUMBER.sub("", text.rstrip())
+    at = len(text)
+    while at and not (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    return any(c in ".?!:" for c in text[at:])
 
 
 def is_sentence(text: str, common: frozenset[str]) -> bool:
     """At least six words, two fifths of them common ones, and an end."""
     w = _WORD.findall(text.lower())
-    return len(w) >= 6 and 5 * sum(x in common for x in w) >= 2 * len(w) and bool(_SENTENCE_END.search(text[-200:]))
+    return len(w) >= 6 and 5 * sum(x in common for x in w) >= 2 * len(w) and ends(text)
 
 
 def _kind(line: str, common: frozenset[str]) -> str:
@@ -164,17 +173,20 @@ def stuffed_share(text: str, common: frozenset[str]) -> float:
     """The share of a text's characters, blank lines aside, in lines that are links, tags or keywords.
 
     A line of plain words is one of keywords if its paragraph has no sentence, little code and at least eight
-    such words; headings and captions are shorter.
+    such words; headings and captions are shorter. What stands between two fences is code; a fence that none
+    follows opens nothing.
     """
     stuffed = total = 0
-    fenced = False
+    fenced, marks = False, sum(x.strip().startswith("```") for x in text.split("\n"))
+    pairs = marks - marks % 2
     for paragraph in re.split(r"\n\s*\n", text):
         lines = [x.strip("\r") for x in paragraph.split("\n") if x.strip()]
         kinds = []
         for line in lines:
             mark = line.strip().startswith("```")
             kinds.append("code" if mark or fenced else _kind(line, common))
-            fenced ^= mark
+            fenced ^= mark and pairs > 0
+            pairs -= mark
         code = kinds.count("code")
         code += kinds.count("heading") if code else 0
         words = sum(len(_WORD.findall(x)) for x, k in zip(lines, kinds, strict=True) if k == "words")

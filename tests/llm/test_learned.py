@@ -274,3 +274,12 @@ def test_curve_of_known_counts(spark):
     assert r.slope == pytest.approx(slope) and r.residual == pytest.approx(np.sqrt(((y - slope * x - cut) ** 2).mean()))
     assert r.divergence == pytest.approx(u * np.log(u / 0.01) + (1 - u) * np.log((1 - u) / 0.99))
     assert stuffing.curves(rows.withColumn("lang", F.lit("?")), model).first().divergence == pytest.approx(np.log(1 / 15 / 0.01) / 15 + 14 / 15 * np.log(14 / 15 / 0.99))
+
+
+def test_fences_and_ends():
+    common = frozenset("it took us to the and a of on".split())
+    links = "\n".join(f"[scanner](http://x.test/{i})" for i in range(20))
+    assert stuffing.stuffed_share(f"```\n{links}\n```", common) == 0  # what is fenced is code
+    assert stuffing.stuffed_share(f"x = 1\n```\n{links}", common) > 0.9  # a fence that none follows
+    assert stuffing.stuffed_share(f"```\na = 1\n```\n{links}\n```\n", common) > 0.9
+    assert [stuffing.ends(x) for x in ("Done.", "done (#12)", "Done. (#12)", 'Done!" ) ', "so:", "a.b", "", "." + " " * 5000)] == [True, False, True, True, True, False, False, True]
