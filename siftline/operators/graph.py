@@ -92,7 +92,12 @@ def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
         front = written(new.join(seen, ["project", "node"], "left_anti"), "level")
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front)
+        seen = gathered(seen.unionByName(front), k)
+
+
+def gathered(parts: DataFrame, k: int, most: int = 16) -> DataFrame:
+    """The table that `parts` of rounds make up, written as one after each `most` of them, so that plans stay small."""
+    return parts if k % most else written(parts, "gathered")
 
 
 def flow_edges(findings: DataFrame) -> DataFrame:

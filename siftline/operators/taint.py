@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import literal_map
-from siftline.operators.graph import call_edges
+from siftline.operators.graph import call_edges, gathered
 from siftline.session import written
 
 # The kinds, the words of sources, sinks and sanitizers.
@@ -136,8 +136,8 @@ def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(project, origin, node, kinds, steps): every variable that a source reaches, with the kinds that are still tainted there.
 
     `edges` and `starts` are those of flow_graph(). A round sends on only what it reached anew, by origin, node
-    and remaining kinds; these are finite, so the rounds end by themselves. Each round is written once, and read
-    as one table with those before it.
+    and remaining kinds; these are finite, so the rounds end by themselves. Each round is written, and read as one
+    table with those before it.
     """
     seen = front = written(starts.select("project", origin_of().alias("origin"), "node", F.lit(ALL).alias("kinds"), F.lit(0).alias("steps")).distinct(), "reached")
     if front.isEmpty():
@@ -148,7 +148,7 @@ def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
         front = written(step.where("kinds > 0").distinct().join(seen, ["project", "origin", "node", "kinds"], "left_anti"), "reached")
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front)
+        seen = gathered(seen.unionByName(front), k)
 
 
 def reached_names(seen: DataFrame) -> DataFrame:

@@ -294,6 +294,19 @@ def test_call_paths_begin_at_sources_and_in_rings(spark):
     assert paths(line, node("n10")) == set() and paths(line, node("n8")) == {">".join(f"n{i}" for i in range(9))}
 
 
+def test_levels_end_where_nothing_new_is_reached(spark):
+    rows = [("p", f"n{i}", f"n{i + 1}") for i in range(18)] + [("p", "n18", "n7"), ("q", "n0", "x")]  # eighteen steps, and a ring
+    lv = {r.node: r.depth for r in graph.levels(spark.createDataFrame(rows, "project string, a string, b string"), spark.createDataFrame([("p", "n0")], "project string, node string")).collect()}
+    assert lv == {f"n{i}": i for i in range(19)}
+
+
+def test_taint_has_no_bound_on_hops(spark, hops=18):
+    body = "".join(f"    v{i + 1} = v{i}\n" for i in range(hops))
+    f = files(spark, ("a.py", f"from b import g\ndef f(request):\n    v0 = request.args.get('q')\n{body}    g(v{hops})\n"), ("b.py", "import os\ndef g(c):\n    os.system(c)\n"))
+    got = {(r.source_file, r.sink_file, r.severity) for r in taint.flows(code.facts(f)).where("source NOT LIKE 'parameter%'").collect()}
+    assert ("a.py", "b.py", "CRITICAL") in got
+
+
 def test_taint_goes_on_over_many_variables(spark):
     body = "".join(f"    v{i + 1} = v{i} + '!'\n" for i in range(20))
     facts = code.facts(files(spark, ("a.py", 'def f():\n    v0 = request.args.get("x")\n' + body + "    os.system(v20)\n")))
