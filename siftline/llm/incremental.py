@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import counted_vector, digest, run_key, runs
-from siftline.session import new_table_path, side_by_side, written
+from siftline.session import new_table_path, written
 
 CELL_VECTORS = 64
 #: Rows of history in a bucket, about, and the most buckets there may be: each is a folder.
@@ -136,11 +136,11 @@ class CellIndex:
         )
         return near.groupBy("q_key", "source").agg(F.min("key").alias("accepted_key")).select("accepted_key", F.col("q_key").alias("key"), "source")
 
-    def growing(self, ask: Ask) -> DataFrame:
-        """(bucket, block) of the blocks that would have more than cell_vectors vectors in one cell with the rows asked."""
+    def growing(self, ask: Ask, few: bool = True) -> DataFrame:
+        """(bucket, block) of the blocks that would have more than cell_vectors vectors in one cell with the rows asked, which may be `few`."""
         small = ask.rows if ask.order is None else ask.rows.join(ask.order.select("block").distinct(), "block", "left_anti")
         fresh = small.groupBy("block").agg(F.count_distinct(F.xxhash64("vec")).alias("more")).withColumn("bucket", self._bucket("block", F.lit(0).cast("bigint")))
-        held = self.cells(ask.buckets).where("cell = 0").select("bucket", "block").join(ask.sent(fresh), ["bucket", "block"]).groupBy("block").agg(F.count(F.lit(1)).alias("held"))
+        held = self.cells(ask.buckets).where("cell = 0").select("bucket", "block").join(ask.sent(fresh) if few else fresh, ["bucket", "block"]).groupBy("block").agg(F.count(F.lit(1)).alias("held"))
         return fresh.join(held, "block", "left").where(F.col("more") + F.coalesce("held", F.lit(0)) > self.form[1]).select("bucket", "block")
 
     def append(self, ask: Ask, may_grow: bool = True) -> CellIndex:
@@ -248,11 +248,12 @@ def repeats(findings: DataFrame, incoming: DataFrame, suppressions: DataFrame, i
     hits = new_table_path(incoming.sparkSession, "hits")
     numbers = [r["of"] for r in asked.select("of").distinct().collect()]  # one for each batch
     everything = index.ask(asked.where("of IS NOT NULL").drop("of"))
-    may_grow = not index.growing(everything).isEmpty()  # if no block outgrows its cell with all batches, none does with one
+    may_grow = not index.growing(everything, few=False).isEmpty()  # if no block outgrows its cell with all batches, none does with one
     for b in sorted(numbers, key=lambda b: (b is not None, b)):
         ask = index.ask(asked.where(F.col("of").eqNullSafe(b)).drop("of"))
         hit = index.probe(ask).select("accepted_key", F.col("key").alias("inc_key"), F.col("source").alias("accepted_in"))
-        # a row never repeats one of its own batch, so that the batch can be added while it probes
-        side_by_side([lambda hit=hit: hit.write.mode("append").parquet(hits), *([lambda ask=ask: index.append(ask, may_grow)] if b is not None else [])])
+        hit.write.mode("append").parquet(hits)
+        if b is not None:
+            index.append(ask, may_grow)
     found = incoming.sparkSession.read.schema(_HITS).parquet(hits) if numbers else incoming.sparkSession.createDataFrame([], _HITS)
     return found.unionByName(suppressed(incoming, suppressions).withColumn("accepted_in", F.lit("suppressions")))
