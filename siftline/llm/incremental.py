@@ -136,23 +136,23 @@ class CellIndex:
         )
         return near.groupBy("q_key", "source").agg(F.min("key").alias("accepted_key")).select("accepted_key", F.col("q_key").alias("key"), "source")
 
-    def growing(self, ask: Ask, few: bool = True) -> DataFrame:
-        """(bucket, block) of the blocks that would have more than cell_vectors vectors in one cell with the rows asked, which may be `few`."""
+    def growing(self, ask: Ask) -> DataFrame:
+        """(bucket, block) of the blocks that would have more than cell_vectors vectors in one cell with the rows asked."""
         small = ask.rows if ask.order is None else ask.rows.join(ask.order.select("block").distinct(), "block", "left_anti")
         fresh = small.groupBy("block").agg(F.count_distinct(F.xxhash64("vec")).alias("more")).withColumn("bucket", self._bucket("block", F.lit(0).cast("bigint")))
-        held = self.cells(ask.buckets).where("cell = 0").select("bucket", "block").join(ask.sent(fresh) if few else fresh, ["bucket", "block"]).groupBy("block").agg(F.count(F.lit(1)).alias("held"))
+        held = self.cells(ask.buckets).where("cell = 0").select("bucket", "block").join(ask.sent(fresh), ["bucket", "block"]).groupBy("block").agg(F.count(F.lit(1)).alias("held"))
         return fresh.join(held, "block", "left").where(F.col("more") + F.coalesce("held", F.lit(0)) > self.form[1]).select("bucket", "block")
 
-    def append(self, ask: Ask, may_grow: bool = True) -> CellIndex:
+    def append(self, ask: Ask) -> CellIndex:
         """The rows asked added to the cells, as accepted; what lies in them stays as it is.
 
         A block that gets more than cell_vectors vectors in its one cell is split: its rows are added to cells
-        by run and its order is written. The cell it had is then asked by nothing any more. `may_grow`: false
-        if it is known that there is no such block.
+        by run and its order is written. The cell it had is then asked by nothing any more.
         """
         add = classes(ask.rows)
-        grown = written(self.growing(ask), "grown") if may_grow else None
-        if grown is not None and not grown.isEmpty():
+        grown = self.growing(ask)
+        if not grown.isEmpty():
+            grown = written(grown, "grown")
             old = self.cells(ask.buckets).where("cell = 0")
             split = written(old.join(grown, ["bucket", "block"], "left_semi").select(add.columns).unionByName(add.join(grown, "block", "left_semi")), "split")
             ranks = written(frequencies(split), "ranks")
@@ -247,13 +247,11 @@ def repeats(findings: DataFrame, incoming: DataFrame, suppressions: DataFrame, i
     asked = incoming.sparkSession.read.schema(_ENTRIES).parquet(path)
     hits = new_table_path(incoming.sparkSession, "hits")
     numbers = [r["of"] for r in asked.select("of").distinct().collect()]  # one for each batch
-    everything = index.ask(asked.where("of IS NOT NULL").drop("of"))
-    may_grow = not index.growing(everything, few=False).isEmpty()  # if no block outgrows its cell with all batches, none does with one
     for b in sorted(numbers, key=lambda b: (b is not None, b)):
         ask = index.ask(asked.where(F.col("of").eqNullSafe(b)).drop("of"))
         hit = index.probe(ask).select("accepted_key", F.col("key").alias("inc_key"), F.col("source").alias("accepted_in"))
         hit.write.mode("append").parquet(hits)
         if b is not None:
-            index.append(ask, may_grow)
+            index.append(ask)
     found = incoming.sparkSession.read.schema(_HITS).parquet(hits) if numbers else incoming.sparkSession.createDataFrame([], _HITS)
     return found.unionByName(suppressed(incoming, suppressions).withColumn("accepted_in", F.lit("suppressions")))
